@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of the surveyed workload is a batch operator.
+
+There is no watermark, event-time window, late-data rule or custom state to
+re-express, so no streaming operator is offered.
+"""
