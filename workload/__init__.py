@@ -1,6 +1,6 @@
 """The workload run on the driver's tables: fixture views, queries and their SQL oracles."""
 
-from . import activity, membership, panel  # noqa: F401  (each registers its queries)
+from . import activity, landing, membership, merges, panel  # noqa: F401  (each registers its queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -92,12 +92,15 @@ class Tables:
 
     def facts(self) -> DataFrame:
         """Fundamentals with availability and revision, one row per key."""
+        rows = self.facts_with_arrival()
+        policy = dict.fromkeys([c for c in rows.columns if c not in FACT_KEYS], OVERWRITE)
+        return collapse_batch(rows, FACT_KEYS, policy, "arrival")
+
+    def facts_with_arrival(self) -> DataFrame:
         ann, upd = F.col("ann_date"), F.col("update_date")
-        rows = self.fundamentals().withColumns(
+        return self.fundamentals().withColumns(
             {"available_date": availability_date(ann, upd), "revision_id": revision_id(ann, upd)}
         )
-        policy = dict.fromkeys([c for c in rows.columns if c not in FACT_KEYS], OVERWRITE)
-        return collapse_batch(rows, FACT_KEYS, policy, "arrival")
 
     def company(self) -> DataFrame:
         return self.read("customer").select(
@@ -213,13 +216,14 @@ SQL = {
     CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 60 AS DOUBLE) END
       AS gross_margin_pct
   FROM orders""",
+    "fx_arrivals": """
+  SELECT *, greatest(ann_date, update_date) AS available_date,
+    coalesce(CAST(update_date AS VARCHAR), CAST(ann_date AS VARCHAR), '0') AS revision_id
+  FROM fx_fund""",
     "fx_facts": """
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY code, report_period, ann_date, revision_id
-        ORDER BY arrival DESC) AS rn
-    FROM (SELECT *, greatest(ann_date, update_date) AS available_date,
-            coalesce(CAST(update_date AS VARCHAR), CAST(ann_date AS VARCHAR), '0') AS revision_id
-          FROM fx_fund))
+        ORDER BY arrival DESC) AS rn FROM fx_arrivals)
   WHERE rn = 1""",
     "fx_company": f"""
   SELECT {_pad("c_custkey")} AS code, c_name AS name,
@@ -296,7 +300,7 @@ SQL = {
 }
 # The views each view reads.
 NEEDS = {
-    "fx_trad": ["fx_bars"], "fx_facts": ["fx_fund"], "fx_canon": ["fx_alias"],
+    "fx_trad": ["fx_bars"], "fx_arrivals": ["fx_fund"], "fx_facts": ["fx_arrivals"], "fx_canon": ["fx_alias"],
     "fx_dedup": ["fx_class", "fx_canon"], "fx_intervals": ["fx_dedup"],
     "fx_islands": ["fx_intervals"], "fx_members": ["fx_islands"], "fx_slots": ["fx_paint"],
 }
