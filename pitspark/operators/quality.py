@@ -143,17 +143,14 @@ def run_summary(gate: DataFrame, summary: DataFrame, pooled: DataFrame) -> DataF
     )
 
 
-def ledger_update(jobs: DataFrame, job_id: str, numbers: DataFrame, note: str, **fixed) -> DataFrame:
+def ledger_update(jobs: DataFrame, job_id: str, numbers: DataFrame, note: str | Column) -> DataFrame:
     """Ledger after one job reported: listed columns are set, all others kept.
 
-    ``numbers`` is a one-row frame with any of the ledger's columns.
+    ``numbers`` is a one-row frame with any of the ledger's columns; ``note`` may
+    refer to them. A job the ledger does not list is not added.
     """
     known = [c for c in INGESTION_JOB.fieldNames() if c in numbers.columns]
-    row = numbers.select(
-        F.lit(job_id).alias("job_id"), *known,
-        *[F.lit(v).alias(k) for k, v in fixed.items()],
-        F.format_string(note, *known).alias("note") if "%" in note else F.lit(note).alias("note"),
-    )
-    policy = dict.fromkeys([c for c in row.columns if c != "job_id"], OVERWRITE)
+    text = F.lit(note) if isinstance(note, str) else note
+    row = numbers.select(F.lit(job_id).alias("job_id"), *known, text.alias("note"))
     updates = row.join(jobs.select("job_id"), "job_id", "left_semi")
-    return merge_upsert(jobs, updates, ["job_id"], policy)
+    return merge_upsert(jobs, updates, ["job_id"], dict.fromkeys([*known, "note"], OVERWRITE))

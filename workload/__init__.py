@@ -1,6 +1,8 @@
 """The workload run on the driver's tables: fixture views, queries and their SQL oracles."""
 
-from . import activity, landing, membership, merges, panel  # noqa: F401  (each registers its queries)
+from . import (  # noqa: F401  (each registers its queries)
+    activity, folds, landing, membership, merges, panel, quality,
+)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
