@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.asof import collapse_facts, guard_look_ahead
-from ..operators.features import with_forward, with_labels, with_technical
+from ..operators.features import with_labels, with_rolling
 from ..operators.membership import interval_reach
 from ..schemas import FIN
 from ..sources.bars import tradable_bars
@@ -23,21 +23,21 @@ def build_panel(bars: DataFrame, membership: DataFrame, facts: DataFrame) -> Dat
     marks = interval_reach(membership)
     members = marks.select("code").distinct()
     own = tradable_bars(bars).join(members, "code", "left_semi")
-    rows = with_labels(with_forward(with_technical(own)))
+    rows = with_labels(with_rolling(own))
     columns = rows.columns
     known = collapse_facts(facts.join(members, "code", "left_semi"))
+    # Both short sides are brought to the partitioning the bars already have, so
+    # the union keeps it and the wide rows are not shuffled again.
+    starts = marks.repartition("code").select(
+        "code", F.col("in_date").alias("trade_date"), "until", F.lit(0).alias("_side")
+    )
+    known = known.repartition("code").select(
+        "code", F.col("available_date").alias("trade_date"), "_fact", F.lit(0).alias("_side")
+    )
     stacked = (
         rows.withColumn("_side", F.lit(1))
-        .unionByName(
-            marks.select("code", F.col("in_date").alias("trade_date"), "until",
-                         F.lit(0).alias("_side")),
-            allowMissingColumns=True,
-        )
-        .unionByName(
-            known.select("code", F.col("available_date").alias("trade_date"), "_fact",
-                         F.lit(0).alias("_side")),
-            allowMissingColumns=True,
-        )
+        .unionByName(starts, allowMissingColumns=True)
+        .unionByName(known, allowMissingColumns=True)
     )
     w = (
         Window.partitionBy("code")

@@ -12,6 +12,7 @@ from pitspark.operators.membership import universe_semi_join
 from pitspark.operators.quality import panel_summary
 from pitspark.plans.panel import build_panel
 from pitspark.schemas import FIN, TECH
+from pitspark.session import materialize
 from pitspark.sources.bars import tradable_bars
 
 from .fixtures import Tables
@@ -82,7 +83,9 @@ PANEL_VIEWS = ["fx_trad", "fx_members", "fx_facts"]
 
 
 def panel_of(t: Tables) -> DataFrame:
-    return build_panel(t.bars(), t.membership(), t.facts())
+    """The panel from a written membership table, which it reads more than once."""
+    membership = materialize(t.membership(), "membership")
+    return build_panel(t.bars(), membership, t.facts())
 
 
 @query(
