@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -67,7 +68,7 @@ def fit(
     )
     estimator = LogisticRegression(
         regParam=1.0 / train_n, elasticNetParam=0.0, standardization=False, weightCol="weight",
-        maxIter=max_iter, tol=1e-9,
+        maxIter=max_iter, tol=1e-7,
     )
     model = estimator.fit(rows)
     return Fit(columns, scaling, [float(v) for v in model.coefficients], float(model.intercept))
@@ -104,40 +105,54 @@ def fold_plan(panel: DataFrame, targets: list[str] = TARGETS) -> list[dict]:
     return sorted(plan, key=lambda p: (p["fold"].target, p["fold"].test_year))
 
 
-def walk_forward(panel: DataFrame, targets: list[str] = TARGETS) -> tuple[DataFrame, DataFrame]:
+def fit_fold(panel: DataFrame, item: dict, name: str) -> Fit:
+    """Fit one feature set on the purged training rows of one fold."""
+    fold, first = item["fold"], item["stats"][0]
+    usable = panel.where(labelled(panel, fold.target))
+    # The year bound prunes partitions; the purge decides.
+    train = purge(usable.where(F.year("trade_date") <= fold.test_year), F.lit(fold.start))
+    scaling = {s.feature: Scaling(s.median, s.mean, s.std) for s in item["stats"]}
+    return fit(train, fold.target, FEATURE_SETS[name], scaling, first.train_n,
+               first.weight_pos, first.weight_neg)
+
+
+def walk_forward(
+    panel: DataFrame, targets: list[str] = TARGETS, parallel_fits: int = 8
+) -> tuple[DataFrame, DataFrame]:
     """(metrics per fold and feature set, predictions) over all runnable folds.
 
     ``panel`` should be a written table: every fold reads it again. The driver
-    only loops over folds and holds coefficients; fitting, scoring and the
-    metrics, one grouped aggregate over all predictions, run on the executors.
+    only starts the fits, several at a time since they do not depend on each
+    other, and holds coefficients; fitting, scoring and the metrics, one grouped
+    aggregate over all predictions, run on the executors.
     """
-    spark = panel.sparkSession
+    plan = fold_plan(panel, targets)
+    runs = [(item, name) for item in plan for name in item["sets"]]
+    with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
+        fitted = list(pool.map(lambda run: fit_fold(panel, *run), runs))
+    fits: dict[tuple, dict[str, Fit]] = defaultdict(dict)
+    for (item, name), model in zip(runs, fitted):
+        fits[item["fold"].target, item["fold"].test_year][name] = model
     parts, info = [], []
-    for item in fold_plan(panel, targets):
-        fold, first = item["fold"], item["stats"][0]
-        target, year = fold.target, fold.test_year
-        usable = panel.where(labelled(panel, target))
-        train = purge(usable.where(F.year("trade_date") <= year), F.lit(fold.start))
-        scaling = {s.feature: Scaling(s.median, s.mean, s.std) for s in item["stats"]}
-        fits = {
-            name: fit(train, target, FEATURE_SETS[name], scaling, first.train_n,
-                      first.weight_pos, first.weight_neg)
-            for name in item["sets"]
-        }
-        test = usable.where(F.year("trade_date") == year)
-        parts.append(score(test, target, year, fits))
+    for item in plan:
+        fold = item["fold"]
+        key = (fold.target, fold.test_year)
+        usable = panel.where(labelled(panel, fold.target))
+        test = usable.where(F.year("trade_date") == fold.test_year)
+        parts.append(score(test, *key, fits[key]))
         info += [
-            (target, name, year, fold.train_n, fold.train_last_label_end, fold.start)
+            (fold.target, name, fold.test_year, fold.train_n, fold.train_last_label_end, fold.start)
             for name in item["sets"]
         ]
-    schema = "target string, model string, test_year int, train_n long, " \
-             "train_last_label_end date, test_start date"
-    notes = spark.createDataFrame(info, schema)
     if not parts:
         # No runnable fold: an empty result with the usual columns.
         parts = [score(panel.limit(0), targets[0], 0, {"TECH": Fit([], {}, [], 0.0)})]
-    predictions = reduce(DataFrame.unionByName, parts).select(*PREDICTION_COLUMNS)
-    metrics = metrics_by_year(predictions.withColumn("truth", outcome_of())).join(
-        F.broadcast(notes), ["target", "model", "test_year"]
+    schema = (
+        "target string, model string, test_year int, train_n long, "
+        "train_last_label_end date, test_start date"
     )
-    return metrics, predictions
+    # One row per fold and feature set.
+    notes = F.broadcast(panel.sparkSession.createDataFrame(info, schema))
+    predictions = reduce(DataFrame.unionByName, parts).select(*PREDICTION_COLUMNS)
+    metrics = metrics_by_year(predictions.withColumn("truth", outcome_of()))
+    return metrics.join(notes, ["target", "model", "test_year"]), predictions
