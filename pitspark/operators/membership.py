@@ -126,6 +126,7 @@ def audit_outcome(audit: DataFrame) -> DataFrame:
     """LOADED if nothing expected is missing; extra members do not fail the audit."""
     missing = F.coalesce(F.sum((F.col("status") == "MISSING_OFFICIAL").cast("long")), F.lit(0))
     return audit.agg(
+        F.coalesce(F.sum("expected_current"), F.lit(0)).alias("expected"),
         missing.alias("missing"),
         F.coalesce(F.sum("active_official"), F.lit(0)).alias("active_asof"),
         F.when(missing == 0, "LOADED").otherwise("AUDIT_FAILED").alias("status"),

@@ -160,8 +160,8 @@ def audit(t: Tables) -> DataFrame:
 
 @query(
     "audit_outcome",
-    """SELECT count(*) FILTER (WHERE status = 'MISSING_OFFICIAL') AS missing,
-         sum(active_official) AS active_asof,
+    """SELECT sum(expected_current) AS expected,
+         count(*) FILTER (WHERE status = 'MISSING_OFFICIAL') AS missing, sum(active_official) AS active_asof,
          CASE WHEN count(*) FILTER (WHERE status = 'MISSING_OFFICIAL') = 0 THEN 'LOADED'
            ELSE 'AUDIT_FAILED' END AS status
        FROM audit""",
