@@ -41,7 +41,8 @@ PRIMARY_FACT_POLICY = dict.fromkeys(
 ARCHIVE_FACT_POLICY = dict.fromkeys(_FACT + ["deduct_np_cny"], OVERWRITE)
 
 
-def _fold(column: str, policy: str, order: Column) -> Column:
+def fold(column: str, policy: str, order: Column) -> Column:
+    """Net value of a column after rows apply one by one in ``order``."""
     if policy == OVERWRITE:
         return F.max_by(column, order).alias(column)
     if policy == COALESCE:
@@ -58,7 +59,7 @@ def collapse_batch(
     names = [order] if isinstance(order, str) else order
     by = F.col(names[0]) if len(names) == 1 else F.struct(*names)
     rest = [c for c in batch.columns if c not in keys and c not in names]
-    return batch.groupBy(*keys).agg(*[_fold(c, policy.get(c, INSERT_ONLY), by) for c in rest])
+    return batch.groupBy(*keys).agg(*[fold(c, policy.get(c, INSERT_ONLY), by) for c in rest])
 
 
 def merge_upsert(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import run_status
 from ..schemas import INGESTION_JOB
-from .merge import OVERWRITE, merge_upsert
+from .merge import INSERT_ONLY, OVERWRITE, fold
 
 MIN_BARS = 5000
 
@@ -151,6 +151,16 @@ def ledger_update(jobs: DataFrame, job_id: str, numbers: DataFrame, note: str |
     """
     known = [c for c in INGESTION_JOB.fieldNames() if c in numbers.columns]
     text = F.lit(note) if isinstance(note, str) else note
-    row = numbers.select(F.lit(job_id).alias("job_id"), *known, text.alias("note"))
-    updates = row.join(jobs.select("job_id"), "job_id", "left_semi")
-    return merge_upsert(jobs, updates, ["job_id"], dict.fromkeys([*known, "note"], OVERWRITE))
+    update = numbers.select(F.lit(job_id).alias("job_id"), *known, text.alias("note"))
+    steps = jobs.withColumn("_step", F.lit(0)).unionByName(
+        update.withColumn("_step", F.lit(1)), allowMissingColumns=True
+    )
+    policy = dict.fromkeys([*known, "note"], OVERWRITE)
+    rest = [c for c in jobs.columns if c != "job_id"]
+    folded = [fold(c, policy.get(c, INSERT_ONLY), F.col("_step")) for c in rest]
+    return (
+        steps.groupBy("job_id")
+        .agg(*folded, F.min("_step").alias("_step"))
+        .where("_step = 0")
+        .select(*jobs.columns)
+    )
