@@ -9,9 +9,9 @@ from ..session import materialize
 
 BURN_IN_YEARS = 3
 FEATURES = TECH + FIN
-# Relative rank error of the sketch is 1/ACCURACY; the candidates kept reach ten times further.
-ACCURACY = 10_000
-MARGIN = 0.001
+# Relative rank error of the sketch is 1/ACCURACY; the candidates kept reach four times further.
+ACCURACY = 2_000
+MARGIN = 0.002
 
 
 def labelled(panel: DataFrame, target: str) -> Column:

