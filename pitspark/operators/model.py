@@ -105,12 +105,17 @@ def fold_plan(panel: DataFrame, targets: list[str] = TARGETS) -> list[dict]:
     return sorted(plan, key=lambda p: (p["fold"].target, p["fold"].test_year))
 
 
+def year_of(panel: DataFrame) -> Column:
+    """The partition column of a panel written by year, which prunes files, or the date's year."""
+    return F.col("year") if "year" in panel.columns else F.year("trade_date")
+
+
 def fit_fold(panel: DataFrame, item: dict, name: str) -> Fit:
     """Fit one feature set on the purged training rows of one fold."""
     fold, first = item["fold"], item["stats"][0]
     usable = panel.where(labelled(panel, fold.target))
     # The year bound prunes partitions; the purge decides.
-    train = purge(usable.where(F.year("trade_date") <= fold.test_year), F.lit(fold.start))
+    train = purge(usable.where(year_of(panel) <= fold.test_year), F.lit(fold.start))
     scaling = {s.feature: Scaling(s.median, s.mean, s.std) for s in item["stats"]}
     return fit(train, fold.target, FEATURE_SETS[name], scaling, first.train_n,
                first.weight_pos, first.weight_neg)
@@ -121,7 +126,8 @@ def walk_forward(
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics per fold and feature set, predictions) over all runnable folds.
 
-    ``panel`` should be a written table: every fold reads it again. The driver
+    ``panel`` should be a written table, best partitioned by a ``year`` column:
+    every fold reads it again, and only the years it needs. The driver
     only starts the fits, several at a time since they do not depend on each
     other, and holds coefficients; fitting, scoring and the metrics, one grouped
     aggregate over all predictions, run on the executors.
@@ -138,7 +144,7 @@ def walk_forward(
         fold = item["fold"]
         key = (fold.target, fold.test_year)
         usable = panel.where(labelled(panel, fold.target))
-        test = usable.where(F.year("trade_date") == fold.test_year)
+        test = usable.where(year_of(panel) == fold.test_year)
         parts.append(score(test, *key, fits[key]))
         info += [
             (fold.target, name, fold.test_year, fold.train_n, fold.train_last_label_end, fold.start)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pitspark.operators.features import with_rolling
 from pitspark.operators.merge import FALLBACK_BAR_POLICY, BAR_KEYS, merge_touched
+from pitspark.operators.model import year_of
 from pitspark.plans.panel import build_panel
 from pitspark.session import materialize
 from pitspark.sources.bars import tradable_bars
@@ -56,6 +57,13 @@ def test_a_merge_prunes_untouched_partitions(stored):
     assert "PartitionFilters: [isnotnull(year" in text and "(year#" in text
 
 
+def test_a_fold_reads_only_the_years_it_needs(stored):
+    panel = build_panel(*stored).withColumn("year", F.year("trade_date"))
+    panel = materialize(panel, "panel", ["year"])
+    text = plan(panel.where(year_of(panel) <= 1998).select("ret_5d"))
+    assert re.search(r"PartitionFilters: \[isnotnull\(year#\d+\), \(year#\d+ <= 1998\)\]", text)
+
+
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython",
              "PythonMapInArrow", "MapInPandas", "CollectLimit", "GlobalLimit"]
 # Loops over fits and writes; covered by the parts they are made of.

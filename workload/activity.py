@@ -132,7 +132,7 @@ def slot_arrays(t: Tables) -> DataFrame:
     """SELECT user_id, todo_id, type, created, last_done FROM fx_todos""", ["fx_todos"],
 )
 def todo_arrays(t: Tables) -> DataFrame:
-    """Lists are stored per user and creation day."""
+    """Lists are stored per user and creation day, at most a hundred items each."""
     def millis(day: str):
         return F.unix_millis(F.col(day).cast("timestamp"))
 
@@ -140,7 +140,8 @@ def todo_arrays(t: Tables) -> DataFrame:
         F.col("todo_id").cast("string").alias("text"), "type",
         millis("created").alias("created"), millis("last_done").alias("lastDone"),
     )
-    lists = t.todos().groupBy("user_id", "created").agg(
+    part = F.floor(F.col("todo_id") / 100)
+    lists = t.todos().groupBy("user_id", "created", part).agg(
         F.to_json(F.array_sort(F.collect_list(item))).alias("todos")
     )
     return read_todo_arrays(lists.select("user_id", "todos")).select(

@@ -22,7 +22,7 @@ FEATURES = TECH + FIN
 def written_panel(t: Tables) -> DataFrame:
     """The panel as a table by year: many jobs read it, each a few columns or years."""
     panel = panel_of(t).withColumn("year", F.year("trade_date"))
-    return materialize(panel, "panel", ["year"]).drop("year")
+    return materialize(panel, "panel", ["year"])
 
 
 SQL_FOLDS = SQL_PANEL | {
