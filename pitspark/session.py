@@ -40,13 +40,17 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is
-    set, which is valid because driver and executors are then one process.
+    Only in local mode a temporary folder is set where the session names none;
+    driver and executors are then one process. On any other master the executors
+    would each write to their own disk, so the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
+    master = context.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master}")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-pitspark-"))
     return context.getCheckpointDir().rstrip("/")
