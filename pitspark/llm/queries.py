@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import decontaminate, mixing, url_filter
 from .url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,48 @@ FROM numbered LEFT JOIN fits f USING (id)
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filter.rule_table(spark, URL_RULES)
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+# --- benchmark decontamination --------------------------------------------
+
+DECON_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM documents
+), items AS (
+  SELECT item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[s:s + 9], ' ') AS phrase
+  FROM (SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS s FROM items WHERE len(words) > 0)
+), runs AS (
+  SELECT id, s, n, array_to_string(words[s:s + n - 1], ' ') AS phrase
+  FROM (SELECT id, words, n, unnest(range(1, len(words) - n + 2)) AS s
+        FROM docs, (SELECT DISTINCT n FROM windows))
+), hits AS (
+  SELECT r.id, r.s, r.n, w.item_id FROM runs r JOIN windows w ON r.n = w.n AND r.phrase = w.phrase
+), covered AS (
+  SELECT id, count(DISTINCT p) AS n_hit
+  FROM (SELECT id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT id, s, n FROM hits))
+  GROUP BY id
+), found AS (
+  SELECT id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT id, coalesce(item_id::VARCHAR, '') AS item_id FROM hits) GROUP BY id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (id) LEFT JOIN found USING (id)
+"""
+
+
+@query("op9_decontamination", DECON_SQL)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+    )
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
