@@ -30,3 +30,8 @@ def token_count(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """64-bit digest that tells rows of one id apart; null has its own."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64-bit digest of id and text, never null; equal rows share it."""
+    return F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())
