@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, url_filter
+from . import decontaminate, line_dedup, mixing, ngram_join, url_filter
 from .url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,34 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", "class_id", "n_links", "copies")
+
+
+# --- line dedup -----------------------------------------------------------
+
+LINES_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, text, coalesce(string_split(text, chr(10)), []) AS lines FROM documents
+), windows AS (
+  SELECT id, doc_id, s, array_to_string(lines[s:s + 2], chr(10)) AS passage
+  FROM (SELECT id, doc_id, lines, unnest(range(1, len(lines) - 1)) AS s FROM docs)
+), ranked AS (
+  SELECT id, s, row_number() OVER (PARTITION BY passage ORDER BY doc_id NULLS LAST, id, s) AS k FROM windows
+), covered AS (
+  SELECT DISTINCT id, unnest([s, s + 1, s + 2]) AS p FROM ranked WHERE k > 1
+), kept AS (
+  SELECT l.id, string_agg(l.line, chr(10) ORDER BY l.p) AS text
+  FROM (SELECT id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS p FROM docs) l
+  ANTI JOIN covered c ON c.id = l.id AND c.p = l.p
+  GROUP BY l.id
+), gone AS (
+  SELECT id, count(*) AS n FROM covered GROUP BY id
+)
+SELECT d.doc_id, CASE WHEN g.n IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text,
+       len(d.lines)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed
+FROM docs d LEFT JOIN gone g USING (id) LEFT JOIN kept k USING (id)
+"""
+
+
+@query("op1_line_dedup", LINES_SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
