@@ -11,7 +11,7 @@ from pitspark.session import materialize
 from .text import text_key, words
 
 WINDOW = 10
-PROBES = 3
+PROBES = 2
 TERMS_PER_PASS = 500_000
 
 

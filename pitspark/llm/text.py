@@ -6,19 +6,23 @@ import string
 
 from pyspark.sql import Column, functions as F
 
-# The word patterns that the operators' contracts name.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The word patterns that the operators' contracts name; words are what the breaks
+# leave, and splitting at them is several times faster than matching words.
+WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN = r"[^\x20\x09-\x0D]+"
 
 
 def lower_ascii(text: Column) -> Column:
     """Only A-Z become lower case; every other character stays."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    )
 
 
 def words(text: Column) -> Column:
     """The words of a text in order, A-Z in lower case; null has none."""
-    found = F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    found = F.array_remove(F.split(lower_ascii(text), WORD_BREAK), "")
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
