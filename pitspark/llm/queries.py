@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_dedup, mixing, ngram_join, quality, url_filter
+from . import decontaminate, html_text, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
 from .url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract_main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", "n_chars")
+
+
+# --- toxicity -------------------------------------------------------------
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).drop("spans")
