@@ -125,11 +125,13 @@ class Crf:
 
 
 def document_signals(marginals: list[np.ndarray]) -> np.ndarray:
-    """Per document: one, log odds of its most toxic word, log of the expected number of toxic words."""
-    top = np.array([m.max(initial=0.0) for m in marginals])
+    """Per document: one, log odds of its most toxic word, logs of the expected number of toxic
+    words, of all words and of the share of toxic words."""
+    top = np.clip(np.array([m.max(initial=0.0) for m in marginals]), 1e-6, 1 - 1e-6)
     count = np.array([m[m > 0.05].sum() for m in marginals])
-    top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(len(marginals)), np.log(top / (1 - top)), np.log1p(count)], axis=1)
+    size = np.array([len(m) for m in marginals], float)
+    share = np.log((count + 0.01) / (size + 1))
+    return np.stack([np.ones(len(marginals)), np.log(top / (1 - top)), np.log1p(count), np.log1p(size), share], axis=1)
 
 
 def split_words(text: str | None) -> list[str]:
@@ -186,7 +188,7 @@ def fit_crf(
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
             target -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9)
-    model = Crf(weights, trans, lexicon, np.array([0.0, 1.0, 0.0]))
+    model = Crf(weights, trans, lexicon, np.array([0.0, 1.0, 0.0, 0.0, 0.0]))
     model.calibration = _logistic(document_signals(model.tag(docs)), np.asarray(labels, float))
     model.known, model.values = {}, np.empty((0, 3))
     return model
