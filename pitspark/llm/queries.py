@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
+from . import decontaminate, html_text, line_dedup, mixing, ngram_join, quality, token_files, toxicity, url_filter
 from .url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +228,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model).drop("spans")
+
+
+# --- token files ----------------------------------------------------------
+
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the public tokenizer's vocabulary file is; override by PITSPARK_TOKENIZER."""
+    import public_tokenizers
+
+    return os.environ.get("PITSPARK_TOKENIZER") or public_tokenizers.path(name)
+
+
+@query("op7_token_codec")
+def op7_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
