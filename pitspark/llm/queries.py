@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, line_dedup, mixing, ngram_join, quality, token_files, toxicity, url_filter
+from . import ann, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, token_files, toxicity, url_filter
 from .url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 @query("op7_token_codec")
 def op7_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
+# --- nearest neighbours ---------------------------------------------------
+
+@query("op8_ann_forest")
+def op8_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
