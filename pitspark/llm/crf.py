@@ -147,9 +147,9 @@ def fit_crf(
     A word of a toxic document that is in the lexicon is labelled toxic, every other
     word clean. For training alone, sequences are cut into pieces of ``piece`` words.
     """
-    docs = [split_words(t) for t in texts]
     vocabulary: dict[str, int] = {}
-    tokens = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d), np.int64)
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split_words(t)], np.int32) for t in texts]
+    tokens = np.concatenate([*docs, np.empty(0, np.int32)])
     listed = np.fromiter((is_listed(w, lexicon) for w in vocabulary), bool, len(vocabulary))
     of_toxic = np.repeat(np.asarray(labels, bool), [len(d) for d in docs])
     y = (listed[tokens] & of_toxic).astype(float)
@@ -189,7 +189,11 @@ def fit_crf(
             v[k] = 0.99 * v[k] + 0.01 * g * g
             target -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9)
     model = Crf(weights, trans, lexicon, np.array([0.0, 1.0, 0.0, 0.0, 0.0]))
-    model.calibration = _logistic(document_signals(model.tag(docs)), np.asarray(labels, float))
+    signals = [
+        document_signals(model.tag([split_words(t) for t in texts[s:s + 256]])) for s in range(0, len(texts), 256)
+    ]
+    if signals:
+        model.calibration = _logistic(np.concatenate(signals), np.asarray(labels, float))
     model.known, model.values = {}, np.empty((0, 3))
     return model
 

@@ -230,3 +230,15 @@ def contamination(
         ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"),
         _digest(ids).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without any occurrence of a window of ``items``."""
+    found = contamination(docs, items, **options).where("contaminated")
+    bad = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null ")).alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct()
+    return docs.join(
+        bad,
+        (F.coalesce(F.col("doc_id").cast("string"), F.lit("null ")) == F.col("_bad_id"))
+        & (text_key(F.col("text")) == F.col("_bad_key")),
+        "left_anti",
+    )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitspark.session import materialize
 
-from .text import token_count
+from .text import TOKEN_BREAK, row_key, token_count
 
 ROWS_PER_RANGE = 4096
 
@@ -59,7 +59,7 @@ def mix_sources(
     seed: str = "mix",
 ) -> DataFrame:
     """How many words of every document the mix takes: (doc_id, source, size, source_size,
-    target, taken, ranked_before).
+    target, taken, ranked_before, row).
 
     Every document gets a hash-random key. A source is sorted by key; the keys are
     uniform, so equal slices of the key space are ranges of like size, as many per
@@ -68,17 +68,15 @@ def mix_sources(
     whole passes over a source while they fit its target; the last pass is cut at
     the exact word, inside the document that crosses it. Targets are rounded down.
 
-    Equal rows (doc_id, source, size) are folded with a count first and unfolded at
-    the end, so copies of a row never meet in one window. A null text has size 0;
+    Equal rows (doc_id, source, text; ``row`` is their digest) are folded with a count first
+    and unfolded at the end, so copies of a row never meet in one window. A null text has size 0;
     a null source is a source of its own, the last; a null doc_id is an id like any
     other. An empty table gives an empty result. Extra columns are not read. The
     same input always gives the same mix.
     """
-    narrow = docs.select(
-        F.col("doc_id"), F.col("source"), token_count(F.col("text")).alias("size"),
-    )
+    narrow = docs.select("doc_id", "source", token_count(F.col("text")).alias("size"), _row_digest().alias("row"))
     rows = materialize(
-        narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")), "mix-rows",
+        narrow.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("copies")), "mix-rows",
     ).withColumn(
         "key",
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
@@ -109,7 +107,7 @@ def mix_sources(
         F.coalesce(F.sum("range_words").over(earlier), F.lit(0)).alias("offset"),
     )
     inside = (
-        W.partitionBy("source", "slice").orderBy("key", "doc_id", "size")
+        W.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "row")
         .rowsBetween(W.unboundedPreceding, -1)
     )
     ordered = planned.withColumn("inside", F.coalesce(F.sum(words).over(inside), F.lit(0)))
@@ -125,5 +123,32 @@ def mix_sources(
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ranked_before")))
     return copy.select(
         "doc_id", "source", "size", "source_size", "target",
-        (passes * F.col("size") + last).cast("long").alias("taken"), "ranked_before",
+        (passes * F.col("size") + last).cast("long").alias("taken"), "ranked_before", "row",
     )
+
+
+def mixed_documents(
+    docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, once for each time the mix takes them.
+
+    Whole passes repeat a row; where the mix takes only the first words of a document (one in
+    each source), its last copy is these words joined by spaces. Rows of size 0 have nothing to
+    take and are left out.
+    """
+    taken = mix_sources(docs, weights, share, max_epochs, seed).groupBy("row").agg(
+        F.sum("taken").alias("_words"), F.first("size").alias("_size"),
+    ).where(F.col("_words") > 0).withColumnRenamed("row", "_row")
+    # equal rows share their digest: one of them stands for all, as often as they are taken together
+    met = docs.withColumn("_row", _row_digest()).join(taken, "_row").dropDuplicates(["_row"])
+    copies = F.ceil(F.col("_words") / F.col("_size")).cast("int")
+    repeated = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    rest = (F.col("_words") % F.col("_size")).cast("int")
+    cut = (F.col("_copy") == copies) & (rest > 0)
+    tokens = F.array_remove(F.split("text", TOKEN_BREAK), "")
+    text = F.when(cut, F.array_join(F.slice(tokens, 1, rest), " ")).otherwise(F.col("text"))
+    return repeated.withColumn("text", text).select(docs.columns)
+
+
+def _row_digest() -> Column:
+    return F.xxhash64(row_key(F.col("doc_id"), F.col("text")), F.col("source"), F.col("source").isNull())

@@ -12,7 +12,7 @@ from .crf import LOWER, STEMS, WORD, Crf, fit_crf, split_words
 from .quality import MAX_LABELS, label_bucket, training_labels
 from .text import words
 
-MAX_SEQUENCES = 3_000
+MAX_SEQUENCES = 1_500
 MAX_LEXICON = 5_000
 DOCS_PER_STEP = 512
 
