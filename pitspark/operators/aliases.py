@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+
+def ranked_aliases(alias: DataFrame) -> DataFrame:
+    """``alias`` with alias_rank: entries of a code in order of validity, an open start first."""
+    if "alias_rank" in alias.columns:
+        return alias
+    by_start = Window.partitionBy("canonical_code").orderBy(F.col("valid_from").asc_nulls_first(), "historical_code")
+    return alias.withColumn("alias_rank", F.row_number().over(by_start))
 
 
 def alias_stitch(bars: DataFrame, alias: DataFrame, day: str = "trade_date") -> DataFrame:
     """Bars per canonical code, each alias only within its inclusive validity.
 
-    ``alias`` has canonical_code, historical_code, valid_from, valid_to and
-    alias_rank; on a day covered twice the later alias wins. A code that heads
+    ``alias`` has canonical_code, historical_code, valid_from and valid_to, and
+    may have alias_rank; on a day covered twice the later alias wins. A code that heads
     no alias entry passes unrestricted and without a shuffle; only the bars of
     listed codes are joined and reduced.
     """
+    alias = ranked_aliases(alias)
     payload = [c for c in bars.columns if c not in ("code", day)]
     heads = alias.select(F.col("canonical_code").alias("code")).distinct()
     plain = bars.join(heads, "code", "left_anti")

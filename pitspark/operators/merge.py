@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Fixed values below: key and column names of the stored tables.
 OVERWRITE = "overwrite"
 COALESCE = "coalesce"
 INSERT_ONLY = "insert_only"
 
+MAX_SLICES = 10_000
+
 BAR_KEYS = ["trade_date", "code"]
 FACT_KEYS = ["code", "report_period", "ann_date", "revision_id"]
 
@@ -62,6 +65,30 @@ def collapse_batch(
     return batch.groupBy(*keys).agg(*[fold(c, policy.get(c, INSERT_ONLY), by) for c in rest])
 
 
+def unique_keys(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """``batch``, failing at run time on a repeated key; the merge's join reuses its shuffle."""
+    rest = [c for c in batch.columns if c not in keys]
+    counted = batch.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.first(F.struct(F.lit(0).alias("_one"), *rest)).alias("_row")
+    )
+    once = F.when(F.col("_n") > 1, F.raise_error(F.lit("merge batch repeats a key"))).otherwise(F.col("_row"))
+    checked = counted.select(*keys, once.alias("_row"))
+    return checked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def with_keys(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with a whole key; a NULL key matches nothing, so each run would add its row again."""
+    return batch.dropna(how="any", subset=keys)
+
+
+def without_keys(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows ``with_keys`` leaves out, to be kept as rejects."""
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    return batch.where(missing)
+
+
 def merge_upsert(
     target: DataFrame,
     batch: DataFrame,
@@ -69,12 +96,12 @@ def merge_upsert(
     policy: dict[str, str],
     order: str | list[str] | None = None,
 ) -> DataFrame:
-    """``target`` after the batch. Without ``order`` the batch must hold each key once.
+    """``target`` after the batch. Without ``order`` a repeated key in the batch is an error.
 
     Both sides hold a key once when they meet, so the join has no skewed group.
     Columns the batch lacks keep the target's value.
     """
-    incoming = batch if order is None else collapse_batch(batch, keys, policy, order)
+    incoming = unique_keys(batch, keys) if order is None else collapse_batch(batch, keys, policy, order)
     shared = [c for c in target.columns if c not in keys and c in incoming.columns]
     new = incoming.select(*keys, F.struct(*shared).alias("_new"), F.lit(True).alias("_in_new"))
     old = target.withColumn("_in_old", F.lit(True))
@@ -107,12 +134,17 @@ def merge_touched(
     ``part`` is a function of the key with few values (the year of a bar). The
     untouched slices, normally nearly all of the table, pass through without a
     shuffle; with ``part`` as partition column the split is a partition filter.
+    A NULL slice of the batch touches no slice of the target; rows of the target
+    with a NULL slice always pass through. More than ``MAX_SLICES`` touched
+    slices are an error: ``part`` is then not a calendar unit.
     """
-    # A slice is a calendar unit, so the list of touched ones is short by construction.
-    touched = [r[0] for r in batch.select(part).distinct().collect()]
-    hit = part.isin(touched)
+    slices = batch.select(part.alias("part")).where("part is not null").distinct()
+    touched = [r[0] for r in slices.limit(MAX_SLICES + 1).collect()]
+    if len(touched) > MAX_SLICES:
+        raise ValueError(f"a batch may touch {MAX_SLICES} slices; choose a coarser part")
+    hit = F.coalesce(part.isin(touched), F.lit(False))
     merged = merge_upsert(target.where(hit), batch, keys, policy, order)
-    return target.where(~hit | part.isNull()).unionByName(merged)
+    return target.where(~hit).unionByName(merged)
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:

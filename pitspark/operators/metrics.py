@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import decide
+from ..session import materialize
 
-# Scores are cut into COARSE buckets, each of them into FINE ones.
-COARSE = 4096
-FINE = 4096
 THRESHOLD = 0.5
 
 
@@ -27,15 +25,11 @@ def ranked_totals(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: class counts, decisions and ranking wins of rows (``truth``, ``prob``).
 
     Rows are first reduced to distinct scores. Ranking those in one window per
-    group would send a whole model to one task, so the negatives below a score
-    are counted in three steps over fixed score buckets: whole coarse buckets
-    below, whole fine buckets below within the coarse one, and scores below
-    within the fine one. Only the last window reads scores, and there a task
-    holds the scores of buckets of width 2^-24; the other two read at most 4096
-    rows per partition. Bucket edges are constants, so a re-run task counts the
-    same rows.
+    group would send a whole model to one task, so they are range-partitioned by
+    group and score into slices of like size, wherever the scores crowd, and
+    written with their slice number. Negatives below a score are those of the
+    slices before (a row per group and slice) plus those before it in its slice.
     """
-    cell = F.floor(F.least(F.col("prob"), F.lit(1.0)) * (COARSE * FINE))
     chosen = decide(F.col("prob"), THRESHOLD)
     counts = ["pos", "neg", "tp", "fp"]
     level = (
@@ -49,14 +43,12 @@ def ranked_totals(scored: DataFrame, keys: list[str]) -> DataFrame:
                 "tp": F.col("pos") * chosen,
                 "fp": F.col("neg") * chosen,
                 "wins": F.col("pos") * F.col("neg") / 2,
-                "_fine": cell,
-                "_coarse": F.floor(cell / FINE),
             }
         )
     )
-    for partition, order in (
-        (["_coarse", "_fine"], "prob"), (["_coarse"], "_fine"), ([], "_coarse"),
-    ):
+    sliced = level.repartitionByRange(*keys, "prob").withColumn("_slice", F.spark_partition_id())
+    level = materialize(sliced, "score-slices")
+    for partition, order in ((["_slice"], "prob"), ([], "_slice")):
         w = (
             Window.partitionBy(*keys, *partition)
             .orderBy(order)

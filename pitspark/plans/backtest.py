@@ -27,11 +27,18 @@ class Backtest:
 
 def run_backtest(
     bars: DataFrame, membership: DataFrame, facts: DataFrame, jobs: DataFrame,
-    allow_partial: bool = False,
+    allow_partial: bool = False, out_dir: str | None = None,
 ) -> Backtest:
-    """Stop at the gate unless it is met or a partial run is allowed."""
+    """Stop at the gate unless it is met or a partial run is allowed.
+
+    With ``out_dir`` the gate report and the missing codes are written before the stop,
+    so that a stopped run leaves them behind.
+    """
     gate = ql.gate_report(membership, tradable_bars(bars), jobs)
     gate = materialize(gate, "gate")
+    if out_dir is not None:
+        sinks.write_json(gate, f"{out_dir}/gate")
+        sinks.write_csv(ql.gate_missing(membership, tradable_bars(bars)).orderBy("code"), f"{out_dir}/gate_missing")
     ql.enforce_gate(gate, allow_partial)
     panel = build_panel(bars, membership, facts).withColumn("year", F.year("trade_date"))
     panel = materialize(panel, "panel", ["year"])
@@ -43,7 +50,7 @@ def run_backtest(
 
 
 def write_results(result: Backtest, out_dir: str) -> None:
-    sinks.write_json(result.gate, f"{out_dir}/gate")
+    """All result files but the gate's, which ``run_backtest`` writes first."""
     sinks.write_csv(result.panel.orderBy("code", "trade_date"), f"{out_dir}/pit_panel")
     sinks.write_csv(result.by_year, f"{out_dir}/walk_forward_metrics_by_year")
     sinks.write_csv(result.overall, f"{out_dir}/walk_forward_metrics_overall")

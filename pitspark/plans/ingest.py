@@ -18,10 +18,17 @@ ADJUSTED = ["open_qfq", "high_qfq", "low_qfq", "close_qfq"]
 
 
 def _series(lines: DataFrame, alias: DataFrame, universe: DataFrame) -> DataFrame:
-    """Parsed lines of one price basis, stitched to canonical codes of the universe."""
-    parsed = bar_source.parse_kline_lines(lines.select("code", "line"))
+    """Parsed lines of one price basis, stitched to canonical codes of the universe.
+
+    A day landed twice counts once, with the line that arrived last (``arrival``; where
+    the lines have none, the greatest line).
+    """
+    arrival = F.col("arrival") if "arrival" in lines.columns else F.col("line")
+    parsed = bar_source.parse_kline_lines(lines.select("code", "line", arrival.alias("_arrival")))
     clean = bar_source.quarantine_payloads(parsed, ["code"]).withColumnRenamed("date", "trade_date")
-    stitched = al.alias_stitch(clean, alias)
+    payload = [c for c in clean.columns if c not in ("code", "trade_date", "_arrival")]
+    last = clean.groupBy("code", "trade_date").agg(F.max_by(F.struct(*payload), "_arrival").alias("_last"))
+    stitched = al.alias_stitch(last.select("code", "trade_date", "_last.*"), alias)
     return stitched.join(universe.select("code").distinct(), "code", "left_semi")
 
 
@@ -47,29 +54,44 @@ def primary_bars(
 
 
 def archive_bars(bars: DataFrame, source_id: str = "S014") -> DataFrame:
+    """Archive rows in the bar schema, with their ``arrival`` if the scan gave one."""
     return _conform(bar_source.normalise_archive_bars(bars, source_id))
 
 
 def _conform(df: DataFrame) -> DataFrame:
-    """All columns of the bar table, absent ones NULL."""
+    """All columns of the bar table, absent ones NULL, and ``arrival`` where there is one."""
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in MARKET_DAILY.fields
-        ]
+        ],
+        *[F.col(c) for c in ("arrival",) if c in df.columns],
     )
 
 
+def rejected_bars(batch: DataFrame) -> DataFrame:
+    """Rows of a batch without a date or code; a merge leaves them out."""
+    return mg.without_keys(batch, mg.BAR_KEYS)
+
+
 def merge_bars(target: DataFrame, batch: DataFrame, primary: bool, order: str | None = None) -> DataFrame:
-    """Upsert a batch; only the years it touches are joined."""
+    """Upsert a batch; only the years it touches are joined.
+
+    Rows apply in the order of ``order``, by default of the batch's ``arrival``; a batch
+    without either must hold each key once. Rows without a whole key (``rejected_bars``)
+    are not merged.
+    """
     policy = mg.PRIMARY_BAR_POLICY if primary else mg.FALLBACK_BAR_POLICY
-    return mg.merge_touched(target, batch, mg.BAR_KEYS, policy, order, F.year("trade_date"))
+    if order is None and "arrival" in batch.columns:
+        order = "arrival"
+    keyed = mg.with_keys(batch, mg.BAR_KEYS)
+    return mg.merge_touched(target, keyed, mg.BAR_KEYS, policy, order, F.year("trade_date"))
 
 
 def candidates(universe: DataFrame, alias: DataFrame) -> DataFrame:
     """(code, listing, rank): a company's own code first, then its other listings."""
     own = universe.select("code", F.col("code").alias("listing"), F.lit(0).alias("rank"))
-    others = alias.where("historical_code <> canonical_code").select(
+    others = al.ranked_aliases(alias).where("historical_code <> canonical_code").select(
         F.col("canonical_code").alias("code"), F.col("historical_code").alias("listing"),
         F.col("alias_rank").cast("int").alias("rank"),
     )
@@ -83,11 +105,36 @@ def primary_facts(pages: DataFrame, universe: DataFrame, alias: DataFrame) -> Da
     return fund.normalise_primary(al.first_source(ranked, "code", "rank"))
 
 
+def archive_facts(
+    files: DataFrame, records: DataFrame, universe: DataFrame, alias: DataFrame, min_bytes: int = 100,
+) -> DataFrame:
+    """Archived records to facts of the first listing whose file was found.
+
+    ``files`` has (listing, n_bytes, parsed), a row per archive file; ``records`` the rows
+    of the files (listing, the archive's fields, arrival). A listing's file counts if it is
+    larger than ``min_bytes`` and was readable, even if it then holds no row.
+    """
+    ranked = candidates(universe, alias)
+    found = al.archive_candidates(files.join(ranked, "listing"), min_bytes)
+    rows = records.drop("code").join(ranked, "listing")
+    best = al.first_source(rows, "code", "rank", found)
+    return fund.normalise_archive(best.withColumn("SECURITY_CODE", F.col("code")))
+
+
 def merge_facts(target: DataFrame, batch: DataFrame, primary: bool, order: str | list[str] | None) -> DataFrame:
     policy = mg.PRIMARY_FACT_POLICY if primary else mg.ARCHIVE_FACT_POLICY
     return mg.merge_upsert(target, batch, mg.FACT_KEYS, policy, order)
 
 
+def fallback_report(
+    jobs: DataFrame, job_id: str, table: DataFrame, date: str, value: str, universe: DataFrame,
+    status: str = "FALLBACK",
+) -> DataFrame:
+    """Ledger after an archive run: entities with a value over the whole table."""
+    filled = table.where(F.col(value).isNotNull())
+    return report(jobs, job_id, filled, table, date, universe, status)
+
+
 def report(
     jobs: DataFrame, job_id: str, batch: DataFrame, table: DataFrame, date: str, universe: DataFrame,
     status: str = "FETCHED",

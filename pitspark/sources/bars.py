@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import date_prefix, nan_to_null, pad_code, to_number
-from .landing import require_rows
+from .landing import landing_order, require_rows
 
 # Field order of one k-line text line.
 KLINE_FIELDS = [
@@ -15,33 +15,18 @@ FEATURE_BAR_COLUMNS = [
     "trade_date", "code", "open_qfq", "high_qfq", "low_qfq", "close_qfq",
     "volume_shares", "amount_cny", "turnover_pct",
 ]
-# Universes up to this many codes are also pushed into the Parquet scan as literals.
-PUSHDOWN_CODES = 1000
 
 
-def _code_literals(codes: list[str], dtype: T.DataType) -> list:
-    if isinstance(dtype, T.StringType):
-        return sorted({c[i:] for c in codes for i in range(len(c) - len(c.lstrip("0")) + 1)} - {""})
-    return sorted({int(c) for c in codes if c.isdigit()})
-
-
-def scan_bar_archive(
-    spark: SparkSession, path: str, universe: DataFrame, pushdown_codes: int = PUSHDOWN_CODES
-) -> DataFrame:
-    """Bars of the universe from a (globbed) Parquet path, codes padded.
+def scan_bar_archive(spark: SparkSession, path: str, universe: DataFrame) -> DataFrame:
+    """Bars of the universe from a (globbed) Parquet path, codes padded, with ``arrival``.
 
     Matching is on the padded code, as a semi join whose strategy Spark picks
-    from measured sizes. A universe small enough to be listed is pushed to the
-    scan as well, in every unpadded spelling, so that row groups are skipped.
+    from measured sizes. ``arrival`` is the landing order, for merges.
     """
-    raw = spark.read.parquet(path)
     targets = universe.select(pad_code(F.col("code")).alias("code")).distinct()
-    listed = [r.code for r in targets.limit(pushdown_codes + 1).collect()]
-    if len(listed) <= pushdown_codes:
-        raw = raw.where(F.col("code").isin(_code_literals(listed, raw.schema["code"].dataType)))
-    bars = raw.withColumn("code", pad_code(F.col("code"))).withColumn(
-        "date", F.col("date").cast("date")
-    )
+    bars = spark.read.parquet(path).withColumns({
+        "code": pad_code(F.col("code")), "date": F.col("date").cast("date"), "arrival": landing_order(),
+    })
     return bars.join(targets, "code", "left_semi")
 
 
@@ -53,7 +38,7 @@ def read_bar_archive(spark: SparkSession, path: str, universe: DataFrame) -> Dat
 def normalise_archive_bars(
     bars: DataFrame, source_id: str = "S014", ingest_ts: Column | None = None
 ) -> DataFrame:
-    """Archive rows in the bar schema: prices are adjusted ones, raw prices stay NULL."""
+    """Archive rows in the bar schema, prices adjusted ones, raw prices NULL; ``arrival`` is kept."""
     def number(name: str) -> Column:
         return nan_to_null(F.col(name).cast("double"))
 
@@ -78,26 +63,31 @@ def normalise_archive_bars(
         number("low").alias("low_qfq"),
         none.alias("amplitude_pct"),
         none.alias("change_amt"),
+        *[F.col(c) for c in ("arrival",) if c in bars.columns],
     )
 
 
 def parse_kline_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Comma-joined k-line text to typed columns; lines under eleven fields are skipped.
 
-    ``malformed`` marks a line with a number that does not parse.
+    ``malformed`` marks a line whose date or whose numbers do not parse; ``nan`` is a
+    number that is missing.
     """
     parts = F.split(F.col(line), ",")
     keep = [c for c in lines.columns if c != line]
-    numbers = [to_number(F.get(F.col("_p"), i + 1)).alias(n) for i, n in enumerate(KLINE_FIELDS)]
-    parsed = (
+    field = [F.get(F.col("_p"), i) for i in range(len(KLINE_FIELDS) + 1)]
+    day = date_prefix(field[0])
+    bad = day.isNull()
+    for text in field[1:]:
+        bad = bad | (to_number(text).isNull() & ~F.lower(F.trim(text)).isin("nan", "+nan", "-nan"))
+    return (
         lines.select(*keep, parts.alias("_p"))
         .where(F.size("_p") >= 11)
-        .select(*keep, date_prefix(F.get(F.col("_p"), 0)).alias("date"), *numbers)
+        .select(
+            *keep, day.alias("date"), *[to_number(x).alias(n) for n, x in zip(KLINE_FIELDS, field[1:])],
+            bad.alias("malformed"),
+        )
     )
-    bad = F.lit(False)
-    for name in KLINE_FIELDS:
-        bad = bad | F.col(name).isNull()
-    return parsed.withColumn("malformed", bad)
 
 
 def quarantine_payloads(parsed: DataFrame, payload: list[str]) -> DataFrame:
@@ -120,14 +110,3 @@ def tradable_bars(bars: DataFrame) -> DataFrame:
     return bars.where("close_qfq is not null and (is_trade is null or is_trade = 1)").select(
         *FEATURE_BAR_COLUMNS
     )
-
-
-def membership_columns(history: DataFrame) -> DataFrame:
-    return history.select("code", "in_date", "out_date")
-
-
-def fundamental_columns(facts: DataFrame) -> DataFrame:
-    return facts.select(
-        "code", "report_period", "ann_date", "available_date", "revision_id",
-        "revenue_yoy_pct", "net_profit_yoy_pct", "roe_weighted_pct", "gross_margin_pct",
-    )

@@ -8,7 +8,7 @@ from ..functions.scalars import (
     availability_date, date_prefix, first_number, first_text, revision_id, to_number,
 )
 from ..schemas import FINANCIAL_QUARTERLY, FUNDAMENTAL_PAGE
-from .landing import landing_order
+from .landing import read_csv_by_header
 
 ARCHIVE_FIELDS = [
     "SECURITY_CODE", "REPORT_DATE", "NOTICE_DATE", "UPDATE_DATE", "REPORT_TYPE",
@@ -37,13 +37,13 @@ def read_fundamental_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fundamental_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Archived CSV rows as text, with their landing order."""
-    raw = spark.read.option("header", True).csv(path)
+    """Archived CSV rows as text, each file under its own header, with their landing order."""
+    raw = read_csv_by_header(spark, path)
     cols = [
         (F.col(c) if c in raw.columns else F.lit(None)).cast("string").alias(c)
         for c in ARCHIVE_FIELDS
     ]
-    return raw.select(*cols, landing_order().alias("arrival"))
+    return raw.select(*cols, "arrival")
 
 
 def _target(rows: DataFrame, values: dict[str, Column], extra: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 class EmptySourceError(RuntimeError):
@@ -28,3 +30,25 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise EmptySourceError(f"{what} returned no rows")
     return df
+
+
+def read_csv_by_header(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files as text with ``arrival``; every file is read under its own header.
+
+    Files are grouped by their first line, so a column stands under its name in all
+    of them whatever its place, and is NULL where a file lacks it. The list of files
+    is what Spark itself holds to plan the scan.
+    """
+    heads = (
+        spark.read.text(path).where("_metadata.file_block_start = 0")
+        .select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+        .groupBy("file").agg(F.min_by("value", "at").alias("header"))
+        .groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    )
+    frames = []
+    for head in heads:
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(list(head.files))
+        frames.append(raw.withColumn("arrival", landing_order()))
+    if not frames:
+        return spark.read.option("header", True).csv(path).withColumn("arrival", landing_order())
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

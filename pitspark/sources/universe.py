@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import exchange_or_derived
-from .landing import landing_order
+from .landing import read_csv_by_header
 
 
 def dedupe_universe(rows: DataFrame, order: Column, keep: str = "first") -> DataFrame:
@@ -37,6 +37,5 @@ def dedupe_universe(rows: DataFrame, order: Column, keep: str = "first") -> Data
 
 
 def read_universe(spark: SparkSession, path: str, keep: str = "first") -> DataFrame:
-    """CSV universe scan. Columns are matched by header name and read as text."""
-    rows = spark.read.option("header", True).csv(path)
-    return dedupe_universe(rows, landing_order(), keep)
+    """CSV universe scan. Columns are matched by the header of each file and read as text."""
+    return dedupe_universe(read_csv_by_header(spark, path), F.col("arrival"), keep)

@@ -107,3 +107,20 @@ def test_first_source_with_accepted_file_without_rows(spark):
     assert sorted(r.v for r in first_source(rows, "code", "rank").collect()) == [10, 30]
     files = spark.createDataFrame([("a", 0), ("b", 2)], "code string, rank int")
     assert [r.v for r in first_source(rows, "code", "rank", files).collect()] == [30]
+
+
+def test_null_slice_and_null_keys_lose_nothing(spark):
+    target = spark.createDataFrame([(1, 1.0), (11, 2.0), (21, 3.0), (None, 4.0)], "k int, v double")
+    batch = spark.createDataFrame([(11, 9.0), (None, 8.0)], "k int, v double")
+    part = F.floor(F.col("k") / 10)
+    got = mg.merge_touched(target, batch, ["k"], {"v": mg.OVERWRITE}, None, part)
+    assert sorted((r.k is None, r.k or 0, r.v) for r in got.collect()) == [
+        (False, 1, 1.0), (False, 11, 9.0), (False, 21, 3.0), (True, 0, 4.0), (True, 0, 8.0)]
+    assert mg.with_keys(batch, ["k"]).count() == 1 and mg.without_keys(batch, ["k"]).count() == 1
+
+
+def test_a_repeated_key_without_order_is_an_error(spark):
+    target = spark.createDataFrame([(1, 1.0)], "k int, v double")
+    batch = spark.createDataFrame([(1, 2.0), (1, 3.0)], "k int, v double")
+    with pytest.raises(Exception, match="repeats a key"):
+        mg.merge_upsert(target, batch, ["k"], {"v": mg.OVERWRITE}).collect()

@@ -5,13 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from pitspark.operators.features import with_rolling
 from pitspark.operators.merge import FALLBACK_BAR_POLICY, BAR_KEYS, merge_touched
 from pitspark.operators.model import year_of
 from pitspark.plans.panel import build_panel
 from pitspark.session import materialize
 from pitspark.sources.bars import tradable_bars
+from workload import QUERIES
 from workload.fixtures import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -70,7 +70,7 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "
 HEAVY = {"walk_forward_predictions", "walk_forward_metrics", "backtest_summary"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - HEAVY))
 def test_no_query_crosses_rows_or_runs_python(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     assert not [op for op in FORBIDDEN if op in text]

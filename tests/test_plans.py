@@ -7,7 +7,7 @@ from pitspark import schemas
 from pitspark.operators import quality as ql
 from pitspark.plans import backtest, ingest, membership
 from pitspark.session import materialize, shared_dir
-from pitspark.sources import seeds
+from pitspark.sources import fundamentals as fund, seeds
 
 D0 = dt.date(2016, 1, 4)
 
@@ -21,9 +21,54 @@ def lines(spark, rows):
 
 
 def alias(spark):
-    return seeds.code_alias(spark).withColumn(
-        "alias_rank", F.when(F.col("historical_code") == F.col("canonical_code"), 2).otherwise(1)
-    )
+    return seeds.code_alias(spark)
+
+
+def test_lines_landed_twice_are_one_bar(spark):
+    rows = [("600001", line("2025-05-06", 7), 1), ("600001", line("2025-05-06", 8), 2), ("600001", line("2025-05-07", 9), 1)]
+    twice = spark.createDataFrame(rows + rows[:1], "code string, line string, arrival int")
+    universe = spark.createDataFrame([("600001",)], "code string")
+    bars = ingest.primary_bars(twice, twice, alias(spark), universe).collect()
+    assert sorted((str(r.trade_date), r.close_raw, r.prev_close_raw) for r in bars) == [
+        ("2025-05-06", 8.0, None), ("2025-05-07", 9.0, 8.0)]
+
+
+def test_archive_facts_take_the_first_listing_found(spark):
+    universe = spark.createDataFrame([("920819",), ("600000",)], "code string")
+    files = spark.createDataFrame(
+        [("920819", 50, True), ("833819", 500, True), ("600000", 500, False)], "listing string, n_bytes int, parsed boolean")
+    fields = [f"{f} string" for f in fund.ARCHIVE_FIELDS]
+    record = ["833819", "2024-03-31", "2024-04-20", None, "Q1", "7", None, None, None, None]
+    records = spark.createDataFrame([("833819", 1, *record), ("600000", 1, *record)], "listing string, arrival int, " + ", ".join(fields))
+    batch = ingest.archive_facts(files, records, universe, alias(spark))
+    assert [(r.code, r.revenue_cny) for r in batch.collect()] == [("920819", 7.0)]
+    empty = spark.createDataFrame([], schemas.FINANCIAL_QUARTERLY)
+    assert ingest.merge_facts(empty, batch, False, "arrival").count() == 1
+
+
+def test_a_stopped_run_leaves_its_gate_report(spark, tmp_path):
+    bars = spark.createDataFrame([], schemas.MARKET_DAILY)
+    members = spark.createDataFrame([], schemas.MEMBERSHIP_HISTORY)
+    facts = spark.createDataFrame([], schemas.FINANCIAL_QUARTERLY)
+    with pytest.raises(ql.GateError):
+        backtest.run_backtest(bars, members, facts, seeds.initial_jobs(spark), out_dir=str(tmp_path))
+    assert spark.read.json(str(tmp_path / "gate")).first().formal_ok is False
+    assert (tmp_path / "gate_missing").exists()
+
+
+def test_shared_folder_is_required_off_local_mode():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
 
 
 def test_primary_ingest_stitches_and_merges(spark):

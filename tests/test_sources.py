@@ -67,21 +67,40 @@ def test_bar_archive(spark, tmp_path):
     df = spark.createDataFrame(rows, "code string, date string, close double")
     df.write.parquet(str(tmp_path / "kline_a.parquet"))
     universe = spark.createDataFrame([("1",)], "code string")
-    for limit in (1000, 0):  # listed in the scan, and joined only
-        got = bs.scan_bar_archive(spark, str(tmp_path / "kline_*.parquet"), universe, limit)
-        assert sorted((r.code, r.close) for r in got.collect()) == [("000001", 1.0), ("000001", 2.0)]
+    got = bs.scan_bar_archive(spark, str(tmp_path / "kline_*.parquet"), universe)
+    assert sorted((r.code, r.close) for r in got.collect()) == [("000001", 1.0), ("000001", 2.0)]
     with pytest.raises(EmptySourceError):
         bs.read_bar_archive(spark, str(tmp_path / "kline_*.parquet"), universe.where("code = 'x'"))
     with pytest.raises(Exception):
         bs.read_bar_archive(spark, str(tmp_path / "none_*.parquet"), universe)
 
 
-def test_integer_codes_are_pushed_down_too(spark, tmp_path):
+def test_integer_codes_match_and_no_job_runs_while_the_plan_is_built(spark, tmp_path):
     df = spark.createDataFrame([(1, "2020-01-02"), (2, "2020-01-02")], "code int, date string")
     df.write.parquet(str(tmp_path / "kline_a.parquet"))
-    got = bs.scan_bar_archive(spark, str(tmp_path / "kline_*"), spark.createDataFrame([("000001",)], "code string"))
+    schema = spark.read.parquet(str(tmp_path / "kline_*")).schema
+    spark.sparkContext.setJobGroup("scan-plan", "")
+    rows = [("000001",), ("",), ("٣",)]
+    got = bs.scan_bar_archive(spark, str(tmp_path / "kline_*"), spark.createDataFrame(rows, "code string"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("scan-plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert schema["code"].dataType.typeName() == "integer" and len(jobs) <= 1  # the footer's schema at most
     assert [r.code for r in got.collect()] == ["000001"]
-    assert "PushedFilters: [IsNotNull(code), EqualTo(code,1)" in got._jdf.queryExecution().toString()
+
+
+def test_files_are_read_under_their_own_headers(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("code,name\n000001,one\n")
+    (tmp_path / "2.csv").write_text("name,exchange,code\ntwo,sz,000002\n")
+    got = {r.code: (r.name, r.exchange) for r in read_universe(spark, str(tmp_path)).collect()}
+    assert got == {"000001": ("one", "SZ"), "000002": ("two", "SZ")}
+
+
+def test_unreadable_dates_are_malformed_and_nan_is_missing(spark):
+    good = "2020-01-02,1,2,3,0.5,100,200,5,1.5,0.1,0.7"
+    rows = [("a", good), ("a", good.replace(",1.5,", ",nan,")), ("b", good.replace("2020-01-02", "soon"))]
+    parsed = bs.parse_kline_lines(spark.createDataFrame(rows, "code string, line string"))
+    assert sorted((r.code, r.malformed) for r in parsed.collect()) == [("a", False), ("a", False), ("b", True)]
+    assert parsed.where("pct is null and code = 'a'").count() == 1
 
 
 def test_kline_lines(spark):

@@ -155,7 +155,7 @@ class Tables:
         last = F.when(F.col("event_id") % 6 == 0, F.lit("2024-01-30").cast("date")).when(
             F.col("event_id") % 9 == 0, day
         )
-        return self.read("events").where("event_type = 'signup'").select(
+        return self.read("events").select(
             F.col("event_id").alias("todo_id"), "user_id",
             F.when(F.col("event_id") % 3 == 0, "daily").otherwise("once").alias("type"),
             day.alias("created"), last.alias("last_done"),
@@ -283,7 +283,7 @@ SQL = {
     CASE WHEN event_id % 3 = 0 THEN 'daily' ELSE 'once' END AS type, CAST(ts AS DATE) AS created,
     CASE WHEN event_id % 6 = 0 THEN DATE '2024-01-30'
          WHEN event_id % 9 = 0 THEN CAST(ts AS DATE) END AS last_done
-  FROM events WHERE event_type = 'signup'""",
+  FROM events""",
     "fx_scored": """
   SELECT 'risk_label' AS target, CAST(year(l_shipdate) AS INTEGER) AS test_year,
     CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS truth, 'coarse' AS model,

@@ -93,7 +93,7 @@ ARCHIVE_SQL = """
 )
 def archive_scan(t: Tables) -> DataFrame:
     universe = t.company().where("current_member = 1")
-    return rounded(bar_source.read_bar_archive(t.spark, _archive(t), universe))
+    return rounded(bar_source.read_bar_archive(t.spark, _archive(t), universe).drop("arrival"))
 
 
 @query(
