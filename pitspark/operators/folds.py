@@ -143,7 +143,7 @@ def exact_medians(
     ``bounds`` has per group ``n_<c>`` and ``lo_<c>, hi_<c>``, two approximate
     quantiles just around the middle. Values below are only counted and values
     between them are counted per distinct value, so what is ranked is a small
-    slice around the middle, never a column. ``bounds`` is broadcast: one row
+    part around the middle, never a column. ``bounds`` is broadcast: one row
     per group, and groups are folds.
     """
     placed = rows.select(*keys, *columns).join(F.broadcast(bounds), keys)
@@ -167,10 +167,21 @@ def exact_medians(
         .agg(F.count("*").alias("copies"))
     )
     group = keys + ["feature"]
-    upto = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    # Ranked in slices of like size, written with their number, so that no task holds the
+    # candidates of a whole column; a slice starts after the copies in the slices before it.
+    sliced = materialize(
+        near.repartitionByRange(*group, "value").withColumn("_slice", F.spark_partition_id()), "median-slices",
+    )
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(*group, "_slice").agg(F.sum("copies").alias("_copies")).select(
+        *group, "_slice", F.coalesce(F.sum("_copies").over(earlier), F.lit(0)).alias("_before"),
+    )
+    upto = Window.partitionBy(*group, "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        near.join(F.broadcast(below.join(sizes, group)), group)
-        .withColumn("_last", F.col("below") + F.sum("copies").over(upto))
+        sliced.withColumn("_inside", F.sum("copies").over(upto))
+        .join(offsets, [*group, "_slice"])
+        .join(F.broadcast(below.join(sizes, group)), group)
+        .withColumn("_last", F.col("below") + F.col("_before") + F.col("_inside"))
         .withColumn("_first", F.col("_last") - F.col("copies") + 1)
     )
 

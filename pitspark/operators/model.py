@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import decide
 from ..schemas import FEATURE_SETS, TARGETS
@@ -74,17 +73,53 @@ def fit(
     return Fit(columns, scaling, [float(v) for v in model.coefficients], float(model.intercept))
 
 
-def score(test: DataFrame, target: str, test_year: int, fits: dict[str, Fit]) -> DataFrame:
-    """Predictions of all feature sets of a fold from one scan of its test rows."""
-    probs = F.array(*[F.struct(F.lit(n).alias("model"), f.prob().alias("prob")) for n, f in fits.items()])
-    return (
-        test.select("trade_date", "code", *OUTCOMES, F.explode(probs).alias("_p"))
-        .select(
-            "trade_date", "code", *OUTCOMES, F.lit(target).alias("target"), "_p.model",
-            F.lit(test_year).alias("test_year"), "_p.prob",
-        )
-        .withColumn("pred", decide(F.col("prob")))
+def coefficient_table(spark: SparkSession, fits: dict[tuple, dict[str, Fit]], columns: list[str]) -> DataFrame:
+    """(target, test_year, models): a row per fold with the numbers of its fitted sets.
+
+    ``models`` has per set the name, the intercept and, in the order of ``columns``, median,
+    mean, deviation and weight; a column the set does not use has weight 0.
+    """
+    rows = []
+    for (target, year), sets in fits.items():
+        models = []
+        for name, f in sets.items():
+            weight = dict(zip(f.columns, f.coefficients))
+            terms = []
+            for c in columns:
+                s = f.scaling[c] if c in weight else Scaling(0.0, 0.0, 1.0)
+                terms.append((s.median, s.mean, s.std if s.std > 0 else 1.0, weight.get(c, 0.0)))
+            models.append((name, f.intercept, terms))
+        rows.append((target, year, models))
+    return spark.createDataFrame(
+        rows,
+        "target string, test_year int, models array<struct<model: string, intercept: double, "
+        "terms: array<struct<median: double, mean: double, std: double, weight: double>>>>",
+    )
+
+
+def score_folds(panel: DataFrame, fits: dict[tuple, dict[str, Fit]], targets: list[str] = TARGETS) -> DataFrame:
+    """Predictions of all folds and feature sets from one scan of the panel.
+
+    Every labelled row meets the models of its target and year through a broadcast table
+    bounded by folds, sets and features.
+    """
+    columns = [*dict.fromkeys(c for s in FEATURE_SETS.values() for c in s)]
+    table = F.broadcast(coefficient_table(panel.sparkSession, fits, columns))
+    each = F.array(*[F.struct(F.lit(t).alias("target"), labelled(panel, t).alias("known")) for t in targets])
+    rows = (
+        panel.select("trade_date", "code", *OUTCOMES, *columns, year_of(panel).alias("test_year"), F.explode(each).alias("_t"))
+        .where("_t.known").withColumn("target", F.col("_t.target"))
+        .join(table, ["target", "test_year"])
+        .withColumn("_m", F.explode("models"))
     )
+    margin = F.col("_m.intercept")
+    for i, c in enumerate(columns):
+        t = F.col("_m.terms")[i]
+        value = (F.coalesce(F.col(c), t["median"]) - t["mean"]) / t["std"]
+        margin = margin + F.when(t["weight"] != 0, t["weight"] * value).otherwise(0.0)
+    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+    scored = rows.withColumns({"model": F.col("_m.model"), "prob": prob})
+    return scored.withColumn("pred", decide(F.col("prob"))).select(*PREDICTION_COLUMNS)
 
 
 def fold_plan(panel: DataFrame, targets: list[str] = TARGETS) -> list[dict]:
@@ -122,43 +157,32 @@ def fit_fold(panel: DataFrame, item: dict, name: str) -> Fit:
 
 
 def walk_forward(
-    panel: DataFrame, targets: list[str] = TARGETS, parallel_fits: int = 8
+    panel: DataFrame, targets: list[str] = TARGETS, parallel_fits: int = 2
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics per fold and feature set, predictions) over all runnable folds.
 
     ``panel`` should be a written table, best partitioned by a ``year`` column:
-    every fold reads it again, and only the years it needs. The driver
-    only starts the fits, several at a time since they do not depend on each
-    other, and holds coefficients; fitting, scoring and the metrics, one grouped
-    aggregate over all predictions, run on the executors.
+    every fit reads it again, and only the years it needs. The driver only starts
+    the fits, ``parallel_fits`` at a time and in order of folds, since each holds its
+    training set in storage, and keeps coefficients. All folds are scored in one
+    scan, and the predictions are written before the metrics read them.
     """
     plan = fold_plan(panel, targets)
     runs = [(item, name) for item in plan for name in item["sets"]]
     with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
         fitted = list(pool.map(lambda run: fit_fold(panel, *run), runs))
     fits: dict[tuple, dict[str, Fit]] = defaultdict(dict)
+    info = []
     for (item, name), model in zip(runs, fitted):
-        fits[item["fold"].target, item["fold"].test_year][name] = model
-    parts, info = [], []
-    for item in plan:
         fold = item["fold"]
-        key = (fold.target, fold.test_year)
-        usable = panel.where(labelled(panel, fold.target))
-        test = usable.where(year_of(panel) == fold.test_year)
-        parts.append(score(test, *key, fits[key]))
-        info += [
-            (fold.target, name, fold.test_year, fold.train_n, fold.train_last_label_end, fold.start)
-            for name in item["sets"]
-        ]
-    if not parts:
-        # No runnable fold: an empty result with the usual columns.
-        parts = [score(panel.limit(0), targets[0], 0, {"TECH": Fit([], {}, [], 0.0)})]
+        fits[fold.target, fold.test_year][name] = model
+        info.append((fold.target, name, fold.test_year, fold.train_n, fold.train_last_label_end, fold.start))
     schema = (
         "target string, model string, test_year int, train_n long, "
         "train_last_label_end date, test_start date"
     )
     # One row per fold and feature set.
     notes = F.broadcast(panel.sparkSession.createDataFrame(info, schema))
-    predictions = reduce(DataFrame.unionByName, parts).select(*PREDICTION_COLUMNS)
+    predictions = materialize(score_folds(panel, fits, targets), "predictions")
     metrics = metrics_by_year(predictions.withColumn("truth", outcome_of()))
     return metrics.join(notes, ["target", "model", "test_year"]), predictions

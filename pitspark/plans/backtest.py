@@ -43,7 +43,6 @@ def run_backtest(
     panel = build_panel(bars, membership, facts).withColumn("year", F.year("trade_date"))
     panel = materialize(panel, "panel", ["year"])
     by_year, predictions = walk_forward(panel)
-    predictions = materialize(predictions, "predictions")
     overall = metrics_pooled(predictions.withColumn("truth", outcome_of()))
     summary = ql.run_summary(gate, ql.panel_summary(panel), overall)
     return Backtest(gate, panel.drop("year"), by_year, overall, predictions, summary)
