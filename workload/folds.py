@@ -173,17 +173,57 @@ def auc_exact(t: Tables) -> DataFrame:
 
 @query("walk_forward_predictions")
 def predictions(t: Tables) -> DataFrame:
-    return walk_forward(written_panel(t))[1]
+    return walk_forward(written_panel(t), parallel_fits=8)[1]
 
 
 @query("walk_forward_metrics")
 def walk_metrics(t: Tables) -> DataFrame:
-    return walk_forward(written_panel(t))[0]
+    return walk_forward(written_panel(t), parallel_fits=8)[0]
+
+
+WALK_SQL = SQL_FOLDS | {
+    "e": ELIGIBLE_SQL,
+    "runs": "\n  UNION ALL ".join(
+        f"""
+  SELECT target, test_year, start, train_n, train_last_label_end, '{s}' AS model FROM e
+  WHERE train_pos > 0 AND train_pos < train_n AND cells_{s} > 0"""
+        for s in ("TECH", "FIN", "TECH_FIN")
+    ),
+    "tests": """
+  SELECT l.code, l.trade_date, l.label, r.* FROM long l JOIN runs r
+    ON r.target = l.target AND r.test_year = year(l.trade_date)""",
+}
+
+
+@query(
+    "walk_forward_rows",
+    f"""SELECT trade_date, code, target, model, test_year, opportunity_label, risk_label,
+          {sql_round(["fwd_ret_60d", "max_drawdown_60d"])}
+        FROM tests JOIN panel USING (code, trade_date)""",
+    PANEL_VIEWS, WALK_SQL,
+)
+def walk_rows(t: Tables) -> DataFrame:
+    """Everything of the predictions that does not depend on a fit."""
+    return rounded(walk_forward(written_panel(t), parallel_fits=8)[1].drop("prob", "pred"))
+
+
+@query(
+    "walk_forward_folds",
+    """SELECT target, model, test_year, count(*) AS n, round(avg(label), 6) AS positive_rate,
+         train_n, train_last_label_end, start AS test_start
+       FROM tests GROUP BY target, model, test_year, train_n, train_last_label_end, start""",
+    PANEL_VIEWS, WALK_SQL,
+)
+def walk_folds(t: Tables) -> DataFrame:
+    """The metrics' columns that do not depend on a fit."""
+    metrics = walk_forward(written_panel(t), parallel_fits=8)[0]
+    return rounded(metrics.select(
+        "target", "model", "test_year", "n", "positive_rate", "train_n", "train_last_label_end", "test_start"))
 
 
 @query("backtest_summary")
 def summary(t: Tables) -> DataFrame:
     panel = written_panel(t)
-    scored = walk_forward(panel)[1].withColumn("truth", mt.outcome_of())
+    scored = walk_forward(panel, parallel_fits=8)[1].withColumn("truth", mt.outcome_of())
     gate = gate_report(t.membership(), tradable_bars(t.bars()), jobs_of(t))
     return run_summary(gate, panel_summary(panel), mt.metrics_pooled(scored))
