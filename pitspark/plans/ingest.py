@@ -127,12 +127,28 @@ def merge_facts(target: DataFrame, batch: DataFrame, primary: bool, order: str |
 
 
 def fallback_report(
-    jobs: DataFrame, job_id: str, table: DataFrame, date: str, value: str, universe: DataFrame,
-    status: str = "FALLBACK",
+    jobs: DataFrame, job_id: str, batch: DataFrame, table: DataFrame, date: str, value: str,
+    universe: DataFrame, status: str = "FALLBACK",
 ) -> DataFrame:
-    """Ledger after an archive run: entities with a value over the whole table."""
-    filled = table.where(F.col(value).isNotNull())
-    return report(jobs, job_id, filled, table, date, universe, status)
+    """Ledger after an archive run: rows of the batch, entities with a value over the whole table."""
+    span = ql.coverage(table, date)
+    entities = table.agg(F.countDistinct(F.when(F.col(value).isNotNull(), F.col("code")))).first()[0]
+    numbers = span.select(
+        F.lit(universe.select("code").distinct().count()).alias("target_entities"),
+        F.lit(entities).alias("loaded_entities"), F.lit(batch.count()).alias("loaded_rows"),
+        "min_date", "max_date", F.lit(status).alias("status"), F.current_timestamp().alias("last_attempt_ts"),
+    )
+    return ql.ledger_update(jobs, job_id, numbers, f"archive run {status}")
+
+
+def source_entry(
+    registry: DataFrame, source_id: str, layer: str, name: str, url: str, coverage: str, kind: str,
+    reliability: str, status: str, notes: str,
+) -> DataFrame:
+    """The source registry after a run announced its source, an earlier row of it replaced."""
+    values = (source_id, layer, name, url, coverage, kind, reliability, status, notes)
+    entry = registry.sparkSession.createDataFrame([values], registry.schema)
+    return mg.insert_or_replace(registry, entry, ["source_id"])
 
 
 def report(

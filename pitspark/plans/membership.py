@@ -68,6 +68,11 @@ def build(
     )
 
 
+def export_universe(master: DataFrame, membership: DataFrame, path: str) -> str:
+    """Current and historical members with their flags as CSV, ordered by code."""
+    return write_csv(mb.universe_flags(master, membership).orderBy("code"), path)
+
+
 def export(run: MembershipRun, out_dir: str) -> None:
     """Write audit and membership; fail afterwards unless the audit passed."""
     write_csv(run.audit.orderBy(F.desc("expected_current"), "code"), f"{out_dir}/membership_audit")

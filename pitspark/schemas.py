@@ -31,6 +31,7 @@ def _struct(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
+# Tables and columns of the data model.
 COMPANY_MASTER = _struct(
     "seq int, company_id string, code string, name string, exchange string, board string, "
     "sw_l1 string, sw_l2 string, sw_l3 string, sw_code string, current_member int, "

@@ -211,3 +211,10 @@ def test_shared_dir_is_read_from_the_session(spark):
 
     assert shared_dir(Session()) == "hdfs://shared/ckpt"
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_source_entry_replaces_its_row(spark):
+    empty = spark.createDataFrame([], schemas.SOURCE_REGISTRY)
+    once = ingest.source_entry(empty, "S014", "market_daily", "archive", "u", "2020 on", "PARQUET", "MEDIUM", "FALLBACK", "n")
+    twice = ingest.source_entry(once, "S014", "market_daily", "archive", "u", "2021 on", "PARQUET", "MEDIUM", "FALLBACK", "n")
+    assert [(r.source_id, r[4]) for r in twice.collect()] == [("S014", "2021 on")]

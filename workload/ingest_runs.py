@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pitspark.operators import merge as mg, metrics as mt
-from pitspark.plans import ingest
+from pitspark.plans import ingest, membership
 from pitspark.schemas import MARKET_DAILY
 from pitspark.session import scratch_path
-from pitspark.sources import bars as bar_source
+from pitspark.sources import bars as bar_source, seeds
 from pitspark.sources.universe import read_universe
 
 from .fixtures import Tables
+from .membership import FLAGS_SQL
 from .merges import BATCH_SQL, bar_batch, bar_merge_sql, old_bars
 from .registry import query, rounded
 
@@ -108,3 +109,34 @@ def auc_skewed(t: Tables) -> DataFrame:
     p = F.col("prob")
     crowded = F.when(p < 0.5, F.pow(F.lit(10.0), -20 * (1 - p))).otherwise(1 - F.pow(F.lit(2.0), -40 * p))
     return rounded(mt.exact_auc(t.scored().withColumn("prob", crowded), ["target", "model"]))
+
+
+@query(
+    "universe_export",
+    """SELECT code, name, exchange, CAST(current_member_snapshot AS VARCHAR) AS current_member_snapshot,
+         CAST(historical_member AS VARCHAR) AS historical_member, universe_status FROM flags""",
+    ["fx_company", "fx_members"], {"flags": FLAGS_SQL},
+)
+def universe_export(t: Tables) -> DataFrame:
+    """The universe written as CSV and read back as text."""
+    path = membership.export_universe(t.company(), t.membership(), scratch_path(t.spark, "universe"))
+    return t.spark.read.option("header", True).csv(path)
+
+
+@query(
+    "archive_ledger",
+    """SELECT 'J001' AS job_id, 'FALLBACK' AS status,
+         count(DISTINCT CASE WHEN close_qfq IS NOT NULL THEN code END) AS loaded_entities,
+         count(*) FILTER (WHERE trade_date >= DATE '1998-01-01') AS loaded_rows,
+         min(trade_date) AS min_date, max(trade_date) AS max_date FROM fx_bars""",
+    ["fx_bars"],
+)
+def archive_ledger(t: Tables) -> DataFrame:
+    """A batch of late bars reported against the whole table."""
+    bars = t.bars()
+    jobs = ingest.fallback_report(
+        seeds.initial_jobs(t.spark), "J001", bars.where(F.col("trade_date") >= OVERLAP), bars, "trade_date",
+        "close_qfq", t.company(),
+    )
+    return jobs.where("job_id = 'J001'").select(
+        "job_id", "status", "loaded_entities", "loaded_rows", "min_date", "max_date")
