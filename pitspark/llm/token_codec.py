@@ -74,8 +74,12 @@ class _Model:
         self.group_ends = np.ascontiguousarray(self.upto[:, GROUP - 1::GROUP])
         self.total = self.upto[:, -1].astype(np.int64)
 
-    def predict(self, n: int, p1: np.ndarray, p2: np.ndarray):
-        """Looks up both predictions for the first ``n`` blocks and the weights of the outcomes."""
+    def outcome_span(self, outcome16: np.ndarray):
+        """(start, frequency) of outcomes, given 16 times their numbers."""
+        return (self.sums >> outcome16) & 0xFFFF, (self.weights >> outcome16) & 0xFFFF
+
+    def predict(self, n: int, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """Looks up both predictions for the first ``n`` blocks; the sum of the outcomes' weights."""
         self.at1 = self.base1[:n] + p1
         self.at2 = self.base2[:n] + ((p2 * 1597 + p1 * 31) & (HASH - 1))
         self.v1, self.v2 = self.follows1[self.at1], self.follows2[self.at2]
@@ -83,13 +87,13 @@ class _Model:
         self.f1, self.f2 = self.v1 & 3, self.v2 & 3
         self.at_s = self.base_s[:n] + (self.f2 * 4 + self.f1 + (self.c1 == self.c2) * np.int16(16))
         self.weights = self.state[self.at_s]
-        a = self.weights & 0xFFFF
-        b = a + ((self.weights >> 16) & 0xFFFF)
-        return a, b, b + (self.weights >> 32)
+        # running sums of the three weights in 16 bits each: 0, a, a + b, all
+        self.sums = self.weights * np.int64(0x0001000100010000)
+        return self.sums >> 48
 
-    def learn(self, x: np.ndarray, outcome: np.ndarray, total: np.ndarray) -> None:
+    def learn(self, x: np.ndarray, outcome16: np.ndarray, total: np.ndarray) -> None:
         """Updates both predictions and the weights with the ids ``x`` that came."""
-        weights = self.weights + (np.int64(_STATE_STEP) << (outcome << 4))
+        weights = self.weights + (np.int64(_STATE_STEP) << outcome16)
         full = np.flatnonzero(total > _STATE_LIMIT)
         if len(full):
             weights[full] = ((weights[full] >> 1) & 0x7FFF7FFF7FFF) + 0x100010001
@@ -161,15 +165,13 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[Coded]:
         if t % REFRESH == 0:
             model.refresh()
         x = data[t, :n].astype(np.int64)
-        a, b, total = model.predict(n, previous[0, :n], previous[1, :n])
-        as2 = x == model.c2
-        as1 = (x == model.c1) & ~as2
-        outcome = np.where(as2, 0, np.where(as1, 1, 2))
-        start = np.where(as2, 0, np.where(as1, a, b))
-        end = np.where(as2, a, np.where(as1, b, total))
-        code(slice(0, n), start, end - start, total)
-        model.learn(x, outcome, total)
-        lane = np.flatnonzero(outcome == 2)
+        total = model.predict(n, previous[0, :n], previous[1, :n])
+        not2, not1 = x != model.c2, x != model.c1
+        neither = not2 & not1
+        outcome16 = (not2.astype(np.int64) + neither) << 4
+        code(slice(0, n), *model.outcome_span(outcome16), total)
+        model.learn(x, outcome16, total)
+        lane = np.flatnonzero(neither)
         if len(lane):
             y = x[lane]
             code(lane, *model.order0_span(lane, y))
@@ -220,15 +222,14 @@ def decode_blocks(coded: list[Coded]) -> list[np.ndarray]:
     for t, n in enumerate(_steps(lengths)):
         if t % REFRESH == 0:
             model.refresh()
-        a, b, total = model.predict(n, previous[0, :n], previous[1, :n])
+        total = model.predict(n, previous[0, :n], previous[1, :n])
         unit = span[:n] // total
-        at = np.minimum(value[:n] // unit, total - 1)
-        as2, neither = at < a, at >= b
-        outcome = np.where(as2, 0, np.where(neither, 2, 1))
-        start = np.where(as2, 0, np.where(neither, b, a))
-        end = np.where(as2, a, np.where(neither, total, b))
-        consume(slice(0, n), unit, start, end - start)
-        x = np.where(as2, model.c2, model.c1).astype(np.int64)
+        at = value[:n] // unit
+        not2 = at >= ((model.sums >> 16) & 0xFFFF)
+        neither = at >= ((model.sums >> 32) & 0xFFFF)
+        outcome16 = (not2.astype(np.int64) + neither) << 4
+        consume(slice(0, n), unit, *model.outcome_span(outcome16))
+        x = np.where(not2, model.c1, model.c2).astype(np.int64)
         lane = np.flatnonzero(neither)
         if len(lane):
             unit0 = span[lane] // model.total[lane]
@@ -237,7 +238,7 @@ def decode_blocks(coded: list[Coded]) -> list[np.ndarray]:
             consume(lane, unit0, start0, freq0)
             model.order0_learn(lane, y)
             x[lane] = y
-        model.learn(x, outcome, total)
+        model.learn(x, outcome16, total)
         data[t, :n] = x
         previous[1, :n], previous[0, :n] = previous[0, :n], x
     result: list[np.ndarray] = [None] * lanes

@@ -8,11 +8,14 @@ ascending doc_id order, as do documents in a shard. Any block can be decoded alo
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from pitspark.session import scratch_path
@@ -20,7 +23,7 @@ from pitspark.session import scratch_path
 from .token_codec import BLOCK, Coded, decode_blocks, encode_blocks, ids_crc32, join_crc32
 
 BLOCKS_PER_STEP = 2048
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 _PIECE = pa.struct([("document", pa.int64()), ("doc_id", pa.int64()), ("n_ids", pa.int64())])
 _BLOCK = pa.schema([
@@ -33,13 +36,25 @@ _BLOCK_DDL = (
 )
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else the next above 255."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of whole texts, through a bounded memory of the words seen.
+    """Ids of whole texts, through a bounded memory of the words and pieces seen.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are
-    those of its parts between ASCII white space, in order.
+    those of its parts between ASCII white space, in order. Where its file asks for no more than
+    lower case, one splitting pattern and byte letters, a printable part in Latin script is split
+    here and only its new pieces go to the tokenizer's model; every other part goes
+    through the whole tokenizer.
     """
 
+    LATIN_END = "\u0250"
+
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -48,30 +63,58 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u2").tobytes()
+        self.pieces: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.split = self._pattern(json.loads(tokenizer_json))
+
+    @staticmethod
+    def _pattern(spec: dict):
+        """The splitting pattern, if the file is of the simple kind."""
+        steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        simple = (
+            steps == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in splits] == ["Split", "ByteLevel"]
+            and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+            and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+            and all("<|" in t["content"] for t in spec.get("added_tokens", []))
+        )
+        return regex.compile(splits[0]["pattern"]["Regex"]).findall if simple else None
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            word = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u2").tobytes()
+            self.pieces[piece] = ids
+        return ids
+
+    def _learn(self, words: set[str]) -> None:
+        known, rest = self.known, []
+        for w in words:
+            low = w.lower()
+            simple = self.split and w.isprintable() and len(low) == len(w) and max(w) < self.LATIN_END and "<|" not in w
+            if simple:
+                known[w] = b"".join(map(self._piece, self.split(low)))
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u2").tobytes()
+
+    def _forget(self) -> None:
+        """Keeps the words met first, which are mostly the common ones."""
+        self.known = dict(islice(self.known.items(), CACHED_WORDS // 4))
+        self.pieces = dict(islice(self.pieces.items(), CACHED_WORDS // 4))
 
     def __call__(self, text: str | None) -> bytes:
         """16-bit little-endian ids."""
         parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        fresh = set(parts).difference(known)
+        fresh = set(parts).difference(self.known)
         if fresh:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                known[""] = b""
-                fresh = set(parts).difference(known)
-            # a word and the same word before a stop or comma differ by that sign's ids
-            ended = [w for w in fresh if w[-1] in ".," and w[:-1].isalpha()]
-            plain = fresh.difference(ended)
-            plain.update(w[:-1] for w in ended)
-            plain.update(".,")
-            self._learn(list(plain.difference(known)))
-            for w in ended:
-                known[w] = known[w[:-1]] + known[w[-1]]
-        return b"".join(map(known.__getitem__, parts))
+            if max(len(self.known), len(self.pieces)) > CACHED_WORDS:
+                self._forget()
+                fresh = set(parts).difference(self.known)
+            self._learn(fresh)
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 _encoders: dict[int, WordEncoder] = {}
