@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
-from xxhash import xxh3_64_intdigest
 
 # Fixed value: words as the contracts name them.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 
-DIMENSIONS = 1 << 18
+LEAST_WEIGHT = 0.02
 _LIMIT = 1e30
 STEMS = (3, 4, 5, 6, 7, 8)
 FEATURES_HERE, FEATURES_BESIDE = 4 + len(STEMS), 2
@@ -28,14 +29,13 @@ def is_listed(word: str, lexicon: frozenset[str]) -> bool:
     return word in lexicon or any(len(word) >= k and word[:k] + "*" in lexicon for k in STEMS)
 
 
-def word_features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed features of a word: stems and shape for its own place, two for each place beside it."""
+def word_features(word: str, lexicon: frozenset[str]) -> list[str]:
+    """Features of a word: stems and shape for its own place, two for each place beside it."""
     known = is_listed(word, lexicon)
-    names = [
-        f"w={word}", *(f"p={word[:k]}" for k in STEMS), f"s={word[-3:]}", f"n={min(len(word), 12)}", f"k={known}",
-        f"<w={word}" if known else "<", f"<k={known}", f">w={word}" if known else ">", f">k={known}",
+    return [
+        "w=" + word, *(word[:k] for k in STEMS), "s=" + word[-3:], f"n={min(len(word), 12)}", f"k={known}",
+        "<w=" + word if known else "<", f"<k={known}", ">w=" + word if known else ">", f">k={known}",
     ]
-    return [xxh3_64_intdigest(n) % DIMENSIONS for n in names]
 
 
 class Chains:
@@ -86,32 +86,59 @@ def emission_odds(here: np.ndarray, before: np.ndarray, after: np.ndarray, chain
 class Crf:
     """Feature weights, transition scores and the logistic that turns marginals into a document score."""
 
-    weights: np.ndarray
+    weights: dict[str, float]
     trans: np.ndarray
     lexicon: frozenset[str]
     calibration: np.ndarray
 
+    MEMORY = 400_000
+
     def __post_init__(self) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.values = np.empty((0, 3))
 
-    MEMORY = 200_000
+    def _value(self, word: str) -> tuple[float, float, float]:
+        """What a word adds to its own log odds, to its right and to its left neighbour's."""
+        f, w = word_features(word, self.lexicon), self.weights
+        a, b = FEATURES_HERE, FEATURES_HERE + FEATURES_BESIDE
+        return tuple(sum(w.get(x, 0.0) for x in part) for part in (f[:a], f[a:b], f[b:]))
 
     def _lookup(self, words: list[list[str]]) -> np.ndarray:
         """(here, before, after) values of every token; words seen are remembered up to a bound."""
         if len(self.known) > self.MEMORY:
-            self.known, self.values = {}, np.empty((0, 3))
-        fresh = list(set().union(*words).difference(self.known))
+            self._forget()
+        fresh = set(chain.from_iterable(words)).difference(self.known)
         if fresh:
-            f = np.array([word_features(w, self.lexicon) for w in fresh])
-            w = self.weights[f]
-            a, b = FEATURES_HERE, FEATURES_HERE + FEATURES_BESIDE
-            self.values = np.concatenate([self.values, np.stack([w[:, :a].sum(1), w[:, a:b].sum(1), w[:, b:].sum(1)], 1)])
+            plain = self._plain
+            stems, weights, lexicon = self._stems, self.weights, self.lexicon
+            rows = []
+            for w in fresh:
+                # most words have no stem, ending or entry of their own: only their length speaks
+                if w[:STEMS[0]] in stems or "s=" + w[-3:] in weights or "w=" + w in weights or w in lexicon:
+                    rows.append(self._value(w))
+                else:
+                    rows.append(plain[min(len(w), 12)])
+            self.values = np.concatenate([self.values, np.array(rows)])
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-        known = self.known
-        index = np.fromiter((known[x] for doc in words for x in doc), np.int64, sum(map(len, words)))
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         return self.values[index]
 
+    @cached_property
+    def _stems(self) -> frozenset[str]:
+        """The shortest stems under which any weight or lexicon entry stands."""
+        named = (x for x in self.weights if not x[:2] in ("w=", "s=", "n=", "k=") and x[:1] not in "<>")
+        return frozenset(x[:STEMS[0]] for x in chain(named, (x.rstrip("*") for x in self.lexicon)))
+
+    @cached_property
+    def _plain(self) -> list[tuple[float, float, float]]:
+        """The value of a word of each length without features of its own."""
+        w = self.weights
+        rest = w.get("<", 0.0) + w.get("<k=False", 0.0), w.get(">", 0.0) + w.get(">k=False", 0.0)
+        return [(w.get(f"n={n}", 0.0) + w.get("k=False", 0.0), *rest) for n in range(13)]
+
     def tag(self, words: list[list[str]]) -> list[np.ndarray]:
         """Probability of toxic per word of every document."""
         chains = Chains(np.array([len(w) for w in words], np.int64))
@@ -155,8 +182,18 @@ def fit_crf(
     y = (listed[tokens] & of_toxic).astype(float)
     lengths = np.array([min(piece, len(d) - s) for d in docs for s in range(0, len(d), piece)], np.int64)
     chains = Chains(lengths)
-    weights, trans = np.zeros(DIMENSIONS), np.zeros((2, 2))
-    features = np.array([word_features(w, lexicon) for w in vocabulary], np.int64).reshape(len(vocabulary), -1)
+    # as usual for such models, a feature has a weight only if it was seen on a toxic word; those that all words have stay
+    toxic_word = np.bincount(tokens, y, len(vocabulary)) > 0
+    seen = [w for w, t in zip(vocabulary, toxic_word) if t] + ["x" * n for n in range(13)]
+    names: dict[str, int] = {}
+    for f in chain.from_iterable(word_features(w, lexicon) for w in seen):
+        if f.strip("x"):
+            names.setdefault(f, len(names))
+    none, width = len(names), FEATURES_HERE + 2 * FEATURES_BESIDE
+    features = np.array(
+        [names.get(f, none) for w in vocabulary for f in word_features(w, lexicon)], np.int32,
+    ).reshape(-1, width)
+    weights, trans = np.zeros(none + 1), np.zeros((2, 2))
     a, b = FEATURES_HERE, FEATURES_HERE + FEATURES_BESIDE
     groups = features[:, :a], features[:, a:b], features[:, b:]
     starts = chains.starts[(chains.starts > 0) & (chains.lengths > 0)]
@@ -175,26 +212,28 @@ def fit_crf(
         grad = l2 * weights * len(tokens)
         for g, r in zip(groups, (residual, left, right)):
             per_word = np.bincount(tokens, r, len(vocabulary))
-            grad += np.bincount(g.ravel(), np.repeat(per_word, g.shape[1]), DIMENSIONS)
+            grad += np.bincount(g.ravel(), np.repeat(per_word, g.shape[1]), none + 1)
+        grad[none] = 0
         z = (odds * back)[1:]
         x = ahead[:-1]
         t = np.exp(trans)
         pair = np.stack([np.full_like(x, t[0, 0]), t[0, 1] * z, t[1, 0] * x, t[1, 1] * x * z])
         pair = (pair / pair.sum(0))[:, inner].sum(1).reshape(2, 2)
         now, then = y[:-1][inner], y[1:][inner]
-        seen = np.array([[((1 - now) * (1 - then)).sum(), ((1 - now) * then).sum()], [(now * (1 - then)).sum(), (now * then).sum()]])
-        for k, (target, g) in enumerate(((weights, grad), (trans, pair - seen + 1e-3 * trans))):
+        met = np.array([[((1 - now) * (1 - then)).sum(), ((1 - now) * then).sum()], [(now * (1 - then)).sum(), (now * then).sum()]])
+        for k, (target, g) in enumerate(((weights, grad), (trans, pair - met + 1e-3 * trans))):
             g = g / len(tokens)
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
             target -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9)
-    model = Crf(weights, trans, lexicon, np.array([0.0, 1.0, 0.0, 0.0, 0.0]))
+    large = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) >= LEAST_WEIGHT}
+    model = Crf(large, trans, lexicon, np.array([0.0, 1.0, 0.0, 0.0, 0.0]))
     signals = [
         document_signals(model.tag([split_words(t) for t in texts[s:s + 256]])) for s in range(0, len(texts), 256)
     ]
     if signals:
         model.calibration = _logistic(np.concatenate(signals), np.asarray(labels, float))
-    model.known, model.values = {}, np.empty((0, 3))
+    model._forget()
     return model
 
 
