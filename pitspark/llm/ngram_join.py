@@ -137,6 +137,22 @@ def _shares_bucket(buckets: list[np.ndarray], wanted: int) -> np.ndarray:
     return _overlaps(buckets, wanted) > 0
 
 
+def _least_nodes(linked: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The least node of each document's connected component in ``linked`` (symmetric)."""
+    root = nodes.copy()
+    left = linked.any(axis=1)
+    while left.any():
+        member = np.zeros(len(nodes), bool)
+        reached = np.zeros(len(nodes), bool)
+        reached[np.argmax(left)] = True
+        while reached.any():
+            member |= reached
+            reached = linked[reached].any(axis=0) & ~member
+        root[member] = nodes[member].min()
+        left &= ~member
+    return root
+
+
 def verify_unit(
     group: int, left: list[tuple], right: list[tuple], threshold: float,
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +162,7 @@ def verify_unit(
     ``left`` when ``right`` is empty, else across. A pair belongs to this group if its
     least common bucket has this anchor, so it is counted in exactly one group.
     ``links`` counts linked documents with their copies; ``root`` is the least
-    node linked, or the document's own.
+    node of the documents that links of this unit connect with it, its own if none.
     """
     docs = left + right
     k = len(left)
@@ -165,13 +181,10 @@ def verify_unit(
     links[:k] = linked @ copies
     if right:
         links += copies[:k] @ linked
-    root = nodes.copy()
-    far = np.where(linked, nodes[None, :], np.iinfo(np.int64).max)
-    root[:k] = np.minimum(root[:k], far.min(axis=1, initial=np.iinfo(np.int64).max))
-    if right:
-        near = np.where(linked, nodes[:k, None], np.iinfo(np.int64).max)
-        root = np.minimum(root, near.min(axis=0, initial=np.iinfo(np.int64).max))
-    return links, root
+    joined = np.zeros((len(docs), len(docs)), bool)
+    joined[:k] = linked
+    joined |= joined.T
+    return links, _least_nodes(joined, nodes)
 
 
 def verified_links(units: DataFrame, n: int, threshold: float) -> DataFrame:

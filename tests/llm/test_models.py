@@ -42,6 +42,37 @@ def test_near_duplicates_equal_brute_force(spark, block_docs):
     assert rows(got, "doc_id", "class_id", "n_links") == Counter(brute.near_classes(texts))
 
 
+def unit_doc(node, elements):
+    grams = np.array(sorted(elements), np.uint64)
+    return node, 1, grams, np.array([7], np.int64), np.array([70], np.int64)
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_unit_keeps_chains_together(across):
+    rng = np.random.default_rng(5)
+    for length in (3, 5, 10, 50):
+        for _ in range(20):
+            order = rng.permutation(length) + 1
+            docs = [unit_doc(int(v), range(10 * i, 10 * i + 100)) for i, v in enumerate(order)]
+            docs.append(unit_doc(900, range(10_000, 10_100)))
+            # 90 of 110 elements are common to neighbours, 80 of 120 to the next
+            left, right = (docs[::2], docs[1::2]) if across else (docs, [])
+            links, root = ngram_join.verify_unit(7, left, right, 0.8)
+            got = dict(zip((d[0] for d in left + right), root))
+            assert {got[int(v)] for v in order} == {1} and got[900] == 900
+            assert links.sum() == 2 * (length - 1)
+
+
+def test_chains_of_near_duplicates_equal_brute_force(spark):
+    texts = []
+    for c, length in enumerate([3] * 12 + [5] * 6 + [12] * 3):
+        base = [f"c{c}w{i}" for i in range(200 + 12 * length)]
+        texts += [(1000 * c + i, " ".join(base[12 * i:12 * i + 200])) for i in range(length)]
+    for block_docs in (512, 4):
+        got = ngram_join.near_duplicates(brute.docs(spark, texts), block_docs=block_docs)
+        assert rows(got, "doc_id", "class_id", "n_links") == Counter(brute.near_classes(texts))
+
+
 def test_distinct_documents(spark):
     texts = near_texts()
     docs = brute.docs(spark, texts)
