@@ -32,6 +32,13 @@ NOISE = frozenset(
     "respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar "
     "topbar widget widgets".split()
 )
+# Of these, the words for what is written in whole sentences beside an article.
+BESIDE = frozenset(
+    "comment comments consent cookie cookies disclaimer disqus gdpr recommended related replies reply respond teaser".split()
+)
+# Class names that begin or end so tell how a page is laid out, not what an element holds.
+LAYOUT_FIRST = frozenset("has with without no".split())
+LAYOUT_LAST = frozenset("open closed enabled disabled".split())
 ROLES = frozenset("banner navigation complementary contentinfo search form alert dialog menu menubar".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -40,7 +47,11 @@ SIGMA = 1.0
 
 @dataclass
 class Block:
-    """A line of the page: the text between two block boundaries, and what surrounds it."""
+    """A line of the page: the text between two block boundaries, and what surrounds it.
+
+    ``named`` lists the open elements that only their class or id calls noise; negative
+    where a word of BESIDE does.
+    """
 
     section: int
     noise: bool
@@ -48,6 +59,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     text: str = ""
+    named: tuple[int, ...] = ()
 
 
 class BlockParser(HTMLParser):
@@ -59,20 +71,20 @@ class BlockParser(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.stack: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []
         self.sections = 0
         self.blocks = [Block(0, False, False)]
 
-    def _state(self) -> tuple[bool, bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0)
+    def _state(self) -> tuple[bool, bool, int, tuple[int, ...]]:
+        return self.stack[-1][1:] if self.stack else (False, False, 0, ())
 
     def _break(self) -> None:
-        noise, content, section = self._state()
+        noise, content, section, named = self._state()
         last = self.blocks[-1]
         if last.parts:
-            self.blocks.append(Block(section, noise, content))
+            self.blocks.append(Block(section, noise, content, named=named))
         else:
-            last.section, last.noise, last.content = section, noise, content
+            last.section, last.noise, last.content, last.named = section, noise, content, named
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.blocks[-1].tags += 1
@@ -85,14 +97,17 @@ class BlockParser(HTMLParser):
             if tag in BLOCK:
                 self._break()
             return
-        noise, content, section = self._state()
-        named = is_noise(tag, attrs, content)
+        noise, content, section, named = self._state()
+        never = is_noise(tag, attrs, content)
         article = tag in CONTENT or any(k == "role" and v == "main" for k, v in attrs)
-        if (named and not noise) or (article and not noise):
+        words = frozenset() if never or article or tag in ("html", "body") else noise_words(attrs)
+        if (never or words or article) and not noise:
             self.sections += 1
             section = self.sections
-        self.stack.append((tag, noise or named, content or (article and not named), section))
-        if tag in BLOCK or named != noise:
+        if words:
+            named += (-self.sections if words & BESIDE else self.sections,)
+        self.stack.append((tag, noise or never, content or (article and not never), section, named))
+        if tag in BLOCK or never != noise or words:
             self._break()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -104,9 +119,9 @@ class BlockParser(HTMLParser):
         self.blocks[-1].tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                left = self.stack[i][1]
+                left = self.stack[i][1], self.stack[i][4]
                 del self.stack[i:]
-                if tag in BLOCK or left != self._state()[0]:
+                if tag in BLOCK or left != (self._state()[0], self._state()[3]):
                     self._break()
                 return
         if tag in BLOCK:
@@ -126,7 +141,7 @@ class BlockParser(HTMLParser):
 
 
 def is_noise(tag: str, attrs: list, in_content: bool) -> bool:
-    """Whether an element by its name or attributes holds menus, notices, adverts and the like."""
+    """Whether an element by its name, role or being hidden holds menus, forms, adverts and the like."""
     if tag in NEVER or (tag == "header" and not in_content):
         return True
     if tag in ("html", "body"):
@@ -136,13 +151,22 @@ def is_noise(tag: str, attrs: list, in_content: bool) -> bool:
             continue
         if key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and any(t.lower() in NOISE for t in _TOKEN.findall(value)):
-            return True
         if key == "aria-hidden" and value == "true":
             return True
     return any(key == "hidden" for key, _ in attrs)
 
 
+def noise_words(attrs: list) -> frozenset[str]:
+    """The words of NOISE in an element's class names and id, without names of a layout."""
+    found = set()
+    for key, value in attrs:
+        for name in value.split() if key in ("class", "id") and value else ():
+            words = [t.lower() for t in _TOKEN.findall(name)]
+            if words and not (len(words) > 1 and (words[0] in LAYOUT_FIRST or words[-1] in LAYOUT_LAST)):
+                found.update(words)
+    return NOISE & found
+
+
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing over neighbouring lines; weights outside the page are left out."""
     reach = max(1, int(np.ceil(3 * sigma)))
@@ -175,24 +199,64 @@ def page_blocks(html: str | None) -> list[Block]:
     return [b for b in parser.blocks if b.text]
 
 
+def named_noise(blocks: list[Block], ratio: np.ndarray, never: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(noise, upper) of each block, elements that only a class or id calls noise judged by their text.
+
+    The ratios of such an element are smoothed for themselves and clustered with the
+    others of the page. It is content if over half of its text is in the upper cluster. One
+    that a word of BESIDE names must hold most text of the page too, and all of the upper
+    cluster, as comments may be long. Noise within content is judged by itself.
+    """
+    length = np.array([len(b.text) for b in blocks])
+    own = np.zeros(len(blocks))
+    groups: dict[tuple[int, ...], list[int]] = {}
+    for i in np.flatnonzero(~never):
+        groups.setdefault(blocks[i].named, []).append(i)
+    for at in groups.values():
+        own[at] = np.log1p(smooth(ratio[at]))
+    upper = ~never & (own >= split_threshold(own[~never]))
+    inside: dict[int, list[int]] = {}
+    for named, at in groups.items():
+        for e in named:
+            inside.setdefault(e, []).extend(at)
+    noise = never.copy()
+    for e, at in inside.items():
+        high = upper[at]
+        content = 2 * length[at][high].sum() > length[at].sum()
+        if e < 0:
+            content &= 2 * length[at].sum() > length[~never].sum() and high.sum() == upper.sum()
+        if not content:
+            noise[at] = True
+    return noise, upper
+
+
 def main_text(html: str | None) -> tuple[str, int, int]:
     """(text, blocks, kept blocks) of a page.
 
-    Every block has a ratio of text to tags; noise has none. The ratios are smoothed
+    Every block has a ratio of text to tags; noise has none. What only a class or id calls
+    noise is judged by these ratios first. The ratios are smoothed
     and split in two clusters. A section (an article, or what lies between noise) is
     content if any of its blocks is in the upper cluster, and then stays whole, so
     that short paragraphs between long ones are kept. Where the page marks an
-    article or a main part, only blocks inside it are candidates.
+    article or a main part, only blocks inside it are candidates; one inside an element
+    named as noise counts as such if it holds most of the upper cluster's text.
     """
     blocks = page_blocks(html)
-    marked = any(b.content and not b.noise for b in blocks)
-    candidate = np.array([not b.noise and (b.content or not marked) for b in blocks], bool)
+    never = np.array([b.noise for b in blocks], bool)
+    if never.all():
+        return "", len(blocks), 0
+    ratio = np.array([len(b.text) / max(1, b.tags) for b in blocks])
+    noise, upper = named_noise(blocks, ratio, never)
+    content = np.array([b.content for b in blocks], bool) & ~noise
+    length = np.array([len(b.text) for b in blocks]) * (upper & ~noise)
+    marked = any(c and not b.named for b, c in zip(blocks, content)) or 2 * length[content].sum() > length.sum()
+    candidate = content if marked else ~noise
     if not candidate.any():
         return "", len(blocks), 0
-    ratio = np.array([len(b.text) / max(1, b.tags) for b in blocks]) * candidate
+    ratio = ratio * candidate
     smoothed = np.log1p(smooth(ratio)) * candidate
     high = candidate & (smoothed >= split_threshold(smoothed))
-    section = np.array([b.section for b in blocks]) if marked else np.cumsum([b.noise for b in blocks])
+    section = np.array([b.section for b in blocks]) if marked else np.cumsum(noise)
     chosen = np.isin(section, section[high])
     kept = [b.text for b, c in zip(blocks, candidate & chosen) if c]
     return " ".join(kept), len(blocks), len(kept)

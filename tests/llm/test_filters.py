@@ -154,6 +154,8 @@ def test_mixed_documents_have_the_words_taken(spark):
 
 # --- HTML
 
+LONG = ("long text " * 30).strip()
+
 PAGES = [
     (1, "<nav><a>Home</a></nav><article><h1>T &amp; U</h1><p>one <b>two</b>three<br>four<p>five</article><footer>f</footer>", "T & U one twothree four five"),
     (2, None, ""), (3, "", ""), (4, "<script>var a='</p>'</script><style>p{}</style>", ""),
@@ -162,6 +164,20 @@ PAGES = [
     (7, "<body><header>Site</header><div class=cookie-notice>We use</div><div><h1>Head</h1><p>" + "long text " * 30
      + "</p><p>x.</p></div><div id=sidebar><a>l</a></div></body>", "Head " + ("long text " * 30).strip() + " x."),
     (8, "<article>" + "<p>w</p>" * 5000 + "</article>", " ".join("w" * 5000)),
+] + [
+    (20 + k, f"<nav><a>Home</a></nav>{start}<h1>Head</h1><p>{LONG}</p><p>Short.</p>{end}<div class=sidebar><a>l</a></div>",
+     f"Head {LONG} Short.")
+    for k, (start, end) in enumerate([
+        ('<div id="main" class="content has-sidebar">', "</div>"),
+        ('<article class="post no-comments">', "</article>"),
+        ('<main class="with-sidebar search">', "</main>"),
+        ('<div role="main" class="widget">', "</div>"),
+        ('<div class="elementor-widget"><div class="elementor-widget-container">', "</div></div>"),
+        ('<div class="widget"><div class="share"><a>s</a></div><article>', "</article></div>"),
+        ('<div class="post comment-status">', "</div>"),
+    ])
+] + [
+    (40, f"<div><h1>Head</h1><p>{LONG}</p></div><div id=comments><article class=comment><p>{LONG}</p></article></div>", f"Head {LONG}"),
 ]
 
 
