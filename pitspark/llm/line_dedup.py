@@ -9,6 +9,7 @@ from pitspark.session import materialize
 from .text import row_key
 
 WINDOW = 3
+_COPIES = 10_000
 
 
 def text_lines(text: Column) -> Column:
@@ -55,7 +56,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     later = shared.join(first, ["hash", "check"]).where(
         (F.col("doc_key") != F.col("first.doc_key")) | (F.col("start") != F.col("first.start"))
     )
-    # equal rows share a key: their windows are one, and a start counts once
+    # equal rows share a key: their windows are one here, and a start counts once
     starts = later.select("doc_key", "start").distinct()
     before = W.partitionBy("doc_key").orderBy("start")
     opened = starts.withColumn(
@@ -75,12 +76,16 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Lines covered by any later occurrence go, the others stay in order, joined by a line
     end. A text with every line covered becomes empty. Texts of fewer lines than a
     window, empty texts and nulls stay as they are (null counts no lines, an empty text
-    one). Equal rows (same id and text) are one document: all keep the same lines. An
+    one). Of equal rows (same id and text) one is the first occurrence, and every window of
+    the others is a later one: as many empty texts, unless they have fewer lines than a window. An
     empty table gives an empty result; columns beside doc_id and text are not read.
     """
     docs = docs.select("doc_id", "text")
     covered = repeated_lines(docs, window)
-    rows = docs.withColumn("doc_key", row_key(F.col("doc_id"), F.col("text")))
+    # equal rows are folded with a count, and dealt out again after the join
+    rows = docs.withColumn("doc_key", row_key(F.col("doc_id"), F.col("text"))).groupBy("doc_key").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"),
+    )
     met = rows.join(covered, "doc_key", "left").withColumn("lines", text_lines(F.col("text")))
     kept = F.flatten(
         F.transform(
@@ -94,10 +99,20 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     removed = F.coalesce(
         F.aggregate("covered", F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1), F.lit(0)
     )
-    return met.select(
+    cut = met.select(
         "doc_id",
         F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"),
+        F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), "copies",
+    )
+    # two steps, so no list of copies is long
+    dealt = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _COPIES))))
+    dealt = dealt.withColumn("copy", F.explode(F.sequence(
+        F.col("part") * _COPIES, F.least(F.col("copies"), (F.col("part") + 1) * _COPIES) - 1,
+    )))
+    gone = (F.col("copy") > 0) & (F.col("n_lines") >= window)
+    return dealt.select(
+        "doc_id", F.when(gone, F.lit("")).otherwise(F.col("text")).alias("text"), "n_lines",
+        F.when(gone, F.col("n_lines")).otherwise(F.col("n_removed")).alias("n_removed"),
     )
 
 

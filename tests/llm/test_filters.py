@@ -28,6 +28,16 @@ def test_line_dedup_keeps_first_and_merges_overlaps(spark):
     assert got == {1: (text, 0), 2: ("x\ny", 5), 3: ("a\nb\nz", 0)}
 
 
+def test_line_dedup_cuts_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_COPIES", 2, raising=False)
+    text = "a\nb\nc\nd"
+    table = [(1, text)] * 5 + [(2, "x\n" + text)] * 2 + [(3, "a\nb")] * 2 + [(None, None)] * 3
+    got = rows(line_dedup.drop_repeated_lines(brute.docs(spark, table)), "doc_id", "text", "n_lines", "n_removed")
+    assert got == Counter(
+        {(1, text, 4, 0): 1, (1, "", 4, 4): 4, (2, "x", 5, 4): 1, (2, "", 5, 5): 1, (3, "a\nb", 2, 0): 2, (None, None, 0, 0): 3}
+    )
+
+
 # --- URL rules
 
 URLS = [
