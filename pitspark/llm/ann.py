@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,13 @@ COUNTED_BITS = 24
 BLOCK_ROWS = 8192
 SAMPLE_QUERIES = 100
 TARGET_RECALL = 0.96
+NEIGHBOURS = "query_id long, rank int, vec_id long, score double"
 
 
 # --- rows -------------------------------------------------------------------
 
 def usable_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(vec_id, v): finite non-zero vectors of the table's commonest length, in double precision.
+    """(vec_id, v): finite non-zero vectors of any length, in double precision.
 
     Rows without an id take no part; of rows sharing an id the one with the least vector stays.
     """
@@ -33,8 +35,6 @@ def usable_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: s
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.where(F.size("v") == (common["d"] if common else 0))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -207,16 +207,29 @@ def nearest_neighbours(
     the row, and each block's queries in parts of as many, so a task holds two bounded sides.
     Equal vectors are one row of the index with their k + 1 least ids. Vectors that are
     null, zero or hold null or non-finite components take no part, nor do rows without id;
+    of rows sharing an id the one with the least vector stays. Vectors of each length are
+    searched among their own, one length after the other;
     fewer candidates than k give fewer rows; an empty table gives an empty result; other
     columns are not read. ``is_query`` is a condition on ``vec_id``.
     """
-    spark = table.sparkSession
     rows = materialize(usable_vectors(table, id_column, vector_column), "ann-rows")
+    lengths = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    if not lengths:
+        return table.sparkSession.createDataFrame([], NEIGHBOURS)
+    found = [neighbours_of_length(rows.where(F.size("v") == d), is_query, k, trees, seed, recall) for d in lengths]
+    return reduce(DataFrame.union, found)
+
+
+def neighbours_of_length(
+    rows: DataFrame, is_query: Column, k: int, trees: int, seed: int, recall: float,
+) -> DataFrame:
+    """The neighbours among usable rows (vec_id, v) whose vectors have one length."""
+    spark = rows.sparkSession
     unique = distinct_vectors(rows, k)
     vectors = materialize(unique.withColumn("packed", _pack(F.col("v"))), "ann-vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     total, highest = vectors.agg(F.count("*"), F.max(norm)).first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = NEIGHBOURS
     if not total:
         return spark.createDataFrame([], schema)
     bits = max(1, min(COUNTED_BITS, math.ceil(math.log2(total)) + 1))

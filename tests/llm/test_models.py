@@ -300,3 +300,14 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 0
     brute.docs(spark).limit(0).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+# --- vectors of several lengths
+
+def test_search_takes_each_length_among_its_own(spark):
+    rng = np.random.default_rng(11)
+    table = {i: rng.standard_normal(8 if i < 30 else 5).tolist() for i in range(50)}
+    df = spark.createDataFrame(list(table.items()), "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, F.col("vec_id") % 10 == 0, k=60, recall=1.0)
+    want = Counter((q, i) for q in range(0, 50, 10) for i in table if i != q and len(table[i]) == len(table[q]))
+    assert rows(got, "query_id", "vec_id") == want
