@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, token_files, toxicity, url_filter
+from . import ann, decontaminate, html_text, line_dedup, merkle, mixing, ngram_join, quality, token_files, toxicity, url_filter
 from .url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +253,73 @@ def op7_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ann_forest")
 def op8_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+# --- Merkle manifest ------------------------------------------------------
+
+MERKLE_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS id, doc_id, source, lang, n_chars, text,
+         doc_id IS NOT NULL AND (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(doc_id::VARCHAR, ''), lambda c: [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1)))) % 5 = 0 AS tampered
+  FROM documents
+), fields AS (
+  SELECT id, doc_id, source, tampered,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text
+  FROM docs
+), leaves AS (
+  SELECT id, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN tampered THEN sha256(head || coalesce(strlen(text) || ':' ||
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s
+  FROM leaves
+), inner_nodes AS (
+  SELECT s, 0 AS level, i, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT s, any_value(level) + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), any_value((n + 15) // 16)
+  FROM inner_nodes WHERE n > 1 GROUP BY s, i // 16
+), tops AS (
+  SELECT s AS i, digest FROM inner_nodes WHERE n = 1
+), upper_nodes AS (
+  SELECT 0 AS level, i, digest, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT any_value(level) + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), any_value((n + 15) // 16)
+  FROM upper_nodes WHERE n > 1 GROUP BY i // 16
+), root AS (
+  SELECT digest AS root FROM upper_nodes WHERE n = 1
+), levels AS (
+  SELECT s, level, i, digest, n FROM inner_nodes
+), runs AS (
+  SELECT s, 0 AS part, level, i // 16 AS run, list(digest ORDER BY i) AS members FROM inner_nodes WHERE n > 1 GROUP BY s, level, i // 16
+  UNION ALL
+  SELECT NULL, 1, level, i // 16, list(digest ORDER BY i) FROM upper_nodes WHERE n > 1 GROUP BY level, i // 16
+), steps AS (
+  SELECT p.id, r.part, r.level, (p.i // (16 ** r.level)::BIGINT) % 16 AS pos, r.members
+  FROM placed p JOIN runs r ON r.part = 0 AND r.s = p.s AND r.run = p.i // (16 ** (r.level + 1))::BIGINT
+  UNION ALL
+  SELECT p.id, r.part, r.level, (p.s // (16 ** r.level)::BIGINT) % 16, r.members
+  FROM placed p JOIN runs r ON r.part = 1 AND r.run = p.s // (16 ** (r.level + 1))::BIGINT
+), paths AS (
+  SELECT id, list(struct_pack(l := array_to_string(list_slice(members, 1, pos), ''), r := array_to_string(list_slice(members, pos + 2, 16), ''))
+                  ORDER BY part, level) AS path
+  FROM steps GROUP BY id
+), folding AS (
+  SELECT p.id, coalesce(changed, leaf) AS digest, 1 AS k, path FROM placed p LEFT JOIN paths q USING (id)
+  UNION ALL
+  SELECT id, sha256(path[k].l || digest || path[k].r), k + 1, path FROM folding WHERE k <= len(path)
+)
+SELECT p.doc_id, p.leaf, t.digest AS subroot, root,
+       sha256(coalesce(array_to_string(list_transform(f.path, lambda x: x.l || x.r), ''), '')) AS proof_sha256,
+       f.digest AS folded_root, f.digest = root AS verified
+FROM placed p JOIN tops t ON t.i = p.s JOIN folding f ON f.id = p.id AND f.k = coalesce(len(f.path), 0) + 1, root
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
