@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, html_text, line_dedup, merkle, mixing, ngram_join, quality, token_files, toxicity, url_filter
+from . import ann, conversations, decontaminate, html_text, line_dedup, merkle, mixing, ngram_join, quality, token_files, toxicity, url_filter
 from .url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -323,3 +323,78 @@ FROM placed p JOIN tops t ON t.i = p.s JOIN folding f ON f.id = p.id AND f.k = c
 @query("op13_merkle_manifest", MERKLE_SQL)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+# --- conversation repair --------------------------------------------------
+
+REPAIR_SQL = r"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+             lambda c: [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1)))) % 20 AS fault
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE fault <> 0
+), ids AS (
+  SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)
+), placed AS (
+  SELECT conv, turn, role, text, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM damaged d JOIN ids ON ids.conv_id IS NOT DISTINCT FROM d.conv_id
+), faulty AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed
+), counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n
+  FROM faulty GROUP BY conv
+), inserts(q, q2, label, lines) AS (
+  VALUES (0, 0, '', []::VARCHAR[]), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']),
+         (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+         (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])
+), ops(op) AS (
+  VALUES ('D'), ('K'), ('R')
+), moves AS (
+  SELECT conv, i, q, q2, op, inserts.label || op AS label,
+         inserts.lines || CASE op WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+                          ELSE [CASE WHEN q2 = 2 THEN 'assistant:' ELSE 'user:' END || text] END AS lines,
+         3 * len(inserts.lines) + CASE op WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+         + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+         CASE op WHEN 'D' THEN q2 WHEN 'R' THEN CASE WHEN q2 = 2 THEN 3 ELSE 2 END
+              ELSE CASE WHEN initial = 's' AND q2 = 0 THEN 1 WHEN initial = 'u' AND q2 <> 2 THEN 2
+                        WHEN initial = 'a' AND q2 = 2 THEN 3 END END AS target
+  FROM faulty, inserts, ops
+  WHERE op = 'D' OR fault NOT IN ('blank', 'duplicate')
+), best AS (
+  SELECT conv, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS way FROM counted
+  UNION ALL
+  SELECT m.conv, m.i, m.target,
+         min({'cost': (b.way.cost + m.cost)::BIGINT, 'audit': b.way.audit || m.label, 'lines': b.way.lines || m.lines})
+  FROM best b JOIN moves m ON m.conv = b.conv AND m.i = b.i + 1 AND m.q = b.q
+  WHERE m.target IS NOT NULL GROUP BY m.conv, m.i, m.target
+), ended AS (
+  SELECT c.conv, min({'cost': (b.way.cost + 3 * len(t.lines))::BIGINT, 'audit': b.way.audit || t.label, 'lines': b.way.lines || t.lines}) AS way
+  FROM counted c JOIN best b ON b.conv = c.conv AND b.i = c.n JOIN inserts t ON t.q = b.q AND t.q2 IN (0, 3)
+  GROUP BY c.conv
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.way.cost, 0)::BIGINT AS cost, coalesce(e.way.audit, '') AS audit,
+       sha256(coalesce(array_to_string(e.way.lines, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counted c USING (conv) LEFT JOIN ended e USING (conv)
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
