@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, conversations, decontaminate, html_text, line_dedup, merkle, mixing, ngram_join, quality, token_files, toxicity, url_filter
+from . import ann, conversations, decontaminate, html_text, lattice, line_dedup, merkle, mixing, ngram_join, quality, token_files, toxicity, url_filter
 from .url_filter import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -398,3 +398,34 @@ FROM ids LEFT JOIN counted c USING (conv) LEFT JOIN ended e USING (conv)
 @query("op12_conversation_repair", REPAIR_SQL)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+# --- embedding near-dedup -------------------------------------------------
+
+LATTICE_SQL = r"""
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS id, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), usable AS (
+  SELECT id, vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.id <> b.id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95
+), reached AS (
+  SELECT id AS a, id AS b FROM vectors
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), components AS (
+  SELECT r.a AS id, min(v.vec_id) AS component_id FROM reached r JOIN vectors v ON v.id = r.b GROUP BY r.a
+), counts AS (
+  SELECT a AS id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM vectors JOIN components USING (id) LEFT JOIN counts USING (id)
+"""
+
+
+@query("op11_lattice_dedup", LATTICE_SQL)
+def op11_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.embedding_duplicates(table(spark, sf_dir, "embeddings"))
