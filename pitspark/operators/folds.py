@@ -1,17 +1,13 @@
-"""Walk-forward folds, purged training rows and the statistics fitted on them."""
+"""Walk-forward folds and their purged training rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import FEATURE_SETS, FIN, TARGETS, TECH
-from ..session import materialize
 
 BURN_IN_YEARS = 3
 FEATURES = TECH + FIN
-# Relative rank error of the sketch is 1/ACCURACY; the candidates kept reach four times further.
-ACCURACY = 2_000
-MARGIN = 0.002
 
 
 def labelled(panel: DataFrame, target: str) -> Column:
@@ -70,8 +66,8 @@ def training_rows(panel: DataFrame, folds: DataFrame, columns: list[str] = FEATU
     """Purged training rows of every fold.
 
     The fold table is broadcast: its size is bounded by targets times calendar
-    years. Rows repeat per fold they train but are never shuffled as such; the
-    aggregates on top reduce them where they are read.
+    years. Rows repeat per fold they train; sums over training sets are better taken from
+    ``fold_stats``, which reads every row once.
     """
     rows = labelled_rows(panel.select("trade_date", "label_end_date", *columns, *TARGETS))
     return purge(rows.join(F.broadcast(folds), "target"), F.col("start"))
@@ -133,125 +129,3 @@ def fold_eligibility(panel: DataFrame, folds: DataFrame) -> DataFrame:
         {"train_classes": both.cast("int") + (F.col("train_n") > 0).cast("int")}
         | {f"runs_{n}": both & (F.col(f"cells_{n}") > 0) for n in FEATURE_SETS}
     )
-
-
-def exact_medians(
-    rows: DataFrame, keys: list[str], columns: list[str], bounds: DataFrame
-) -> DataFrame:
-    """Exact median of each column per group, as (keys, feature, median).
-
-    ``bounds`` has per group ``n_<c>`` and ``lo_<c>, hi_<c>``, two approximate
-    quantiles just around the middle. Values below are only counted and values
-    between them are counted per distinct value, so what is ranked is a small
-    part around the middle, never a column. ``bounds`` is broadcast: one row
-    per group, and groups are folds.
-    """
-    placed = rows.select(*keys, *columns).join(F.broadcast(bounds), keys)
-    counted = placed.groupBy(*keys).agg(
-        *[F.count(F.when(F.col(c) < F.col(f"lo_{c}"), 1)).alias(c) for c in columns]
-    )
-    below = counted.select(
-        *keys, F.explode(_named(columns, lambda c: F.col(c))).alias("_b")
-    ).select(*keys, "_b.feature", F.col("_b.value").alias("below"))
-    sizes = bounds.select(
-        *keys, F.explode(_named(columns, lambda c: F.col(f"n_{c}"))).alias("_b")
-    ).select(*keys, "_b.feature", F.col("_b.value").alias("n"))
-
-    def candidate(c: str) -> Column:
-        return F.when(F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")), F.col(c))
-
-    cells = F.filter(_named(columns, candidate), lambda x: x["value"].isNotNull())
-    near = (
-        placed.select(*keys, F.explode(cells).alias("_c"))
-        .groupBy(*keys, F.col("_c.feature").alias("feature"), F.col("_c.value").alias("value"))
-        .agg(F.count("*").alias("copies"))
-    )
-    group = keys + ["feature"]
-    # Ranked in slices of like size, written with their number, so that no task holds the
-    # candidates of a whole column; a slice starts after the copies in the slices before it.
-    sliced = materialize(
-        near.repartitionByRange(*group, "value").withColumn("_slice", F.spark_partition_id()), "median-slices",
-    )
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sliced.groupBy(*group, "_slice").agg(F.sum("copies").alias("_copies")).select(
-        *group, "_slice", F.coalesce(F.sum("_copies").over(earlier), F.lit(0)).alias("_before"),
-    )
-    upto = Window.partitionBy(*group, "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        sliced.withColumn("_inside", F.sum("copies").over(upto))
-        .join(offsets, [*group, "_slice"])
-        .join(F.broadcast(below.join(sizes, group)), group)
-        .withColumn("_last", F.col("below") + F.col("_before") + F.col("_inside"))
-        .withColumn("_first", F.col("_last") - F.col("copies") + 1)
-    )
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("value")))
-
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    return ranked.groupBy(*group).agg(((value_at(low) + value_at(high)) / 2).alias("median"))
-
-
-def _named(columns: list[str], value) -> Column:
-    return F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in columns])
-
-
-def fold_statistics(
-    panel: DataFrame, folds: DataFrame, columns: list[str] = FEATURES
-) -> DataFrame:
-    """(target, test_year, feature): what imputation and scaling learn from training rows.
-
-    Exact median (0 for a column without values), then mean and population
-    standard deviation *after* imputation, and the balanced class weights.
-    Mean and spread follow from those of the present values and the number of
-    imputed copies of the median, so no further pass over the rows is needed.
-    """
-    keys = ["target", "test_year"]
-    rows = training_rows(panel, folds, columns)
-    quantiles = [0.5 - MARGIN, 0.5 + MARGIN]
-    wide = rows.groupBy(*keys).agg(
-        F.count("*").alias("train_n"), F.sum("label").alias("train_pos"),
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.avg(c).alias(f"avg_{c}") for c in columns],
-        *[F.var_pop(c).alias(f"var_{c}") for c in columns],
-        *[F.percentile_approx(c, quantiles, ACCURACY).alias(f"q_{c}") for c in columns],
-    )
-    # Written once: a sketch may differ slightly between runs, and the count below
-    # and the candidates between must be taken against the same bounds.
-    wide = materialize(wide, "fold-quantiles")
-    bounds = wide.select(
-        *keys, *[f"n_{c}" for c in columns],
-        *[F.get(f"q_{c}", F.lit(0)).alias(f"lo_{c}") for c in columns],
-        *[F.get(f"q_{c}", F.lit(1)).alias(f"hi_{c}") for c in columns],
-    )
-    medians = exact_medians(rows, keys, columns, bounds)
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"),
-                     F.col(f"avg_{c}").alias("avg"), F.col(f"var_{c}").alias("var"))
-            for c in columns
-        ]
-    )
-    long = wide.select(*keys, "train_n", "train_pos", F.explode(cells).alias("_s")).select(
-        *keys, "train_n", "train_pos", "_s.*"
-    )
-    found = F.when(
-        (F.col("n") > 0) & F.col("median").isNull(),
-        F.raise_error(F.lit("median outside its bounds")).cast("double"),
-    ).otherwise(F.coalesce("median", F.lit(0.0)))
-    n, absent = F.col("train_n"), F.col("train_n") - F.col("n")
-    avg, var = F.coalesce("avg", F.lit(0.0)), F.coalesce("var", F.lit(0.0))
-    gap = avg - F.col("fill")
-    mean = (F.col("n") * avg + absent * F.col("fill")) / n
-    spread = F.sqrt((F.col("n") * var + F.col("n") * absent / n * gap * gap) / n)
-    neg = n - F.col("train_pos")
-    return (
-        long.join(medians, keys + ["feature"], "left")
-        .withColumn("fill", found)
-        .select(
-            *keys, "feature", "train_n", "train_pos", F.col("fill").alias("median"),
-            mean.alias("mean"), spread.alias("std"),
-            F.try_divide(n, 2 * F.col("train_pos")).alias("weight_pos"),
-            F.try_divide(n, 2 * neg).alias("weight_neg"),
-        )
-    )

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.scalars import decide
 from ..schemas import FEATURE_SETS, TARGETS
 from ..session import materialize
-from .folds import fold_eligibility, fold_statistics, fold_table, labelled, purge
+from .fold_stats import fold_statistics
+from .folds import fold_eligibility, fold_table, labelled, purge
 from .metrics import metrics_by_year, outcome_of
 
 OUTCOMES = ["fwd_ret_60d", "max_drawdown_60d", "opportunity_label", "risk_label"]

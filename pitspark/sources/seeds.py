@@ -63,7 +63,7 @@ def code_alias(spark: SparkSession) -> DataFrame:
 
 
 def initial_jobs(spark: SparkSession) -> DataFrame:
-    """The three ledger rows a fresh workspace starts with (fixed values)."""
+    """The three ledger rows a fresh workspace starts with; ids, counts and states are fixed, the notes are ours."""
     rows = [
         ("J001", "market_daily", "S009", "PIPELINE_READY", 33, 0, 0, None, None, None,
          "market ingestion"),
@@ -76,7 +76,7 @@ def initial_jobs(spark: SparkSession) -> DataFrame:
 
 
 def initial_meta(spark: SparkSession) -> DataFrame:
-    """The rows of the key-value table a fresh workspace starts with (fixed values)."""
+    """The rows of the key-value table a fresh workspace starts with; keys and the date are fixed, the wording is ours."""
     rows = [
         ("database_version", "bootstrap-v1"), ("snapshot_date", "2026-01-21"),
         ("formal_universe", "level-3 category, point in time"),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitspark.operators import folds as fd, metrics as mt
+from pitspark.operators import fold_stats as fs, folds as fd, metrics as mt
 from pitspark.operators.model import FEATURE_SETS, fit_fold, fold_plan, walk_forward
 from pitspark.schemas import FIN, TECH
 from pitspark.session import materialize
@@ -72,7 +72,7 @@ def test_statistics_equal_numpy(spark):
     pdf = panel.toPandas()
     folds = materialize(fd.fold_table(panel), "f")
     starts = {(f.target, f.test_year): f.start for f in folds.collect()}
-    got = fd.fold_statistics(panel, folds).collect()
+    got = fs.fold_statistics(panel, folds).collect()
     assert len(got) == len(starts) * len(FEATURES)
     for r in got:
         train = train_of(pdf, r.target, starts[r.target, r.test_year])
@@ -84,14 +84,30 @@ def test_statistics_equal_numpy(spark):
         np.testing.assert_allclose([r.weight_pos, r.weight_neg], [len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum())])
 
 
-def test_exact_median_with_ties_and_even_counts(spark):
+@pytest.mark.parametrize("limit", [10**6, 20])
+def test_medians_of_ties_and_extreme_values(spark, limit):
     rng = np.random.default_rng(0)
-    for n in (1, 2, 5, 2000, 2001):
-        x = np.round(rng.normal(size=n), 2)
-        df = spark.createDataFrame([(1, float(v)) for v in x], "g int, v double")
-        b = df.groupBy("g").agg(F.count("v").alias("n_v"), F.percentile_approx("v", [0.499, 0.501], 10000).alias("q"))
-        b = b.select("g", "n_v", F.col("q")[0].alias("lo_v"), F.col("q")[1].alias("hi_v"))
-        assert fd.exact_medians(df, ["g"], ["v"], b).first().median == pytest.approx(np.median(x), abs=1e-15)
+    groups = [np.round(rng.normal(size=n), 2) for n in (1, 2, 5, 800, 801)]
+    groups += [np.array(v) for v in ([0.0, -0.0, 1e-300, -1e-300], [1e308, -1e308, 1e307, 3.0], [7.0] * 50 + [7.0000001] * 50)]
+    for x in groups:
+        late = dt.date(2020, 1, 1)
+        rows = [(late, float(v), 1, None) for v in x] + [(dt.date(2021, 1, 1), 5.0, 0, None)] * 2
+        panel = spark.createDataFrame(rows, "label_end_date date, v double, opportunity_label int, risk_label int")
+        numbers = {"opportunity_label": [(2021, dt.date(2020, 6, 1)), (2022, dt.date(2022, 1, 1))]}
+        tagged = fs.tagged_rows(panel, numbers, ["v"])
+        cells = fs.value_cells(tagged, ["v"])
+        folds = spark.createDataFrame([("opportunity_label", 0), ("opportunity_label", 1)], "target string, fold int")
+        moments = fs.fold_moments(cells, folds)
+        got = {r.fold: r.median for r in fs.select_medians(tagged, cells, moments, limit).collect()}
+        for fold, values in ((0, x), (1, np.append(x, [5.0, 5.0]))):
+            low, high = np.sort(values)[[(len(values) - 1) // 2, len(values) // 2]]
+            assert got[fold] == pytest.approx(low / 2 + high / 2, rel=1e-15)
+
+
+def test_statistics_repeat_no_row_by_folds(panel):
+    numbers = fs.fold_numbers(fd.fold_table(panel))
+    text = fs.value_cells(fs.tagged_rows(panel, numbers, FEATURES), FEATURES)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Scan") + text.count("LogicalRDD") <= 1
 
 
 def newton(x, y, w):

@@ -148,7 +148,7 @@ def test_seeds(spark):
     assert master.where("board is null").count() == 0
     assert seeds.code_alias(spark).count() == 4
     assert seeds.snapshot_membership(master).count() == 33
-    assert seeds.initial_jobs(spark).count() == 3 and seeds.initial_meta(spark).count() == 2
+    assert seeds.initial_jobs(spark).count() == 3 and seeds.initial_meta(spark).count() == 3
 
 
 def test_csv_and_json_round_trip(spark, tmp_path):

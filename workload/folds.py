@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pitspark.operators import folds as fd, metrics as mt
+from pitspark.operators import fold_stats as fs, folds as fd, metrics as mt
 from pitspark.operators.model import walk_forward
 from pitspark.operators.quality import gate_report, panel_summary, run_summary
 from pitspark.session import materialize
@@ -124,7 +124,7 @@ STATS_SQL = "\n  UNION ALL ".join(
 def statistics(t: Tables) -> DataFrame:
     panel = written_panel(t)
     table = materialize(fd.fold_table(panel), "folds")
-    return rounded(fd.fold_statistics(panel, table))
+    return rounded(fs.fold_statistics(panel, table))
 
 
 def metrics_sql(keys: list[str], extra: str = "") -> str:
