@@ -148,16 +148,22 @@ def merge_touched(
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Append the rows whose key is new; the first of several new rows is kept."""
-    fresh = batch if order is None else collapse_batch(batch, keys, {}, order)
+    """Append the rows whose key is new; of several new rows the first in ``order`` is kept.
+
+    Without ``order`` a repeated key in the batch is an error.
+    """
+    fresh = unique_keys(batch, keys) if order is None else collapse_batch(batch, keys, {}, order)
     fresh = fresh.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
 def insert_or_replace(target: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Replace whole rows by key; columns the batch does not list fall back to NULL."""
+    """Replace whole rows by key, the last in ``order``; columns the batch does not list fall back to NULL.
+
+    Without ``order`` a repeated key in the batch is an error.
+    """
     rest = dict.fromkeys([c for c in batch.columns if c not in keys], OVERWRITE)
-    fresh = batch if order is None else collapse_batch(batch, keys, rest, order)
+    fresh = unique_keys(batch, keys) if order is None else collapse_batch(batch, keys, rest, order)
     kept = target.join(fresh.select(*keys), keys, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True).select(*target.columns)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
 
-from ..operators import aliases as al, merge as mg, quality as ql
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+from ..operators import aliases as al, landed as ld, merge as mg, quality as ql
 from ..operators.features import with_prev_close
-from ..schemas import MARKET_DAILY
-from ..sources import bars as bar_source, fundamentals as fund
+from ..schemas import FINANCIAL_QUARTERLY, MARKET_DAILY
+from ..session import materialize
+from ..sources import bars as bar_source, fundamentals as fund, versions
 
 
 class IngestError(RuntimeError):
@@ -17,31 +20,75 @@ class IngestError(RuntimeError):
 ADJUSTED = ["open_qfq", "high_qfq", "low_qfq", "close_qfq"]
 
 
-def _series(lines: DataFrame, alias: DataFrame, universe: DataFrame) -> DataFrame:
-    """Parsed lines of one price basis, stitched to canonical codes of the universe.
+# --- what a job loads -----------------------------------------------------------
 
-    A day landed twice counts once, with the line that arrived last (``arrival``; where
-    the lines have none, the greatest line).
-    """
-    arrival = F.col("arrival") if "arrival" in lines.columns else F.col("line")
-    parsed = bar_source.parse_kline_lines(lines.select("code", "line", arrival.alias("_arrival")))
-    clean = bar_source.quarantine_payloads(parsed, ["code"]).withColumnRenamed("date", "trade_date")
-    payload = [c for c in clean.columns if c not in ("code", "trade_date", "_arrival")]
-    last = clean.groupBy("code", "trade_date").agg(F.max_by(F.struct(*payload), "_arrival").alias("_last"))
-    stitched = al.alias_stitch(last.select("code", "trade_date", "_last.*"), alias)
-    return stitched.join(universe.select("code").distinct(), "code", "left_semi")
+@dataclass(frozen=True)
+class Loaded:
+    """A batch written once, with what was observed while it was written."""
+
+    batch: DataFrame
+    rows: int
+    entities: int
+
+
+def load_batch(batch: DataFrame, name: str = "batch") -> Loaded:
+    """Write ``batch`` and count its rows in the same job; its codes come from the written column alone."""
+    seen = Observation()
+    written = materialize(batch.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    entities = written.agg(F.countDistinct("code")).first()[0]
+    return Loaded(written, seen.get["rows"], entities)
+
+
+def _as_loaded(batch: DataFrame | Loaded) -> Loaded:
+    return batch if isinstance(batch, Loaded) else load_batch(batch)
+
+
+# --- bars -----------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class LineRun:
+    """Landed lines of one price basis: the bars they give, the rejects, and the account of all lines."""
+
+    bars: DataFrame
+    rejects: DataFrame
+    accounts: DataFrame
+
+
+def run_lines(lines: DataFrame, alias: DataFrame, universe: DataFrame) -> LineRun:
+    """Parse, route and account for landed lines; the lines are read by one job, which also counts them."""
+    seen = Observation()
+    parsed = materialize(
+        ld.parsed_lines(lines).observe(seen, F.count(F.lit(1)).alias("landed")), "landed-lines")
+    routed = ld.routed_lines(parsed, alias, universe)
+    return LineRun(
+        ld.accepted_bars(routed).drop("landed"), ld.rejected_lines(routed), ld.line_accounts(routed, seen.get["landed"]))
+
+
+def _series(lines: DataFrame, alias: DataFrame, universe: DataFrame) -> DataFrame:
+    """Bars of one price basis, without the account of their lines; nothing is run here."""
+    return ld.accepted_bars(ld.routed_lines(ld.parsed_lines(lines), alias, universe)).drop("landed")
 
 
 def primary_bars(
     raw_lines: DataFrame, adjusted_lines: DataFrame, alias: DataFrame, universe: DataFrame,
     source_id: str = "S009", ingest_ts: Column | None = None,
 ) -> DataFrame:
-    """Text payloads in the bar schema; raw bars drive, adjusted prices join by day."""
+    """Text payloads in the bar schema; raw bars drive, adjusted prices join by day.
+
+    A day landed twice counts once, with the line that arrived last (``arrival``; where the lines have none, the
+    greatest line).
+    """
+    raw, adjusted = (_series(lines, alias, universe) for lines in (raw_lines, adjusted_lines))
+    return bars_of_lines(raw, adjusted, source_id, ingest_ts)
+
+
+def bars_of_lines(
+    raw: DataFrame, adjusted: DataFrame, source_id: str = "S009", ingest_ts: Column | None = None,
+) -> DataFrame:
+    """The bars of both price bases in the bar schema."""
     names = ("open", "high", "low", "close")
-    raw = _series(raw_lines, alias, universe).withColumnsRenamed({n: f"{n}_raw" for n in names})
-    adjusted = _series(adjusted_lines, alias, universe).withColumnsRenamed(
-        {n: f"{n}_qfq" for n in names}
-    )
+    raw = raw.withColumnsRenamed({n: f"{n}_raw" for n in names})
+    adjusted = adjusted.withColumnsRenamed({n: f"{n}_qfq" for n in names})
     bars = al.raw_with_adjusted(with_prev_close(raw), adjusted, ADJUSTED)
     now = F.current_timestamp() if ingest_ts is None else ingest_ts
     bars = bars.withColumnsRenamed(
@@ -85,7 +132,10 @@ def merge_bars(target: DataFrame, batch: DataFrame, primary: bool, order: str |
     if order is None and "arrival" in batch.columns:
         order = "arrival"
     keyed = mg.with_keys(batch, mg.BAR_KEYS)
-    return mg.merge_touched(target, keyed, mg.BAR_KEYS, policy, order, F.year("trade_date"))
+    part = F.year("trade_date")
+    if "year" in target.columns:  # the partition column of a stored table: the split is a partition filter
+        keyed, part = keyed.withColumn("year", part), F.col("year")
+    return mg.merge_touched(target, keyed, mg.BAR_KEYS, policy, order, part)
 
 
 def candidates(universe: DataFrame, alias: DataFrame) -> DataFrame:
@@ -98,6 +148,13 @@ def candidates(universe: DataFrame, alias: DataFrame) -> DataFrame:
     return own.unionByName(others.join(universe.select("code"), "code", "left_semi"))
 
 
+def whole_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages of each listing's last whole fetch, ledger of all fetches) of (code, fetch, page, arrival, body)."""
+    facts = materialize(ld.page_facts(pages), "landed-pages")
+    ledger = ld.page_ledger(facts)
+    return ld.last_whole_pages(facts, ledger).select("code", "page", "body"), ledger
+
+
 def primary_facts(pages: DataFrame, universe: DataFrame, alias: DataFrame) -> DataFrame:
     """Landed pages (listing in ``code``) to facts of the first listing that has records."""
     records = fund.parse_fundamental_pages(pages).withColumnRenamed("code", "listing")
@@ -126,16 +183,40 @@ def merge_facts(target: DataFrame, batch: DataFrame, primary: bool, order: str |
     return mg.merge_upsert(target, batch, mg.FACT_KEYS, policy, order)
 
 
+def publish_bars(
+    spark: SparkSession, root: str, loaded: Loaded, primary: bool, order: str | None = None,
+) -> versions.Snapshot:
+    """Merge a batch into the stored bars, partitioned by year, and commit the next version."""
+    batch = loaded.batch
+
+    def change(old: DataFrame | None) -> DataFrame:
+        if old is None:
+            old = spark.createDataFrame([], MARKET_DAILY).withColumn("year", F.lit(None).cast("int"))
+        return merge_bars(old, batch, primary, order)
+
+    return versions.update(spark, root, change, ["year"], {"rows": loaded.rows, "entities": loaded.entities})
+
+
+def publish_facts(
+    spark: SparkSession, root: str, loaded: Loaded, primary: bool, order: str | list[str] | None,
+) -> versions.Snapshot:
+    """Merge a batch into the stored facts and commit the next version."""
+    def change(old: DataFrame | None) -> DataFrame:
+        old = spark.createDataFrame([], FINANCIAL_QUARTERLY) if old is None else old
+        return merge_facts(old, loaded.batch, primary, order)
+
+    return versions.update(spark, root, change, info={"rows": loaded.rows, "entities": loaded.entities})
+
+
 def fallback_report(
-    jobs: DataFrame, job_id: str, batch: DataFrame, table: DataFrame, date: str, value: str,
+    jobs: DataFrame, job_id: str, batch: DataFrame | Loaded, table: DataFrame, date: str, value: str,
     universe: DataFrame, status: str = "FALLBACK",
 ) -> DataFrame:
     """Ledger after an archive run: rows of the batch, entities with a value over the whole table."""
-    span = ql.coverage(table, date)
-    entities = table.agg(F.countDistinct(F.when(F.col(value).isNotNull(), F.col("code")))).first()[0]
-    numbers = span.select(
-        F.lit(universe.select("code").distinct().count()).alias("target_entities"),
-        F.lit(entities).alias("loaded_entities"), F.lit(batch.count()).alias("loaded_rows"),
+    loaded = _as_loaded(batch)
+    numbers = ql.coverage(table, date, value).select(
+        F.lit(universe.select("code").distinct().count()).alias("target_entities"), "loaded_entities",
+        F.lit(loaded.rows).alias("loaded_rows"),
         "min_date", "max_date", F.lit(status).alias("status"), F.current_timestamp().alias("last_attempt_ts"),
     )
     return ql.ledger_update(jobs, job_id, numbers, f"archive run {status}")
@@ -152,19 +233,17 @@ def source_entry(
 
 
 def report(
-    jobs: DataFrame, job_id: str, batch: DataFrame, table: DataFrame, date: str, universe: DataFrame,
+    jobs: DataFrame, job_id: str, batch: DataFrame | Loaded, table: DataFrame, date: str, universe: DataFrame,
     status: str = "FETCHED",
 ) -> DataFrame:
     """Ledger after an ingest: counters of the batch, date range of the whole table."""
-    counts = ql.ingest_outcome(ql.load_counters(batch), status).first()
-    span = ql.coverage(table, date)
-    numbers = span.select(
+    loaded = _as_loaded(batch)
+    numbers = ql.coverage(table, date).select(
         F.lit(universe.select("code").distinct().count()).alias("target_entities"),
-        F.lit(counts.loaded_entities).alias("loaded_entities"),
-        F.lit(counts.loaded_rows).alias("loaded_rows"), "min_date", "max_date",
-        F.lit(counts.status).alias("status"), F.current_timestamp().alias("last_attempt_ts"),
+        F.lit(loaded.entities).alias("loaded_entities"), F.lit(loaded.rows).alias("loaded_rows"), "min_date", "max_date",
+        F.lit(status if loaded.entities else "FAILED").alias("status"), F.current_timestamp().alias("last_attempt_ts"),
     )
-    return ql.ledger_update(jobs, job_id, numbers, f"ingest {counts.status}")
+    return ql.ledger_update(jobs, job_id, numbers, f"ingest {status if loaded.entities else 'FAILED'}")
 
 
 def require_loaded(batch: DataFrame) -> DataFrame:

@@ -7,15 +7,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import inclusive_end
 from ..operators import intervals as iv, membership as mb
 from ..operators.merge import insert_or_replace, replace_source
 from ..operators.quality import ledger_update, membership_stats
+from ..schemas import SOURCE_REGISTRY
 from ..session import materialize
 from ..sources.classification import read_history
 from ..sources.landing import require_rows
-from ..sources.sinks import write_csv
+from ..sources.sinks import write_csv, write_ordered_csv
 
+# How the registry names the source.
 SOURCE_ID = "S013"
+SOURCE_URL = "https://www.swsresearch.com/swindex/pdf/SwClass2021/StockClassifyUse_stock.xls"
 JOB_ID = "J003"
 
 
@@ -30,6 +34,7 @@ class MembershipRun:
     audit: DataFrame
     jobs: DataFrame
     registry: DataFrame
+    intervals: DataFrame
     status: str
 
 
@@ -53,10 +58,10 @@ def build(
     )
     note = "classification history audited against current members"
     entry = registry.sparkSession.createDataFrame(
-        [(SOURCE_ID, "industry_membership_history", "classification history", "HIGH", outcome.status,
+        [(SOURCE_ID, "industry_membership_history", "classification history", SOURCE_URL,
+          "classification history of all stocks", "OFFICIAL_XLS", "HIGH", outcome.status,
           "intervals are derived before the category filter")],
-        "source_id string, data_layer string, source_name string, reliability string, "
-        "v1_status string, notes string",
+        SOURCE_REGISTRY,
     )
     return MembershipRun(
         raw=replace_source(raw, iv.raw_rows(rows, SOURCE_ID), SOURCE_ID),
@@ -64,6 +69,7 @@ def build(
         audit=audit,
         jobs=ledger_update(jobs, JOB_ID, numbers, note),
         registry=insert_or_replace(registry, entry, ["source_id"]),
+        intervals=islands.withColumn("out_date", inclusive_end(F.col("end_exclusive"))),
         status=outcome.status,
     )
 
@@ -74,8 +80,8 @@ def export_universe(master: DataFrame, membership: DataFrame, path: str) -> str:
 
 
 def export(run: MembershipRun, out_dir: str) -> None:
-    """Write audit and membership; fail afterwards unless the audit passed."""
+    """Write the audit and this run's intervals, open ends empty; fail afterwards unless the audit passed."""
     write_csv(run.audit.orderBy(F.desc("expected_current"), "code"), f"{out_dir}/membership_audit")
-    write_csv(run.history.orderBy("code", "in_date"), f"{out_dir}/membership_history")
+    write_ordered_csv(run.intervals, f"{out_dir}/membership_history", ["code", "in_date"])
     if run.status != "LOADED":
         raise AuditError(f"membership audit: {run.status}")

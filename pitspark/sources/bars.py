@@ -67,11 +67,12 @@ def normalise_archive_bars(
     )
 
 
-def parse_kline_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+def parse_kline_lines(lines: DataFrame, line: str = "line", keep_short: bool = False) -> DataFrame:
     """Comma-joined k-line text to typed columns; lines under eleven fields are skipped.
 
     ``malformed`` marks a line whose date or whose numbers do not parse; ``nan`` is a
-    number that is missing.
+    number that is missing. With ``keep_short`` the lines under eleven fields stay, marked
+    ``short`` (a null line too) and not malformed.
     """
     parts = F.split(F.col(line), ",")
     keep = [c for c in lines.columns if c != line]
@@ -80,14 +81,12 @@ def parse_kline_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     bad = day.isNull()
     for text in field[1:]:
         bad = bad | (to_number(text).isNull() & ~F.lower(F.trim(text)).isin("nan", "+nan", "-nan"))
-    return (
-        lines.select(*keep, parts.alias("_p"))
-        .where(F.size("_p") >= 11)
-        .select(
-            *keep, day.alias("date"), *[to_number(x).alias(n) for n, x in zip(KLINE_FIELDS, field[1:])],
-            bad.alias("malformed"),
-        )
-    )
+    cut = lines.select(*keep, parts.alias("_p"))
+    values = [to_number(x).alias(n) for n, x in zip(KLINE_FIELDS, field[1:])]
+    if not keep_short:
+        return cut.where(F.size("_p") >= 11).select(*keep, day.alias("date"), *values, bad.alias("malformed"))
+    short = F.coalesce(F.size("_p"), F.lit(0)) < 11
+    return cut.select(*keep, day.alias("date"), *values, short.alias("short"), (~short & bad).alias("malformed"))
 
 
 def quarantine_payloads(parsed: DataFrame, payload: list[str]) -> DataFrame:

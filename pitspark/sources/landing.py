@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,6 +34,11 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def exact_path(metadata_path: str) -> str:
+    """A path that reads the one file ``_metadata.file_path`` names: decoded, and no pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(metadata_path))
+
+
 def read_csv_by_header(spark: SparkSession, path: str) -> DataFrame:
     """CSV files as text with ``arrival``; every file is read under its own header.
 
@@ -47,7 +54,7 @@ def read_csv_by_header(spark: SparkSession, path: str) -> DataFrame:
     )
     frames = []
     for head in heads:
-        raw = spark.read.option("header", True).option("enforceSchema", False).csv(list(head.files))
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv([exact_path(f) for f in head.files])
         frames.append(raw.withColumn("arrival", landing_order()))
     if not frames:
         return spark.read.option("header", True).csv(path).withColumn("arrival", landing_order())

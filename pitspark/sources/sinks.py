@@ -1,8 +1,8 @@
-"""Result files: CSV and JSON exports, versioned tables, replacement of one source's rows."""
+"""Result files: CSV and JSON exports, replacement of one source's rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -15,42 +15,35 @@ def write_json(df: DataFrame, path: str) -> str:
     return path
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.split("=")[1]))
-    return sorted(found)
+def write_ordered_csv(df: DataFrame, path: str, keys: list[str]) -> str:
+    """CSV in a total order: rows ascend by ``keys`` (null first) within and across part files.
 
-
-def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Write the next version of a table beside the ones being read.
-
-    A merge reads the version it replaces, so it must never write over it. The
-    version counts only once its ``_SUCCESS`` marker exists.
+    Rows are dealt by range and sorted where they are written; the number in a part file's name follows
+    the ranges, so reading the files by name gives the order.
     """
-    spark = df.sparkSession
-    versions = _versions(spark, root)
-    path = f"{root}/version={(versions[-1] if versions else 0) + 1:08d}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return path
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    return write_csv(df.repartitionByRange(*order).sortWithinPartitions(*order), path)
 
 
-def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    versions = _versions(spark, root)
-    if not versions:
-        raise FileNotFoundError(f"no complete version below {root}")
-    return spark.read.parquet(f"{root}/version={versions[-1]:08d}")
+def order_breaks(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """(breaks): how many neighbouring rows of an exported CSV folder are out of order, across its part files.
+
+    Each split of a file is compared row by row, then the last row of a split with the first of the
+    next; only two rows of a split leave the task that read it.
+    """
+    key = F.struct(*[F.struct(F.col(k).isNotNull().alias("present"), F.col(k).alias("value")).alias(k) for k in keys])
+    rows = spark.read.option("header", True).option("emptyValue", "").schema(schema).csv(path).select(
+        key.alias("key"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    split = rows.withColumn("late", (F.lag("key").over(inside) > F.col("key")).cast("long")).groupBy("file", "block").agg(
+        F.coalesce(F.sum("late"), F.lit(0)).alias("late"), F.min_by("key", "at").alias("head"), F.max_by("key", "at").alias("tail"))
+    # a row per split of the export
+    between = Window.partitionBy(F.lit(0)).orderBy("file", "block")
+    crossing = F.lag("tail").over(between) > F.col("head")
+    return split.withColumn("crossing", crossing.cast("long")).agg(
+        (F.coalesce(F.sum("late"), F.lit(0)) + F.coalesce(F.sum("crossing"), F.lit(0))).alias("breaks"))
 
 
 def overwrite_sources(df: DataFrame, path: str, key: str = "source_id") -> str:

@@ -72,17 +72,6 @@ def test_replace_ignore_and_source(spark, tmp_path):
     assert sorted((r.v, r.source_id) for r in spark.read.parquet(path).collect()) == [(2, "B"), (9, "A")]
 
 
-def test_published_versions(spark, tmp_path):
-    root = str(tmp_path / "table")
-    with pytest.raises(FileNotFoundError):
-        sinks.read_latest(spark, root)
-    sinks.publish(spark.range(3), root)
-    current = sinks.read_latest(spark, root)
-    sinks.publish(current.where("id > 0"), root)
-    assert sinks.read_latest(spark, root).count() == 2
-    assert current.count() == 3
-
-
 def test_alias_cut_over(spark):
     bars = spark.createDataFrame(
         [("833819", "2025-05-05", 1.0), ("833819", "2025-05-06", 2.0), ("920819", "2025-05-05", 3.0),

@@ -1,7 +1,7 @@
 """The workload run on the driver's tables: fixture views, queries and their SQL oracles."""
 
 from . import (  # noqa: F401  (each registers its queries)
-    activity, folds, ingest_runs, landing, membership, merges, panel, quality,
+    activity, folds, ingest_plans, ingest_runs, landing, membership, merges, panel, quality,
 )
 from .registry import ORACLE, QUERIES
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from pitspark.operators import fold_stats as fs, folds as fd, metrics as mt
@@ -171,14 +173,34 @@ def auc_exact(t: Tables) -> DataFrame:
     return rounded(mt.exact_auc(t.scored(), ["target", "model"]))
 
 
+@dataclass(frozen=True)
+class Walk:
+    panel: DataFrame
+    metrics: DataFrame
+    predictions: DataFrame
+
+
+_WALKS: dict[tuple[str, str], Walk] = {}
+
+
+def walk_of(t: Tables) -> Walk:
+    """The walk-forward of a folder of tables: run and written once per application, read by all its queries."""
+    key = t.spark.sparkContext.applicationId, t.dir
+    if key not in _WALKS:
+        panel = written_panel(t)
+        metrics, predictions = walk_forward(panel)
+        _WALKS[key] = Walk(panel, materialize(metrics, "walk-metrics"), predictions)
+    return _WALKS[key]
+
+
 @query("walk_forward_predictions")
 def predictions(t: Tables) -> DataFrame:
-    return walk_forward(written_panel(t), parallel_fits=8)[1]
+    return walk_of(t).predictions
 
 
 @query("walk_forward_metrics")
 def walk_metrics(t: Tables) -> DataFrame:
-    return walk_forward(written_panel(t), parallel_fits=8)[0]
+    return walk_of(t).metrics
 
 
 WALK_SQL = SQL_FOLDS | {
@@ -204,7 +226,7 @@ WALK_SQL = SQL_FOLDS | {
 )
 def walk_rows(t: Tables) -> DataFrame:
     """Everything of the predictions that does not depend on a fit."""
-    return rounded(walk_forward(written_panel(t), parallel_fits=8)[1].drop("prob", "pred"))
+    return rounded(walk_of(t).predictions.drop("prob", "pred"))
 
 
 @query(
@@ -216,14 +238,13 @@ def walk_rows(t: Tables) -> DataFrame:
 )
 def walk_folds(t: Tables) -> DataFrame:
     """The metrics' columns that do not depend on a fit."""
-    metrics = walk_forward(written_panel(t), parallel_fits=8)[0]
-    return rounded(metrics.select(
+    return rounded(walk_of(t).metrics.select(
         "target", "model", "test_year", "n", "positive_rate", "train_n", "train_last_label_end", "test_start"))
 
 
 @query("backtest_summary")
 def summary(t: Tables) -> DataFrame:
-    panel = written_panel(t)
-    scored = walk_forward(panel, parallel_fits=8)[1].withColumn("truth", mt.outcome_of())
+    walk = walk_of(t)
+    panel, scored = walk.panel, walk.predictions.withColumn("truth", mt.outcome_of())
     gate = gate_report(t.membership(), tradable_bars(t.bars()), jobs_of(t))
     return run_summary(gate, panel_summary(panel), mt.metrics_pooled(scored))
