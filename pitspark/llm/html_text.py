@@ -18,7 +18,7 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset(
-    "head title script style noscript template svg math iframe object canvas audio video form button select "
+    "head title script style noscript template svg math iframe object canvas audio video button select "
     "option textarea input label fieldset nav menu aside footer dialog".split()
 )
 CONTENT = frozenset("article main".split())
@@ -49,8 +49,8 @@ SIGMA = 1.0
 class Block:
     """A line of the page: the text between two block boundaries, and what surrounds it.
 
-    ``named`` lists the open elements that only their class or id calls noise; negative
-    where a word of BESIDE does.
+    ``named`` is the innermost open element that only its class, id or being a form calls
+    noise, as a number in the parser's tree of such elements; 0 for none.
     """
 
     section: int
@@ -59,24 +59,56 @@ class Block:
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     text: str = ""
-    named: tuple[int, ...] = ()
+    named: int = 0
+    linked: int = 0
 
 
 class BlockParser(HTMLParser):
     """Turns parser events into blocks, keeping a stack of open elements.
 
     Unclosed and misplaced tags are tolerated: an end tag closes the nearest open
-    element of its name or nothing, a block element ends an open paragraph.
+    element of its name or nothing, a block element ends an open paragraph. A declaration or
+    marked section of an unknown kind is a comment up to the next ``>``; a comment, declaration or instruction
+    that never ends goes to the end of the page. Every event takes time independent of how many elements are open,
+    but for those it closes.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, bool, bool, int, int]] = []
+        self.open: dict[str, int] = {}
+        self.block_at: list[int] = []  # places of block elements in the stack
         self.sections = 0
+        self.ending = False
+        # of every element that only a name calls noise: its parent in this tree, and whether BESIDE holds the name
+        self.named: list[tuple[int, bool]] = [(0, False)]
         self.blocks = [Block(0, False, False)]
 
-    def _state(self) -> tuple[bool, bool, int, tuple[int, ...]]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0, ())
+    def read(self, html: str) -> list[Block]:
+        self.feed(html)
+        self.ending = True
+        self.close()
+        return self.blocks
+
+    def _or_rest(self, end: int) -> int:
+        return len(self.rawdata) if end < 0 and self.ending else end
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._or_rest(super().parse_comment(i, report))
+
+    def parse_pi(self, i: int) -> int:
+        return self._or_rest(super().parse_pi(i))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self._or_rest(self.rawdata.find(">", i) + 1 or -1)
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        return self.parse_marked_section(i)
+
+    def _state(self) -> tuple[bool, bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, False, 0, 0)
 
     def _break(self) -> None:
         noise, content, section, named = self._state()
@@ -86,13 +118,23 @@ class BlockParser(HTMLParser):
         else:
             last.section, last.noise, last.content, last.named = section, noise, content, named
 
+    def _close_from(self, place: int) -> None:
+        for name, *_ in self.stack[place:]:
+            self.open[name] -= 1
+        del self.stack[place:]
+        while self.block_at and self.block_at[-1] >= place:
+            self.block_at.pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.blocks[-1].tags += 1
         if tag == "br" or tag == "wbr":
             self.blocks[-1].parts.append(" " if tag == "br" else "")
             return
-        if tag in BLOCK:
-            self._close_paragraph(tag)
+        if tag in BLOCK and self.block_at:
+            # the innermost block element, if it ends where the next begins
+            inner = self.stack[self.block_at[-1]][0]
+            if inner in INLINE_CLOSED_BY_BLOCK or inner == tag == "li":
+                self._close_from(self.block_at[-1])
         if tag in VOID:
             if tag in BLOCK:
                 self._break()
@@ -101,13 +143,18 @@ class BlockParser(HTMLParser):
         never = is_noise(tag, attrs, content)
         article = tag in CONTENT or any(k == "role" and v == "main" for k, v in attrs)
         words = frozenset() if never or article or tag in ("html", "body") else noise_words(attrs)
-        if (never or words or article) and not noise:
+        beside = bool(words & BESIDE) or (tag == "form" and not never)
+        if (never or words or beside or article) and not noise:
             self.sections += 1
             section = self.sections
-        if words:
-            named += (-self.sections if words & BESIDE else self.sections,)
+        if words or beside:
+            self.named.append((named, beside))
+            named = len(self.named) - 1
+        if tag in BLOCK:
+            self.block_at.append(len(self.stack))
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.stack.append((tag, noise or never, content or (article and not never), section, named))
-        if tag in BLOCK or never != noise or words:
+        if tag in BLOCK or never != noise or words or beside:
             self._break()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -117,27 +164,22 @@ class BlockParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.blocks[-1].tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                left = self.stack[i][1], self.stack[i][4]
-                del self.stack[i:]
-                if tag in BLOCK or left != (self._state()[0], self._state()[3]):
-                    self._break()
-                return
-        if tag in BLOCK:
+        if not self.open.get(tag):
+            if tag in BLOCK:
+                self._break()
+            return
+        place = len(self.stack) - 1
+        while self.stack[place][0] != tag:
+            place -= 1
+        left = self.stack[place][1], self.stack[place][4]
+        self._close_from(place)
+        if tag in BLOCK or left != (self._state()[0], self._state()[3]):
             self._break()
 
-    def _close_paragraph(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name in INLINE_CLOSED_BY_BLOCK or (name == tag == "li"):
-                del self.stack[i:]
-                return
-            if name in BLOCK:
-                return
-
     def handle_data(self, data: str) -> None:
         self.blocks[-1].parts.append(data)
+        if self.open.get("a"):
+            self.blocks[-1].linked += len(data)
 
 
 def is_noise(tag: str, attrs: list, in_content: bool) -> bool:
@@ -190,43 +232,50 @@ def split_threshold(values: np.ndarray, rounds: int = 50) -> float:
     return (low + high) / 2
 
 
-def page_blocks(html: str | None) -> list[Block]:
+def page_blocks(html: str | None) -> tuple[list[Block], list[tuple[int, bool]]]:
+    """(blocks with text, tree of the elements that only a name calls noise)."""
     parser = BlockParser()
-    parser.feed(html or "")
-    parser.close()
-    for b in parser.blocks:
+    blocks = parser.read(html or "")
+    for b in blocks:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in parser.blocks if b.text]
+    return [b for b in blocks if b.text], parser.named
 
 
-def named_noise(blocks: list[Block], ratio: np.ndarray, never: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def named_noise(
+    blocks: list[Block], tree: list[tuple[int, bool]], ratio: np.ndarray, never: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
     """(noise, upper) of each block, elements that only a class or id calls noise judged by their text.
 
     The ratios of such an element are smoothed for themselves and clustered with the
     others of the page. It is content if over half of its text is in the upper cluster. One
-    that a word of BESIDE names must hold most text of the page too, and all of the upper
+    that a word of BESIDE names, or a form, must hold most text of the page too, and all of the upper
     cluster, as comments may be long. Noise within content is judged by itself.
     """
     length = np.array([len(b.text) for b in blocks])
     own = np.zeros(len(blocks))
-    groups: dict[tuple[int, ...], list[int]] = {}
+    groups: dict[int, list[int]] = {}
     for i in np.flatnonzero(~never):
         groups.setdefault(blocks[i].named, []).append(i)
     for at in groups.values():
         own[at] = np.log1p(smooth(ratio[at]))
     upper = ~never & (own >= split_threshold(own[~never]))
-    inside: dict[int, list[int]] = {}
-    for named, at in groups.items():
-        for e in named:
-            inside.setdefault(e, []).extend(at)
+    # text, upper text and upper blocks of every element with all inside it; children have greater numbers
+    sums = np.zeros((len(tree), 3), np.int64)
+    for e, at in groups.items():
+        sums[e] = length[at].sum(), length[at][upper[at]].sum(), upper[at].sum()
+    for e in range(len(tree) - 1, 0, -1):
+        sums[tree[e][0]] += sums[e]
+    shut = [False] * len(tree)
+    for e in range(1, len(tree)):
+        parent, beside = tree[e]
+        text, high, count = sums[e]
+        content = 2 * high > text
+        if beside:
+            content &= 2 * text > sums[0][0] and count == sums[0][2]
+        shut[e] = shut[parent] or not content
     noise = never.copy()
-    for e, at in inside.items():
-        high = upper[at]
-        content = 2 * length[at][high].sum() > length[at].sum()
-        if e < 0:
-            content &= 2 * length[at].sum() > length[~never].sum() and high.sum() == upper.sum()
-        if not content:
-            noise[at] = True
+    for e, at in groups.items():
+        noise[at] = shut[e]
     return noise, upper
 
 
@@ -239,14 +288,15 @@ def main_text(html: str | None) -> tuple[str, int, int]:
     content if any of its blocks is in the upper cluster, and then stays whole, so
     that short paragraphs between long ones are kept. Where the page marks an
     article or a main part, only blocks inside it are candidates; one inside an element
-    named as noise counts as such if it holds most of the upper cluster's text.
+    named as noise counts as such if it holds most of the upper cluster's text. Of several marked
+    articles a short one stays too, unless it is mostly links.
     """
-    blocks = page_blocks(html)
+    blocks, tree = page_blocks(html)
     never = np.array([b.noise for b in blocks], bool)
     if never.all():
         return "", len(blocks), 0
     ratio = np.array([len(b.text) / max(1, b.tags) for b in blocks])
-    noise, upper = named_noise(blocks, ratio, never)
+    noise, upper = named_noise(blocks, tree, ratio, never)
     content = np.array([b.content for b in blocks], bool) & ~noise
     length = np.array([len(b.text) for b in blocks]) * (upper & ~noise)
     marked = any(c and not b.named for b, c in zip(blocks, content)) or 2 * length[content].sum() > length.sum()
@@ -258,14 +308,27 @@ def main_text(html: str | None) -> tuple[str, int, int]:
     high = candidate & (smoothed >= split_threshold(smoothed))
     section = np.array([b.section for b in blocks]) if marked else np.cumsum(noise)
     chosen = np.isin(section, section[high])
+    if marked:
+        chosen |= np.isin(section, prose_sections(blocks, section, candidate))
     kept = [b.text for b, c in zip(blocks, candidate & chosen) if c]
     return " ".join(kept), len(blocks), len(kept)
 
 
+def prose_sections(blocks: list[Block], section: np.ndarray, candidate: np.ndarray) -> list[int]:
+    """Marked sections with more text outside of links than inside."""
+    text, linked = {}, {}
+    for b, at, c in zip(blocks, section.tolist(), candidate):
+        if c:
+            text[at] = text.get(at, 0) + len(b.text)
+            linked[at] = linked.get(at, 0) + b.linked
+    return [at for at, n in text.items() if 2 * linked[at] < n]
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Per row: (page_id, url, text, n_chars, n_blocks, n_kept).
 
-    Whole pages are read, whatever their length. A null or empty page, or one without
+    Whole pages are read, whatever their length, in time that grows with it. Malformed markup never fails: see
+    ``BlockParser``. A null or empty page, or one without
     content, has an empty text; null ids and URLs stay; repeated rows each get their row;
     an empty table gives an empty result; further columns are not read.
     """

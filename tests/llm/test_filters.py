@@ -1,5 +1,7 @@
 """Line dedup, URL rules, decontamination, mixing and HTML on small awkward tables."""
 
+import random
+import time
 from collections import Counter
 
 import brute
@@ -187,6 +189,12 @@ PAGES = [
         ('<div class="post comment-status">', "</div>"),
     ])
 ] + [
+    (50, f"<article><h1>Head</h1><p>{LONG}</p></article><![foo[ x ]]><article><p>Short one.</p></article>", f"Head {LONG} Short one."),
+    (51, f"<body><form action=x><div id=page><h1>Head</h1><p>{LONG}</p><input name=q><button>Go</button></div></form></body>", f"Head {LONG}"),
+    (52, f"<article><p>{LONG}</p></article><!-- nav <a>menu", LONG), (53, f"<article><p>{LONG}</p></article><![CDATA[ nav", LONG),
+    (54, f"<article><p>{LONG}</p></article><?php echo 1", LONG), (55, f"<!DOCTYPE html [x]><article><p>{LONG}</p></article>", LONG),
+    (56, f"<article><p>{LONG}</p></article><article><a href=x>More to read</a></article>", LONG),
+    (57, f"<main><p>{LONG}</p></main><form class=search><p>Type a few words to find</p></form>", LONG),
     (40, f"<div><h1>Head</h1><p>{LONG}</p></div><div id=comments><article class=comment><p>{LONG}</p></article></div>", f"Head {LONG}"),
 ]
 
@@ -197,3 +205,46 @@ def test_main_text(spark):
     got = html_text.extract_main_text(pages)
     assert rows(got, "page_id", "text", "n_chars") == Counter((i, t, len(t)) for i, _, t in PAGES + PAGES[:1])
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
+
+
+def mutated(rng, page):
+    """The page with pieces cut, repeated and replaced by scraps of markup."""
+    scraps = ["<", ">", "<!", "<![", "<!--", "-->", "]]>", "<?", "</", "</p>", "<p>", "<b>", "&", "&#x", "&#99999999999;", "&#xD800;",
+              "<script>", "</script>", "<form>", "</form>", "<a ", "='", '"', "<div class='ad'>", "<![CDATA[", "<!ELEMENT ", "\x00", "<textarea>"]
+    for _ in range(rng.randint(1, 6)):
+        i, j = sorted(rng.randrange(len(page) + 1) for _ in range(2))
+        j = min(j, i + rng.randint(0, 40))
+        page = page[:i] + rng.choice([rng.choice(scraps), "", page[i:j] * 2]) + page[j:]
+    return page
+
+
+def plain_blocks(html):
+    """The words of a page by the same events, with lists walked instead of counts kept."""
+    parser = html_text.BlockParser()
+    parser.read(html)
+    counts = Counter(name for name, *_ in parser.stack)
+    assert counts == Counter({k: v for k, v in parser.open.items() if v})
+    assert parser.block_at == [i for i, e in enumerate(parser.stack) if e[0] in html_text.BLOCK]
+    return parser.blocks
+
+
+def test_mutated_pages_never_fail():
+    rng = random.Random(3)
+    pages = [h for _, h, _ in PAGES if h and len(h) < 3000]
+    for k in range(10_000):
+        page = mutated(rng, pages[k % len(pages)])
+        text, n, kept = html_text.main_text(page)
+        blocks = plain_blocks(page)
+        words = [w for b in blocks for w in "".join(b.parts).split()]
+        assert kept <= n and Counter(text.split()) <= Counter(words)
+
+
+def test_time_grows_with_the_page():
+    def seconds(n):
+        page = "<i><b>" * n + "</u>" * n + "<div></div>" * n + "<li><div>" + "<b>" * n + "<li></li>" * n + "<div class=ad>x" * n
+        start = time.perf_counter()
+        html_text.main_text(page + f"<p>{LONG}")
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.05)
