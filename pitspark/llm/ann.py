@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ NEIGHBOURS = "query_id long, rank int, vec_id long, score double"
 def usable_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(vec_id, v): finite non-zero vectors of any length, in double precision.
 
-    Rows without an id take no part; of rows sharing an id the one with the least vector stays.
+    Rows without an id take no part; rows equal in both are one.
     """
     v = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     rows = table.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(
@@ -35,18 +34,18 @@ def usable_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: s
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.distinct()
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """(node, v, ids): one row per distinct vector with its k + 1 least ids.
+    """(v, ids): one row per distinct vector with its k + 1 least ids.
 
     Ties go to the smaller id, so of equal vectors no query needs more than these.
     Spark cuts the ranks before the shuffle, so copies never gather in one task.
     """
     rank = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     least = rows.withColumn("rank", rank).where(F.col("rank") <= k + 1)
-    return least.groupBy("v").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
 def _pack(v: Column) -> Column:
@@ -58,9 +57,18 @@ def _pack(v: Column) -> Column:
 
 
 def _unpack(vectors) -> np.ndarray:
+    """The rows of packed vectors of one length."""
     return np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
 
 
+def _by_length(packed: list[bytes]) -> list[tuple[list[int], np.ndarray]]:
+    """(places, vectors) for each length among packed vectors."""
+    places: dict[int, list[int]] = {}
+    for i, p in enumerate(packed):
+        places.setdefault(len(p), []).append(i)
+    return [(at, _unpack([packed[i] for i in at])) for at in places.values()]
+
+
 # --- the forest ---------------------------------------------------------------
 
 def hash_strings(vectors: np.ndarray, highest: float, trees: int, seed: int, query: bool) -> np.ndarray:
@@ -77,19 +85,27 @@ def hash_strings(vectors: np.ndarray, highest: float, trees: int, seed: int, que
     return (signs.reshape(len(vectors), trees, BITS) * weights).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def forest_rows(vectors: DataFrame, highest: float, trees: int, seed: int, query: bool) -> DataFrame:
-    """(node, tree, key, packed) for every vector and tree."""
+def forest_rows(vectors: DataFrame, highest: dict[int, float], trees: int, seed: int, query: bool) -> DataFrame:
+    """(node, tree, key, packed) for every vector and tree.
+
+    Each length of vectors has trees of its own, numbered from length times ``trees``; ``highest`` has the
+    greatest norm of each length.
+    """
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            keys = hash_strings(_unpack(batch.column("packed").to_pylist()), highest, trees, seed, query)
+            keys = np.empty((len(batch), trees), np.int64)
+            for at, rows in _by_length(batch.column("packed").to_pylist()):
+                keys[at] = hash_strings(rows, highest[rows.shape[1]], trees, seed, query)
             lists = pa.ListArray.from_arrays(
                 np.arange(0, keys.size + 1, trees, dtype=np.int32), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("packed"), lists], ["node", "packed", "keys"])
 
     keyed = vectors.select("node", "packed").mapInArrow(hashed, "node long, packed binary, keys array<long>")
-    return keyed.select("node", "packed", F.posexplode("keys").alias("tree", "key"))
+    first = (F.length("packed") / 8).cast("long") * trees
+    return keyed.select("node", "packed", first.alias("first"), F.posexplode("keys").alias("at", "key")).select(
+        "node", "packed", (F.col("first") + F.col("at")).alias("tree"), "key")
 
 
 def _prefix(key: Column, length: Column) -> Column:
@@ -108,11 +124,13 @@ def prefix_counts(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def query_levels(queries: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
-    """(node, length, rows): rows in all trees that share at least ``length`` bits with the query."""
+    """(node, length, rows, most): rows that share at least ``length`` bits with the query, in all trees
+    together and in the tree with most of them."""
     asked = queries.select("node", "tree", "key", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("length")).select(
         "node", "tree", "length", _prefix(F.col("key"), F.col("length")).alias("prefix"),
     )
-    return asked.join(counts, ["tree", "length", "prefix"]).groupBy("node", "length").agg(F.sum("rows").alias("rows"))
+    return asked.join(counts, ["tree", "length", "prefix"]).groupBy("node", "length").agg(
+        F.sum("rows").alias("rows"), F.max("rows").alias("most"))
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -125,19 +143,21 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 def sample_truth(vectors: DataFrame, sample: list, k: int) -> DataFrame:
     """(node, found, score) of brute force for a bounded list of (node, packed) queries over all rows."""
-    nodes = np.array([r[0] for r in sample], np.int64)
-    asked = _unpack([r[1] for r in sample])
+    lengths = _by_length([r[1] for r in sample])
+    asked = {rows.shape[1]: (np.array([sample[i][0] for i in at], np.int64), rows) for at, rows in lengths}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            found = np.array(batch.column("node"))
-            scores = asked @ _unpack(batch.column("packed").to_pylist()).T
-            scores[nodes[:, None] == found[None, :]] = -np.inf
-            a, b = np.nonzero(_best(scores, k))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[a]), pa.array(found[b]), pa.array(scores[a, b])], ["node", "found", "score"])
+            every = np.array(batch.column("node"))
+            for at, rows in _by_length(batch.column("packed").to_pylist()):
+                if rows.shape[1] not in asked:
+                    continue
+                nodes, queries = asked[rows.shape[1]]
+                found, scores = every[at], queries @ rows.T
+                scores[nodes[:, None] == found[None, :]] = -np.inf
+                a, b = np.nonzero(_best(scores, k))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[a]), pa.array(found[b]), pa.array(scores[a, b])], ["node", "found", "score"])
 
     near = vectors.select("node", "packed").mapInArrow(search, "node long, found long, score double")
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("score"), "found"))
@@ -203,35 +223,31 @@ def nearest_neighbours(
     scored exactly. How many are enough is measured: brute force over all rows for
     ``SAMPLE_QUERIES`` queries gives the count that meets ``recall`` of their true neighbours.
 
+    In any case a query ascends until one tree holds k others that share its prefix, or to the root.
+
     Subtrees are dealt into blocks of about ``BLOCK_ROWS`` rows, crowded ones by a hash of
-    the row, and each block's queries in parts of as many, so a task holds two bounded sides.
+    the row, and each block's queries in parts of as many, so a task holds two bounded sides. A query that
+    ascends d bits above the blocks is sent to 2^d blocks of each tree; on vectors without clusters, where half of all
+    rows must be met, that is a share of the blocks, as many comparisons as brute force over that share.
     Equal vectors are one row of the index with their k + 1 least ids. Vectors that are
-    null, zero or hold null or non-finite components take no part, nor do rows without id;
-    of rows sharing an id the one with the least vector stays. Vectors of each length are
-    searched among their own, one length after the other;
-    fewer candidates than k give fewer rows; an empty table gives an empty result; other
+    null, zero or hold null or non-finite components take no part, nor do rows without id.
+    Rows sharing an id are rows of their own unless their vectors are equal too; a query is each of them. Vectors of each
+    length have trees of their own and are searched among themselves;
+    fewer candidates than k give fewer rows, all of them; an empty table gives an empty result; other
     columns are not read. ``is_query`` is a condition on ``vec_id``.
     """
     rows = materialize(usable_vectors(table, id_column, vector_column), "ann-rows")
-    lengths = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
-    if not lengths:
-        return table.sparkSession.createDataFrame([], NEIGHBOURS)
-    found = [neighbours_of_length(rows.where(F.size("v") == d), is_query, k, trees, seed, recall) for d in lengths]
-    return reduce(DataFrame.union, found)
-
-
-def neighbours_of_length(
-    rows: DataFrame, is_query: Column, k: int, trees: int, seed: int, recall: float,
-) -> DataFrame:
-    """The neighbours among usable rows (vec_id, v) whose vectors have one length."""
     spark = rows.sparkSession
-    unique = distinct_vectors(rows, k)
-    vectors = materialize(unique.withColumn("packed", _pack(F.col("v"))), "ann-vectors")
+    unique = distinct_vectors(rows, k).withColumn("packed", _pack(F.col("v")))
+    # nodes ascend with the least id of their vectors, so a tie between nodes is a tie between ids
+    vectors = materialize(
+        unique.orderBy(F.get("ids", F.lit(0))).withColumn("node", F.monotonically_increasing_id()), "ann-vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    total, highest = vectors.agg(F.count("*"), F.max(norm)).first()
-    schema = NEIGHBOURS
+    # one row for each length of vectors
+    per_length = vectors.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(norm).alias("highest")).collect()
+    total, highest = sum(r.n for r in per_length), {r.width: r.highest for r in per_length}
     if not total:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], NEIGHBOURS)
     bits = max(1, min(COUNTED_BITS, math.ceil(math.log2(total)) + 1))
     stored = materialize(forest_rows(vectors, highest, trees, seed, False), "ann-forest")
     of_query = rows.where(is_query).join(vectors.select("v", "node"), "v").select("vec_id", "node")
@@ -240,14 +256,14 @@ def neighbours_of_length(
     asked = materialize(
         forest_rows(vectors.join(asked_nodes, "node"), highest, trees, seed, True), "ann-asked")
     counts = materialize(prefix_counts(stored, bits), "ann-counts")
-    sample = asked.where(F.col("tree") == 0).orderBy(F.xxhash64("node")).limit(SAMPLE_QUERIES).select("node", "packed").collect()
+    sample = asked.where(F.col("tree") % trees == 0).orderBy(F.xxhash64("node")).limit(SAMPLE_QUERIES).select("node", "packed").collect()
     if not sample:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], NEIGHBOURS)
     truth = materialize(sample_truth(vectors, sample, k), "ann-truth")
     wanted = choose_candidates(stored, asked, counts, truth, bits, recall)
     levels = query_levels(asked, counts, bits)
     depth = levels.groupBy("node").agg(
-        F.coalesce(F.max(F.when(F.col("rows") >= wanted, F.col("length"))), F.lit(0)).alias("depth"))
+        F.coalesce(F.max(F.when((F.col("rows") >= wanted) & (F.col("most") > k), F.col("length"))), F.lit(0)).alias("depth"))
     start = asked.join(depth, "node")
     cut = max(0, math.ceil(math.log2(max(1, total / BLOCK_ROWS))))
     cut = min(cut, bits)
@@ -279,12 +295,12 @@ def neighbours_of_length(
     best = scored.groupBy("node", "found").agg(F.max("score").alias("score")).withColumn(
         "place", F.row_number().over(by_node)).where(F.col("place") <= k + 1)
     listed = best.join(vectors.select(F.col("node").alias("found"), "ids"), "found").select(
-        "node", "score", F.explode("ids").alias("vec_id"))
-    top = W.partitionBy("node").orderBy(F.desc("score"), "vec_id")
+        "node", "found", "score", F.explode("ids").alias("vec_id"))
+    top = W.partitionBy("node").orderBy(F.desc("score"), "vec_id", "found")
     short = materialize(listed.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k + 1), "ann-short")
     mine = members.select(F.col("vec_id").alias("query_id"), "node").join(
-        short.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near")), "node")
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+        short.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score", "found"))).alias("near")), "node")
+    others = F.slice(F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["found"] != F.col("node"))), 1, k)
     return mine.select("query_id", F.posexplode(others).alias("rank", "n")).select(
         "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"),
         F.col("n.score").alias("score"),

@@ -311,3 +311,29 @@ def test_search_takes_each_length_among_its_own(spark):
     got = ann.nearest_neighbours(df, F.col("vec_id") % 10 == 0, k=60, recall=1.0)
     want = Counter((q, i) for q in range(0, 50, 10) for i in table if i != q and len(table[i]) == len(table[q]))
     assert rows(got, "query_id", "vec_id") == want
+
+
+def brute_neighbours(table, k):
+    """Distinct (id, vector) rows; per query row (query_id, rank, vec_id, score)."""
+    rows_in = sorted({(i, tuple(v)) for i, v in table})
+    out = []
+    for q, v in rows_in:
+        if q % 20 == 0:
+            near = sorted((-float(np.dot(v, w)), i) for i, w in rows_in if len(w) == len(v) and (i, w) != (q, v))[:k]
+            out += [(q, r, i, round(-s, 9)) for r, (s, i) in enumerate(near, 1)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_small_tables_give_all_candidates(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = [3, 15, 18, 21][seed], [4, 9, 0, 40][seed]
+    table = [(i, rng.standard_normal(6).tolist()) for i in range(sizes[0])] + [(100 + i, rng.standard_normal(3).tolist()) for i in range(sizes[1])]
+    table += [(0, rng.standard_normal(6).tolist()), (0, table[0][1]), (2, table[1][1]), (100, rng.standard_normal(6).tolist())]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=20)
+    mine = Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got.collect())
+    want = brute_neighbours(table, 20)
+    if max(sizes) <= 18:  # no more candidates than asked for
+        assert mine == want
+    assert Counter((q, r) for q, r, *_ in mine.elements()) == Counter((q, r) for q, r, *_ in want.elements())
