@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitspark.session import materialize
 
-from .text import text_key, words
+from .text import text_key, unpacked, words
 
 WINDOW = 10
 PROBES = 2
@@ -209,11 +209,7 @@ def contamination(
     probe = materialize(probes(docs, windows, probe_count, per_pass), "decon-probes")
     postings = build_postings(docs, probe, per_pass)
     matches = materialize(exact_matches(docs, postings, probe), "decon-matches")
-    items_of = (
-        matches.select("doc_id", "doc_key", "phrase").distinct()
-        .join(windows.select("phrase", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")), "phrase")
-        .groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    )
+    items_of = document_items(matches, windows)
     hits = covered_words(matches).join(
         items_of.select(F.col("doc_id").alias("i_id"), F.col("doc_key").alias("i_key"), "item_ids"),
         F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("doc_key") == F.col("i_key")),
@@ -232,13 +228,36 @@ def contamination(
     )
 
 
+def document_items(matches: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, doc_key, item_ids): the sorted items with a window in a document.
+
+    A phrase stands for its list of items, phrases with equal lists for one list; lists are joined
+    once for each different set of them that some document meets, so a phrase of many items in many documents
+    makes a row for each item or document, not for each pair.
+    """
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    per_phrase = materialize(
+        windows.groupBy("phrase").agg(F.sort_array(F.collect_set(item)).alias("items"))
+        .withColumn("list", F.sha2(F.to_json("items"), 256)),
+        "decon-lists",
+    )
+    lists = per_phrase.groupBy("list").agg(F.first("items").alias("items"))
+    met = materialize(
+        matches.select("doc_id", "doc_key", "phrase").distinct().join(per_phrase.select("phrase", "list"), "phrase")
+        .groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("list")).alias("lists")),
+        "decon-met",
+    )
+    sets = met.select("lists").distinct().select("lists", F.explode("lists").alias("list")).join(lists, "list").groupBy("lists").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
+    return met.join(sets, "lists").select("doc_id", "doc_key", "item_ids")
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without any occurrence of a window of ``items``."""
     found = contamination(docs, items, **options).where("contaminated")
-    bad = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null ")).alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct()
-    return docs.join(
-        bad,
-        (F.coalesce(F.col("doc_id").cast("string"), F.lit("null ")) == F.col("_bad_id"))
-        & (text_key(F.col("text")) == F.col("_bad_key")),
-        "left_anti",
-    )
+    text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null "))
+    bad = found.select(text_id.alias("id"), F.col("doc_key").alias("key")).distinct()
+    # the columns travel in one struct, so no name clashes
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(text_id.alias("id"), text_key(F.col("text")).alias("key"), whole.alias("row"))
+    return unpacked(rows.join(bad, ["id", "key"], "left_anti"), docs.columns)

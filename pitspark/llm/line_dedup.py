@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitspark.session import materialize
 
-from .text import row_key
+from .text import repeated, row_key
 
 WINDOW = 3
 _COPIES = 10_000
@@ -104,12 +104,8 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), "copies",
     )
-    # two steps, so no list of copies is long
-    dealt = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _COPIES))))
-    dealt = dealt.withColumn("copy", F.explode(F.sequence(
-        F.col("part") * _COPIES, F.least(F.col("copies"), (F.col("part") + 1) * _COPIES) - 1,
-    )))
-    gone = (F.col("copy") > 0) & (F.col("n_lines") >= window)
+    dealt = repeated(cut, F.col("copies"), "copy", _COPIES)
+    gone = (F.col("copy") > 1) & (F.col("n_lines") >= window)
     return dealt.select(
         "doc_id", F.when(gone, F.lit("")).otherwise(F.col("text")).alias("text"), "n_lines",
         F.when(gone, F.col("n_lines")).otherwise(F.col("n_removed")).alias("n_removed"),

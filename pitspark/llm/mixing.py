@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitspark.session import materialize
 
-from .text import TOKEN_BREAK, row_key, token_count
-
-ROWS_PER_RANGE = 4096
+from .text import TOKEN_BREAK, packed_rows, repeated, token_count, two_digests, unpacked
 
 
 def source_targets(
@@ -61,9 +59,9 @@ def mix_sources(
     """How many words of every document the mix takes: (doc_id, source, size, source_size,
     target, taken, ranked_before, row).
 
-    Every document gets a hash-random key. A source is sorted by key; the keys are
-    uniform, so equal slices of the key space are ranges of like size, as many per
-    source as its rows ask for. The running sum of words is the sum of the ranges
+    Every document gets a hash-random key. The rows are range-sorted by source and key, so a source of any size
+    lies in many ranges, and so do rows that share a key (a null or repeated doc_id): ranges are cut by
+    the row's size and digest too. The running sum of words is the sum of the ranges
     before plus the sum inside the range, so no task holds a source. The mix takes
     whole passes over a source while they fit its target; the last pass is cut at
     the exact word, inside the document that crosses it. Targets are rounded down.
@@ -82,39 +80,28 @@ def mix_sources(
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
     )
     words = F.col("size") * F.col("copies")
-    per_source = rows.groupBy("source").agg(
-        F.sum(words).alias("source_size"), F.count("*").alias("rows"),
-    )
-    targets = source_targets(per_source.select("source", "source_size"), weights, share, max_epochs)
+    order = ["key", "doc_id", "size", "row"]
+    # written with the number of their range, which a second reading could draw otherwise
+    sliced = materialize(
+        rows.repartitionByRange("source", *order).withColumn("slice", F.spark_partition_id()), "mix-slices")
+    ranges = sliced.groupBy("source", "slice").agg(F.sum(words).alias("range_words"))
+    ranges = materialize(ranges, "mix-ranges")
+    targets = source_targets(
+        ranges.groupBy("source").agg(F.sum("range_words").alias("source_size")), weights, share, max_epochs)
+    # a row for each range of a source
+    earlier = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranges.withColumn("offset", F.coalesce(F.sum("range_words").over(earlier), F.lit(0)))
     plan = materialize(
-        targets.join(per_source.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s")))
-        .select(
-            F.col("s").alias("plan_source"), "source_size", "target",
-            # hexadecimal digits of the key that name a range, at least one
-            F.greatest(
-                F.lit(1), F.ceil(F.log2(F.col("rows") / F.lit(float(ROWS_PER_RANGE))) / 4),
-            ).cast("int").alias("digits"),
-        ),
+        offsets.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).select(
+            F.col("source").alias("plan_source"), F.col("slice").alias("plan_slice"), "offset", "source_size", "target"),
         "mix-plan",
     )
-    planned = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn(
-        "slice", F.substring(F.col("key"), F.lit(1), F.col("digits")),
-    )
-    ranges = planned.groupBy("plan_source", "slice").agg(F.sum(words).alias("range_words"))
-    earlier = W.partitionBy("plan_source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranges.select(
-        F.col("plan_source").alias("o_source"), F.col("slice").alias("o_slice"),
-        F.coalesce(F.sum("range_words").over(earlier), F.lit(0)).alias("offset"),
-    )
-    inside = (
-        W.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "row")
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    ordered = planned.withColumn("inside", F.coalesce(F.sum(words).over(inside), F.lit(0)))
+    inside = W.partitionBy("source", "slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ordered = sliced.withColumn("inside", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     placed = ordered.join(
-        offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("slice") == F.col("o_slice")),
+        plan, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("slice") == F.col("plan_slice")),
     )
-    copy = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).withColumn(
+    copy = repeated(placed, F.col("copies"), "copy").withColumn(
         "ranked_before", F.col("offset") + F.col("inside") + (F.col("copy") - 1) * F.col("size"),
     )
     budget = F.floor(F.col("target"))
@@ -136,19 +123,20 @@ def mixed_documents(
     each source), its last copy is these words joined by spaces. Rows of size 0 have nothing to
     take and are left out.
     """
-    taken = mix_sources(docs, weights, share, max_epochs, seed).groupBy("row").agg(
-        F.sum("taken").alias("_words"), F.first("size").alias("_size"),
-    ).where(F.col("_words") > 0).withColumnRenamed("row", "_row")
+    taken = mix_sources(docs, weights, share, max_epochs, seed).groupBy(F.col("row").alias("key")).agg(
+        F.sum("taken").alias("words"), F.first("size").alias("size"),
+    ).where(F.col("words") > 0)
     # equal rows share their digest: one of them stands for all, as often as they are taken together
-    met = docs.withColumn("_row", _row_digest()).join(taken, "_row").dropDuplicates(["_row"])
-    copies = F.ceil(F.col("_words") / F.col("_size")).cast("int")
-    repeated = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    rest = (F.col("_words") % F.col("_size")).cast("int")
-    cut = (F.col("_copy") == copies) & (rest > 0)
-    tokens = F.array_remove(F.split("text", TOKEN_BREAK), "")
-    text = F.when(cut, F.array_join(F.slice(tokens, 1, rest), " ")).otherwise(F.col("text"))
-    return repeated.withColumn("text", text).select(docs.columns)
+    met = packed_rows(docs, _row_digest()).join(taken, "key")
+    copies = F.ceil(F.col("words") / F.col("size"))
+    dealt = repeated(met, copies, "copy")
+    rest = (F.col("words") % F.col("size")).cast("int")
+    cut = (F.col("copy") == copies) & (rest > 0)
+    whole = F.col("row.text")
+    tokens = F.array_remove(F.split(whole, TOKEN_BREAK), "")
+    text = F.when(cut, F.array_join(F.slice(tokens, 1, rest), " ")).otherwise(whole)
+    return unpacked(dealt, docs.columns, text=text)
 
 
 def _row_digest() -> Column:
-    return F.xxhash64(row_key(F.col("doc_id"), F.col("text")), F.col("source"), F.col("source").isNull())
+    return two_digests(F.col("doc_id"), F.col("text"), F.col("source"))

@@ -12,7 +12,7 @@ from pitspark.session import materialize
 
 from .components import connected_components
 from .shingles import MinHasher, WordHasher, choose_bands, ngram_set
-from .text import row_key
+from .text import packed_rows, row_key, unpacked
 
 N = 5
 THRESHOLD = 0.8
@@ -57,8 +57,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     rows_in = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc_key"), "text")
     id_type = rows_in.schema["doc_id"].dataType.simpleString()
+    key_type = rows_in.schema["doc_key"].dataType.simpleString()
     return rows_in.mapInArrow(
-        sign, f"doc_id {id_type}, doc_key long, node long, check long, grams long, bands array<long>",
+        sign, f"doc_id {id_type}, doc_key {key_type}, node long, check long, grams long, bands array<long>",
     )
 
 
@@ -85,7 +86,9 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
         "node", "check", "grams", "buckets",
         F.explode(F.array_distinct(F.transform("buckets", lambda b: b["anchor"]))).alias("group"),
     )
-    sizes = listed.groupBy("group").agg(F.count("*").alias("size"), F.sum("grams").alias("volume"))
+    # a table of its own, so that Spark may split the members of a crowded group when they meet their sizes
+    sizes = materialize(
+        listed.groupBy("group").agg(F.count("*").alias("size"), F.sum("grams").alias("volume")), "join-sizes")
     return listed.join(sizes, "group")
 
 
@@ -282,9 +285,9 @@ def near_duplicates(
     places = deal_blocks(groups, block_docs, block_grams).groupBy("node", "check").agg(
         F.collect_list(F.struct("group", "low", "high", "block")).alias("units"), F.first("buckets").alias("buckets"),
     ).join(reps.select("node", "check", "doc_key", "copies"), ["node", "check"])
-    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("doc_key"), "text")
-    met = texts.join(places, "doc_key").dropDuplicates(["doc_key"])
-    units = met.select("node", "check", "copies", "buckets", "text", F.explode("units").alias("unit")).select(
+    # a row landed many times is folded before its text travels
+    texts = docs.groupBy(row_key(F.col("doc_id"), F.col("text")).alias("doc_key")).agg(F.first("text").alias("text"))
+    units = texts.join(places, "doc_key").select("node", "check", "copies", "buckets", "text", F.explode("units").alias("unit")).select(
         "node", "check", "copies", "buckets", "text", "unit.*",
     )
     verified = materialize(verified_links(units, n, threshold), "join-links")
@@ -314,11 +317,10 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows without text (null or empty) have no class and all stay. Of equal rows one stays.
     """
-    keyed = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
     judged = near_duplicates(docs, **options).where(F.col("component").isNotNull())
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("doc_key"))
     first = judged.groupBy("component").agg(F.min(order).alias("first"))
-    keep = first.select(F.col("first.doc_key").alias("_row"))
+    keep = first.select(F.col("first.doc_key").alias("key"))
     no_text = F.coalesce(F.col("text"), F.lit("")) == ""
-    chosen = keyed.where(~no_text).join(keep, "_row").dropDuplicates(["_row"])
-    return chosen.select(docs.columns).union(docs.where(no_text))
+    rows = packed_rows(docs.where(~no_text), row_key(F.col("doc_id"), F.col("text")))
+    return unpacked(rows.join(keep, "key", "left_semi"), docs.columns).union(docs.where(no_text))

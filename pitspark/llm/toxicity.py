@@ -13,16 +13,16 @@ from .quality import MAX_LABELS, label_bucket, training_labels
 from .text import words
 
 MAX_SEQUENCES = 1_500
-MAX_LEXICON = 5_000
+MAX_TRAINING_BYTES = 32 << 20
 DOCS_PER_STEP = 512
 
 
-def toxic_lexicon(docs: DataFrame, limit: int = MAX_LEXICON) -> frozenset[str]:
+def toxic_lexicon(docs: DataFrame) -> frozenset[str]:
     """Words, and stems with a star, that stand in toxic documents far more than chance allows.
 
     ``docs`` has (text, label). A word or stem in n documents, a of them toxic, is taken
     if at least half are toxic and the chance of that many (Chernoff bound) is below a
-    tenth of one in all tried; of more than ``limit`` the strongest.
+    tenth of one in all tried. So each needs several documents of the labelled sample, which bounds how many there are.
     """
     share = docs.agg(F.avg("label")).first()[0] or 0.0
     if not 0 < share < 1:
@@ -43,19 +43,21 @@ def toxic_lexicon(docs: DataFrame, limit: int = MAX_LEXICON) -> frozenset[str]:
     strength = F.when(p > share, F.col("n") * distance)
     found = (
         counts.where((p >= 0.5) & (strength >= float(np.log(10 * tried))))
-        .orderBy(strength.desc(), "word").limit(limit).select("word").collect()
+        .select("word").collect()
     )
     return frozenset(r[0] for r in found)
 
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_sequences: int = MAX_SEQUENCES,
+    max_bytes: int = MAX_TRAINING_BYTES,
 ) -> Crf:
     """A chain model learnt from labelled documents outside bucket 2 of 4.
 
-    Two documented bounds: the lexicon comes from at most ``max_labels`` labelled
+    Three documented bounds: the lexicon comes from at most ``max_labels`` labelled
     documents, counted where they are; the chain is fitted on the whole texts of at most
-    ``max_sequences`` of them, which come to the driver.
+    ``max_sequences`` of them, together at most ``max_bytes`` long, which come to the driver. These are chosen by a hash of
+    their id from the sizes alone; a text that no longer fits is passed over.
     """
     chosen = F.broadcast(training_labels(labels, "toxic", 4, 2, max_labels))
     known = materialize(
@@ -64,10 +66,28 @@ def fit_toxicity(
         "toxic-training",
     )
     lexicon = toxic_lexicon(known)
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_sequences).select("text", "label").collect()
+    rows = sample_sequences(known, max_sequences, max_bytes)
     return fit_crf([r[0] for r in rows], np.array([r[1] for r in rows]), lexicon)
 
 
+def sample_sequences(known: DataFrame, max_sequences: int, max_bytes: int) -> list[tuple[str | None, float]]:
+    """(text, label) of whole documents of ``known`` (doc_id, text, label), bounded in number and bytes."""
+    place = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"), "label")
+    sized = known.groupBy(place.alias("place")).agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    chosen, left = [], max_bytes
+    for r in sized.orderBy("place").limit(max_sequences).collect():
+        if r.bytes <= left:
+            chosen.append((r.place.h, r.place.t))
+            left -= r.bytes
+    if not chosen:
+        return []
+    wanted = F.broadcast(known.sparkSession.createDataFrame(chosen, "h long, t long"))
+    texts = known.withColumns({"h": F.xxhash64("doc_id"), "t": F.xxhash64("text")}).join(wanted, ["h", "t"])
+    once = texts.groupBy("h", "t").agg(F.first("text").alias("text"), F.first("label").alias("label"), F.min("doc_id").alias("doc_id"))
+    rows = once.orderBy("h", "doc_id", "t").select("text", "label").collect()
+    return [(r.text, r.label) for r in rows]
+
+
 def _spans(text: str, marginal: np.ndarray, threshold: float) -> list[dict]:
     """Runs of words at least ``threshold`` toxic, as code-point offsets into the text."""
     toxic = marginal >= threshold

@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .text import lower_ascii
+from .text import lower_ascii, repeated
 
 PREFIX_DIGITS = 8
 SALTS = 16
@@ -52,7 +52,7 @@ def judge_urls(
     A URL is expanded into every suffix of its host at a dot, joined with every
     prefix of its path that has the length of some rule's path. Expressions meet
     rules on the first digits of a SHA-256 digest; the full digest then confirms
-    the rule. Among confirmed rules the longest wins, then the greater text, then
+    the rule. Among confirmed rules the longest wins, then the lesser text, then
     the lesser verdict. Without one the verdict is ``default`` and the rule null.
 
     The lengths of rule paths come to the driver: their number is at most the
@@ -109,8 +109,7 @@ def judge_urls(
             ))
         ).alias("best"),
     )
-    return best.select(
+    return repeated(best, F.col("copies"), "copy").select(
         F.col("id").alias(id_column), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+    )

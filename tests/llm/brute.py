@@ -10,7 +10,8 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DOCS_DDL = (
     "doc_id long, text string, lang string, source string, n_chars long, "
-    "key string, size int, word string, start int, node int, bands int, taken int, copies int, row string"
+    "key string, size int, word string, start int, node int, bands int, taken int, copies int, row string, "
+    "_row int, _words int, _bad_id int, id int, words int, slice int, copy int"
 )
 
 
@@ -41,7 +42,7 @@ def docs(spark, texts=None):
     texts = awkward_texts() if texts is None else texts
     sources = ["a", "b", None, "Z", "é"]
     rows = [
-        (i, t, None if k % 3 else "en", sources[k % 5], None, "x", k, "y", 1, 2, 3, 4, 5, "z")
+        (i, t, None if k % 3 else "en", sources[k % 5], None, "x", k, "y", 1, 2, 3, 4, 5, "z", *range(7))
         for k, (i, t) in enumerate(texts)
     ]
     return spark.createDataFrame(rows, DOCS_DDL)

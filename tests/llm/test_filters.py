@@ -248,3 +248,28 @@ def test_time_grows_with_the_page():
 
     seconds(500)
     assert seconds(16_000) < 20 * max(seconds(2_000), 0.05)
+
+
+def test_a_phrase_of_many_items_in_many_documents(spark):
+    shared = brute.passage(5, 10)
+    texts = [(i, f"{shared} {brute.passage(50 + i % 3, 10)}") for i in range(40)]
+    bench = [(i, shared) for i in range(30)] + [(100 + i, brute.passage(50 + i, 10)) for i in range(2)] + [(200, f"{shared} {brute.passage(50, 10)}")]
+    got = decontaminate.contamination(brute.docs(spark, texts), spark.createDataFrame(bench, "item_id long, text string"))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert rows(got, *columns) == Counter(brute.contamination(texts, bench))
+
+
+def test_rows_that_share_an_id_spread_over_ranges(spark):
+    """A null id and a repeated one with many texts: the mix still meets its targets."""
+    texts = [(None, brute.passage(i, 3 + i % 9)) for i in range(150)] + [(7, brute.passage(900 + i, 5)) for i in range(150)] + [(8, "a b c")] * 200
+    docs = brute.docs(spark, texts)
+    got = mixing.mix_sources(docs, MIX_WEIGHTS).toPandas()
+    assert len(got) == len(texts) and (got.taken <= 2 * got["size"]).all()
+    got["source"] = got["source"].astype(object).where(got["source"].notna(), "null")
+    for _, mine in got.groupby("source"):
+        assert mine.taken.sum() == int(mine.target.iloc[0] + 1e-9)
+        placed = mine.sort_values("ranked_before")
+        nonzero = placed[placed["size"] > 0]
+        assert list(nonzero.ranked_before) == [0, *nonzero["size"].cumsum().iloc[:-1]]
+    mixed = mixing.mixed_documents(docs, MIX_WEIGHTS)
+    assert mixed.columns == docs.columns and mixed.count() >= (got.taken > 0).sum()
