@@ -23,6 +23,9 @@ from pitspark.session import scratch_path
 from .token_codec import BLOCK, Coded, decode_blocks, encode_blocks, ids_crc32, join_crc32
 
 BLOCKS_PER_STEP = 2048
+# Two steps of the one kind of tokenizer file whose texts may be split at white space.
+WHITE_SPACE_STEP = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHED_WORDS = 500_000
 
 _PIECE = pa.struct([("document", pa.int64()), ("doc_id", pa.int64()), ("n_ids", pa.int64())])
@@ -46,11 +49,11 @@ def _byte_letters() -> list[str]:
 class WordEncoder:
     """Ids of whole texts, through a bounded memory of the words and pieces seen.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are
-    those of its parts between ASCII white space, in order. Where its file asks for no more than
-    lower case, one splitting pattern and byte letters, a printable part in Latin script is split
+    Where a tokenizer's file asks for no more than NFC, white space to one space, lower case, one splitting pattern that
+    leaves white space out, and byte letters, nothing is joined across white space: a text's ids are those of its
+    parts between ASCII white space, in order. A printable part in Latin script is then split
     here and only its new pieces go to the tokenizer's model; every other part goes
-    through the whole tokenizer.
+    through the whole tokenizer. With any other file whole texts do.
     """
 
     LATIN_END = "\u0250"
@@ -73,7 +76,9 @@ class WordEncoder:
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         simple = (
-            steps == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in splits] == ["Split", "ByteLevel"]
+            steps == ["NFC", "Replace", "Lowercase"] and spec["normalizer"]["normalizers"][1] == WHITE_SPACE_STEP
+            and [p.get("type") for p in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": SPLIT_PATTERN}
+            and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
             and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
             and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
             and all("<|" in t["content"] for t in spec.get("added_tokens", []))
@@ -107,6 +112,8 @@ class WordEncoder:
 
     def __call__(self, text: str | None) -> bytes:
         """16-bit little-endian ids."""
+        if self.split is None:
+            return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u2").tobytes()
         parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         fresh = set(parts).difference(self.known)
         if fresh:

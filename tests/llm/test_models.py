@@ -337,3 +337,20 @@ def test_small_tables_give_all_candidates(spark, seed):
     if max(sizes) <= 18:  # no more candidates than asked for
         assert mine == want
     assert Counter((q, r) for q, r, *_ in mine.elements()) == Counter((q, r) for q, r, *_ in want.elements())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_gives_its_own_ids(spark, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
+    texts = [(i, t) for i, t in brute.awkward_texts() if i is not None] + [(60, "  two  spaces\n\n and\ttabs  "), (61, "a b c")]
+    encoder = token_files.WordEncoder(open(path, encoding="utf-8").read())
+    assert (encoder.split is not None) == name.startswith("word")
+    for _, text in texts:
+        assert list(np.frombuffer(encoder(text), "<u2")) == tokenizer.encode(text or "", add_special_tokens=False).ids
+    if encoder.split is None:
+        got = token_files.token_round_trip(brute.docs(spark, texts), path, END_ID)
+        assert sum(r.n_tokens for r in got.collect()) == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts)
