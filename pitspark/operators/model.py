@@ -78,7 +78,7 @@ def coefficient_table(spark: SparkSession, fits: dict[tuple, dict[str, Fit]], co
     """(target, test_year, models): a row per fold with the numbers of its fitted sets.
 
     ``models`` has per set the name, the intercept and, in the order of ``columns``, median,
-    mean, deviation and weight; a column the set does not use has weight 0.
+    mean, deviation, weight and whether the set uses the column; the weight of one it does not is 0.
     """
     rows = []
     for (target, year), sets in fits.items():
@@ -88,13 +88,13 @@ def coefficient_table(spark: SparkSession, fits: dict[tuple, dict[str, Fit]], co
             terms = []
             for c in columns:
                 s = f.scaling[c] if c in weight else Scaling(0.0, 0.0, 1.0)
-                terms.append((s.median, s.mean, s.std if s.std > 0 else 1.0, weight.get(c, 0.0)))
+                terms.append((s.median, s.mean, s.std if s.std > 0 else 1.0, weight.get(c, 0.0), c in weight))
             models.append((name, f.intercept, terms))
         rows.append((target, year, models))
     return spark.createDataFrame(
         rows,
         "target string, test_year int, models array<struct<model: string, intercept: double, "
-        "terms: array<struct<median: double, mean: double, std: double, weight: double>>>>",
+        "terms: array<struct<median: double, mean: double, std: double, weight: double, used: boolean>>>>",
     )
 
 
@@ -157,6 +157,70 @@ def fit_fold(panel: DataFrame, item: dict, name: str) -> Fit:
                first.weight_pos, first.weight_neg)
 
 
+def fit_folds(panel: DataFrame, targets: list[str] = TARGETS, parallel_fits: int = 2) -> tuple[list[dict], dict[tuple, dict[str, Fit]]]:
+    """(plan, fits by (target, test_year) and set): every runnable fold fitted, a few at a time in order."""
+    plan = fold_plan(panel, targets)
+    runs = [(item, name) for item in plan for name in item["sets"]]
+    with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
+        fitted = list(pool.map(lambda run: fit_fold(panel, *run), runs))
+    fits: dict[tuple, dict[str, Fit]] = defaultdict(dict)
+    for (item, name), model in zip(runs, fitted):
+        fits[item["fold"].target, item["fold"].test_year][name] = model
+    return plan, fits
+
+
+def fit_certificates(panel: DataFrame, plan: list[dict], fits: dict[tuple, dict[str, Fit]], tolerance: float = 1e-5) -> DataFrame:
+    """(target, test_year, model, train_n, loss, gap, optimal): how far each fit is from its optimum, at most.
+
+    The penalised loss (inverse strength 1) is strongly convex in the weights, so half the squared gradient bounds
+    what an exact minimiser could still gain; ``gap`` is this bound relative to the loss and ``optimal`` says that it is
+    below ``tolerance``. One scan of the panel gives the gradients of all fits: a row meets the models of the folds it
+    trains through a broadcast table bounded by folds, sets and features, and is summed where it is read.
+    """
+    columns = [*dict.fromkeys(c for s in FEATURE_SETS.values() for c in s)]
+    spark = panel.sparkSession
+    heads = spark.createDataFrame(
+        [(i["fold"].target, i["fold"].test_year, i["fold"].start, i["fold"].train_n, i["stats"][0].weight_pos, i["stats"][0].weight_neg)
+         for i in plan],
+        "target string, test_year int, start date, train_n long, weight_pos double, weight_neg double")
+    each = coefficient_table(spark, fits, columns).select("target", "test_year", F.explode("models").alias("m"))
+    models = each.join(F.broadcast(heads), ["target", "test_year"]).groupBy("target").agg(
+        F.collect_list(F.struct("test_year", "start", "train_n", "weight_pos", "weight_neg", "m")).alias("models"))
+    known = F.array(*[F.struct(F.lit(t).alias("target"), F.when(labelled(panel, t), F.col(t)).alias("label")) for t in {t for t, _ in fits}])
+    trained = F.filter("models", lambda f: (f["start"] > F.col("label_end_date")) & (f["start"] > F.col("trade_date")))
+    rows = (
+        panel.select("trade_date", "label_end_date", *columns, *TARGETS, F.explode(known).alias("_t"))
+        .where("_t.label is not null").withColumns({"target": F.col("_t.target"), "label": F.col("_t.label")})
+        .join(F.broadcast(models), "target").withColumn("_f", F.explode(trained))
+    )
+    x = {}
+    margin = F.col("_f.m.intercept")
+    for i, c in enumerate(columns):
+        t = F.col("_f.m.terms")[i]
+        x[c] = F.when(t["used"], (F.coalesce(F.col(c), t["median"]) - t["mean"]) / t["std"]).otherwise(0.0)
+        margin = margin + t["weight"] * x[c]
+    sample = F.when(F.col("label") == 1, F.col("_f.weight_pos")).otherwise(F.col("_f.weight_neg"))
+    rest = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z"))) - F.col("label")
+    signed = F.when(F.col("label") == 1, -F.col("_z")).otherwise(F.col("_z"))
+    loss = F.greatest(signed, F.lit(0.0)) + F.log1p(F.exp(-F.abs(signed)))
+    scored = rows.select(
+        "target", "label", F.col("_f.test_year").alias("test_year"), F.col("_f.train_n").alias("train_n"), F.col("_f.m").alias("_m"),
+        sample.alias("_s"), margin.alias("_z"), *[v.alias(f"x_{c}") for c, v in x.items()])
+    summed = scored.groupBy("target", "test_year", F.col("_m.model").alias("model"), "train_n").agg(
+        F.first("_m.terms").alias("terms"), F.sum(F.col("_s") * loss).alias("fit"), F.sum(F.col("_s") * rest).alias("g"),
+        *[F.sum(F.col("_s") * rest * F.col(f"x_{c}")).alias(f"g_{c}") for c in columns],
+    )
+    squares, norm = F.pow("g", F.lit(2)), F.lit(0.0)
+    for i, c in enumerate(columns):
+        t = F.col("terms")[i]
+        squares = squares + F.when(t["used"], F.pow(F.col(f"g_{c}") + t["weight"], 2)).otherwise(0.0)
+        norm = norm + t["weight"] * t["weight"]
+    total = F.col("fit") + norm / 2
+    return summed.select(
+        "target", "test_year", "model", "train_n", total.alias("loss"), (squares / 2 / total).alias("gap"),
+        (squares / 2 / total < tolerance).alias("optimal"))
+
+
 def walk_forward(
     panel: DataFrame, targets: list[str] = TARGETS, parallel_fits: int = 2
 ) -> tuple[DataFrame, DataFrame]:
@@ -168,16 +232,17 @@ def walk_forward(
     training set in storage, and keeps coefficients. All folds are scored in one
     scan, and the predictions are written before the metrics read them.
     """
-    plan = fold_plan(panel, targets)
-    runs = [(item, name) for item in plan for name in item["sets"]]
-    with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
-        fitted = list(pool.map(lambda run: fit_fold(panel, *run), runs))
-    fits: dict[tuple, dict[str, Fit]] = defaultdict(dict)
-    info = []
-    for (item, name), model in zip(runs, fitted):
-        fold = item["fold"]
-        fits[fold.target, fold.test_year][name] = model
-        info.append((fold.target, name, fold.test_year, fold.train_n, fold.train_last_label_end, fold.start))
+    return evaluate(panel, *fit_folds(panel, targets, parallel_fits), targets)
+
+
+def evaluate(
+    panel: DataFrame, plan: list[dict], fits: dict[tuple, dict[str, Fit]], targets: list[str] = TARGETS,
+) -> tuple[DataFrame, DataFrame]:
+    """(metrics per fold and feature set, predictions) of fitted folds."""
+    info = [
+        (i["fold"].target, name, i["fold"].test_year, i["fold"].train_n, i["fold"].train_last_label_end, i["fold"].start)
+        for i in plan for name in i["sets"]
+    ]
     schema = (
         "target string, model string, test_year int, train_n long, "
         "train_last_label_end date, test_start date"

@@ -1,12 +1,13 @@
 import datetime as dt
 import itertools
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pitspark.operators import fold_stats as fs, folds as fd, metrics as mt
-from pitspark.operators.model import FEATURE_SETS, fit_fold, fold_plan, walk_forward
+from pitspark.operators.model import FEATURE_SETS, fit_certificates, fit_fold, fit_folds, fold_plan, walk_forward
 from pitspark.schemas import FIN, TECH
 from pitspark.session import materialize
 
@@ -177,3 +178,25 @@ def test_auc_over_close_and_tied_scores(spark):
     assert got["g"].auc == pytest.approx(brute_auc(y, p), abs=1e-12)
     assert got["one"].auc is None and got["one"].precision_win_rate == 0.0
     assert got["g"].predicted_positive == (p >= 0.5).sum()
+
+
+def test_certificates_tell_a_fit_from_a_spoilt_one(panel, pdf):
+    plan, fits = fit_folds(panel)
+    rows = fit_certificates(panel, plan, fits).collect()
+    assert len(rows) == sum(len(i["sets"]) for i in plan) and all(r.optimal and 0 <= r.gap < 1e-5 for r in rows)
+    (target, year), sets = next(iter(fits.items()))
+    name, good = next(iter(sets.items()))
+    fold = next(i for i in plan if (i["fold"].target, i["fold"].test_year) == (target, year))
+    train = train_of(pdf, target, fold["fold"].start)
+    z = np.full(len(train), good.intercept)
+    for c, w in zip(good.columns, good.coefficients):
+        s = good.scaling[c]
+        z += w * (train[c].astype(float).fillna(s.median) - s.mean) / (s.std or 1.0)
+    y, stats = train[target].to_numpy(float), fold["stats"][0]
+    weight = np.where(y == 1, stats.weight_pos, stats.weight_neg)
+    loss = (weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum() + np.square(good.coefficients).sum() / 2
+    mine = next(r for r in rows if (r.target, r.test_year, r.model) == (target, year, name))
+    np.testing.assert_allclose(mine.loss, loss, rtol=1e-9)
+    sets[name] = replace(good, coefficients=[c + 0.3 for c in good.coefficients])
+    spoilt = fit_certificates(panel, plan, fits).where("not optimal").collect()
+    assert [(r.target, r.test_year, r.model) for r in spoilt] == [(target, year, name)]

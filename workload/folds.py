@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from pitspark.operators import fold_stats as fs, folds as fd, metrics as mt
-from pitspark.operators.model import walk_forward
+from pitspark.operators.model import Fit, evaluate, fit_certificates, fit_folds
 from pitspark.operators.quality import gate_report, panel_summary, run_summary
 from pitspark.session import materialize
 from pitspark.schemas import FIN, TECH
@@ -176,6 +176,8 @@ def auc_exact(t: Tables) -> DataFrame:
 @dataclass(frozen=True)
 class Walk:
     panel: DataFrame
+    plan: list[dict]
+    fits: dict[tuple, dict[str, Fit]]
     metrics: DataFrame
     predictions: DataFrame
 
@@ -188,8 +190,9 @@ def walk_of(t: Tables) -> Walk:
     key = t.spark.sparkContext.applicationId, t.dir
     if key not in _WALKS:
         panel = written_panel(t)
-        metrics, predictions = walk_forward(panel)
-        _WALKS[key] = Walk(panel, materialize(metrics, "walk-metrics"), predictions)
+        plan, fits = fit_folds(panel)
+        metrics, predictions = evaluate(panel, plan, fits)
+        _WALKS[key] = Walk(panel, plan, fits, materialize(metrics, "walk-metrics"), predictions)
     return _WALKS[key]
 
 
@@ -242,6 +245,17 @@ def walk_folds(t: Tables) -> DataFrame:
         "target", "model", "test_year", "n", "positive_rate", "train_n", "train_last_label_end", "test_start"))
 
 
+@query(
+    "fit_certificates",
+    """SELECT target, test_year, model, train_n, true AS optimal FROM runs""",
+    PANEL_VIEWS, WALK_SQL,
+)
+def certificates(t: Tables) -> DataFrame:
+    """Every fold and set that can be fitted, with the fit shown to be optimal by its own gradient."""
+    walk = walk_of(t)
+    return fit_certificates(walk.panel, walk.plan, walk.fits).drop("loss", "gap")
+
+
 @query("backtest_summary")
 def summary(t: Tables) -> DataFrame:
     walk = walk_of(t)
