@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pitspark import schemas
 from pitspark.operators import landed as ld, merge as mg
 from pitspark.plans import ingest
-from pitspark.sources import archive, landing, seeds, sinks, versions
+from pitspark.sources import archive, bars as bar_source, landing, seeds, sinks, versions
 
 HEADER = "SECURITY_CODE,REPORT_DATE,NOTICE_DATE,UPDATE_DATE,REPORT_TYPE,TOTAL_OPERATE_INCOME"
 
@@ -45,6 +45,23 @@ def test_csv_files_of_any_name_are_read(spark, tmp_path, name):
     assert sorted(map(tuple, rows)) == [("1", "x"), ("2", "y"), ("3", "z")]
 
 
+def test_a_small_universe_reads_a_small_part_of_the_archive(spark, tmp_path):
+    codes = spark.range(1000).select(F.col("id").cast("string").alias("code"))
+    bars = codes.crossJoin(spark.range(20).withColumnRenamed("id", "d")).select(
+        "code", F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("d").cast("int")).alias("date"), F.col("d").cast("double").alias("close"))
+    path = bar_source.write_clustered_archive(bars, str(tmp_path / "archive"))
+    universe = codes.where("code % 100 = 7")
+    found = bar_source.scan_clustered_archive(spark, path, universe)
+    assert found.count() == 200 and found.select("code").distinct().count() == 10
+    assert "PartitionFilters: [slot" in found._jdf.queryExecution().executedPlan().toString()
+    files = {r[0] for r in found.select("arrival.file_path").distinct().collect()}
+    read = sum(spark.read.parquet(f.replace("file:", "")).count() for f in files)
+    assert read <= 0.03 * 20_000  # rows of the files opened, for one code in a hundred
+    plain = bar_source.scan_bar_archive(spark, path, universe)
+    assert plain.count() == 200
+    assert bar_source.scan_clustered_archive(spark, path, universe.limit(0)).count() == 0
+
+
 # --- versioned tables
 
 def test_versions_are_pinned_and_expire(spark, tmp_path):

@@ -15,7 +15,8 @@ from pitspark.sources.bars import tradable_bars
 
 from .fixtures import Tables
 from .panel import PANEL_VIEWS, SQL_PANEL, panel_of
-from .quality import jobs_of
+from .membership import ACTIVE_SQL, AUDIT_SQL
+from .quality import GATE_SQL, jobs_of
 from .registry import query, rounded, sql_round
 
 FEATURES = TECH + FIN
@@ -256,6 +257,23 @@ def certificates(t: Tables) -> DataFrame:
     return fit_certificates(walk.panel, walk.plan, walk.fits).drop("loss", "gap")
 
 
+@query(
+    "backtest_summary_facts",
+    """SELECT CASE WHEN formal THEN 'FORMAL' ELSE 'PARTIAL' END AS status, g.job_status, g.membership_rows, g.market_rows, g.missing_codes,
+         (SELECT count(*) FROM panel) AS panel_rows, (SELECT count(DISTINCT code) FROM panel) AS panel_codes,
+         target, model, count(*) AS n, round(avg(label), 6) + 0.0 AS positive_rate, count(DISTINCT test_year) AS years
+       FROM tests, (SELECT *, job_status = 'LOADED' AND membership_rows > 0 AND market_rows > 5000 AND missing_codes = 0 AS formal FROM g) g
+       GROUP BY ALL""",
+    [*PANEL_VIEWS, "fx_members", "fx_trad", "fx_company"], WALK_SQL | {"active": ACTIVE_SQL, "audit": AUDIT_SQL, "g": GATE_SQL},
+)
+def summary_facts(t: Tables) -> DataFrame:
+    """All of the summary that depends on no fit, a row per pooled metric."""
+    s = summary(t).withColumn("m", F.explode("aggregate"))
+    gate = ["job_status", "membership_rows", "market_rows", "missing_codes"]
+    return rounded(s.select(
+        "status", *[f"gate.{c}" for c in gate], "panel_rows", "panel_codes", *[f"m.{c}" for c in ("target", "model", "n", "positive_rate", "years")]))
+
+
 @query("backtest_summary")
 def summary(t: Tables) -> DataFrame:
     walk = walk_of(t)

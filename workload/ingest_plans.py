@@ -12,7 +12,7 @@ from pitspark.operators import quality as ql
 from pitspark.operators.merge import BAR_KEYS, FALLBACK_BAR_POLICY
 from pitspark.plans import backtest, ingest, membership
 from pitspark.session import materialize, scratch_path
-from pitspark.sources import archive, fundamentals as fund, seeds, sinks, versions
+from pitspark.sources import archive, bars as bar_source, fundamentals as fund, seeds, sinks, versions
 
 from .fixtures import Tables
 from .landing import ARCHIVE_FACT_COLUMNS, _NUMBERS, _TEXTS, archive_records
@@ -164,6 +164,23 @@ def ingest_archive_facts(t: Tables) -> DataFrame:
     return rounded(ingest.merge_facts(empty, batch, False, "arrival").select(*ARCHIVE_FACT_COLUMNS))
 
 
+@query(
+    "clustered_archive_scan",
+    f"""SELECT code, trade_date AS date, {sql_round(["open", "close", "volume"])}
+        FROM (SELECT code, trade_date, open_qfq AS open, close_qfq AS close, volume_shares AS volume FROM fx_bars)
+        WHERE code IN ({MEMBERS_SQL})""",
+    ["fx_bars", "fx_company"],
+)
+def clustered_archive_scan(t: Tables) -> DataFrame:
+    """Bars of the universe from an archive clustered by code, of which only its slots are read."""
+    landed = t.bars().select(
+        "code", F.col("trade_date").alias("date"), F.col("open_qfq").alias("open"), F.col("close_qfq").alias("close"),
+        F.col("volume_shares").alias("volume"))
+    path = bar_source.write_clustered_archive(landed, scratch_path(t.spark, "clustered"), slots=64)
+    found = bar_source.scan_clustered_archive(t.spark, path, t.company().where("current_member = 1"), slots=64)
+    return rounded(found.drop("arrival"))
+
+
 # --- response pages -------------------------------------------------------------
 
 PAGE_ROWS = 3
