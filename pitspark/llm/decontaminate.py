@@ -13,6 +13,8 @@ from .text import text_key, unpacked, words
 WINDOW = 10
 PROBES = 2
 TERMS_PER_PASS = 500_000
+CHANGED = 1
+SLOP = 2
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,31 +146,79 @@ def exact_matches(docs: DataFrame, postings: DataFrame, probe: DataFrame) -> Dat
     )
 
 
-def proximity_matches(postings: DataFrame, probe: DataFrame, slop: int) -> DataFrame:
-    """Places where a window's rarest terms stand near each other, in any order:
-    (doc_id, doc_key, phrase, first, last), with shifted positions at most ``slop`` apart.
+def near_probes(
+    docs: DataFrame, windows: DataFrame, changed: int = CHANGED, per_pass: int = TERMS_PER_PASS,
+) -> DataFrame:
+    """The ``changed`` + 2 rarest occurring terms of every window, as ``probes`` has them.
+
+    A term that stands in no document is one of the words that may differ; a window with more of them than
+    ``changed``, or so short that too few terms are left, cannot occur nearly and is left out.
+    """
+    terms = materialize(_window_terms(windows), "decon-near-terms")
+    known = terms.join(term_counts(docs, terms.select("term").distinct(), per_pass), "term", "left")
+    rarest = W.partitionBy("phrase").orderBy(F.col("frequency").asc_nulls_last(), "term")
+    whole = W.partitionBy("phrase")
+    count = changed + 2
+    return (
+        known.withColumns({
+            "slot": F.row_number().over(rarest), "present": F.count("frequency").over(whole), "distinct": F.count("*").over(whole),
+        })
+        .where((F.col("distinct") - F.col("present") <= changed) & (F.col("slot") <= F.least(F.lit(count), F.col("present"))))
+        .where((F.col("present") > changed) & (F.col("length") > 2 * changed))
+        .select("phrase", "length", "term", "offset", "slot", F.least(F.lit(count), F.col("present")).alias("slots"))
+    )
 
-    Walks each (document, window) list once in order, remembering where every
-    slot was last seen, so no pairs of postings are formed.
+
+def near_matches(
+    docs: DataFrame, windows: DataFrame, changed: int = CHANGED, slop: int = SLOP, per_pass: int = TERMS_PER_PASS,
+) -> DataFrame:
+    """Places where a window occurs nearly: (doc_id, doc_key, phrase, length, start, shared).
+
+    A window occurs nearly if a run of its length plus ``slop`` words holds all of its words, repeats included, but
+    ``changed``. The lists of its rarest terms, shifted by their offsets, are walked once in order per document; where all
+    but ``changed`` of them stand within ``slop`` of each other, the words around are compared with the
+    window's. ``start`` is the place of the run, ``shared`` the number of words in common.
     """
-    shifted = postings.join(probe, "term").withColumn("start", F.col("position") - F.col("offset"))
+    docs = docs.select("doc_id", "text")
+    probe = materialize(near_probes(docs, windows, changed, per_pass), "decon-near-probes")
+    shifted = build_postings(docs, probe, per_pass).distinct().join(probe, "term").withColumn("start", F.col("position") - F.col("offset"))
     so_far = (
         W.partitionBy("doc_id", "doc_key", "phrase").orderBy("start", "slot")
         .rowsBetween(W.unboundedPreceding, 0)
     )
-    highest = probe.agg(F.coalesce(F.max("slots"), F.lit(0))).first()[0]
-    seen = [F.max(F.when(F.col("slot") == i, F.col("start"))).over(so_far) for i in range(1, highest + 1)]
-    if not seen:
-        seen = [F.lit(None).cast("int")]
-    last_seen = shifted.withColumn("seen", F.slice(F.array(*seen), F.lit(1), F.col("slots").cast("int")))
+    last_seen = F.array(*[F.max(F.when(F.col("slot") == i, F.col("start"))).over(so_far) for i in range(1, changed + 3)])
+    met = shifted.withColumn("seen", last_seen)
+    together = F.size(F.filter("seen", lambda x: x >= F.col("start") - slop))
+    places = met.where(together >= F.col("slots") - changed).groupBy(F.col("doc_id").alias("c_id"), F.col("doc_key").alias("c_key")).agg(
+        F.collect_set(F.struct("phrase", "length", "start")).alias("places"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("doc_key"), words(F.col("text")).alias("words")).distinct()
+    around = rows.join(places, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("doc_key") == F.col("c_key"))).select(
+        "doc_id", "doc_key", "words", F.explode("places").alias("p"))
+    # every run that covers the place: it begins up to ``slop`` words before it
+    runs = around.withColumn("start", F.explode(F.sequence(
+        F.greatest(F.lit(1), F.col("p.start") - slop), F.greatest(F.lit(1), F.col("p.start")))))
+    run = F.slice("words", F.col("start"), F.col("p.length") + slop)
+    window = F.split("p.phrase", " ")
+    shared = F.aggregate(
+        F.array_distinct(window), F.lit(0),
+        lambda n, w: n + F.least(F.size(F.filter(window, lambda x: x == w)), F.size(F.filter(run, lambda x: x == w))))
     return (
-        last_seen.where(~F.exists("seen", lambda x: x.isNull()))
-        .withColumn("first", F.array_min("seen"))
-        .where(F.col("start") - F.col("first") <= slop)
-        .groupBy("doc_id", "doc_key", "phrase", "first").agg(F.min("start").alias("last"))
+        runs.withColumn("shared", shared).where(F.col("shared") >= F.col("p.length") - changed)
+        .groupBy("doc_id", "doc_key", "p.phrase", "p.length", "start").agg(F.max("shared").alias("shared"))
     )
 
 
+def near_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **options) -> DataFrame:
+    """(doc_id, doc_key, near_items): documents in which windows of ``items`` occur nearly, with the items' ids.
+
+    Exact occurrences count as near ones, but for windows of at most twice as many words as may differ, which
+    ``contamination`` finds. Nulls, repeats and empty tables as there; a document without such a place has no row.
+    """
+    windows = materialize(item_windows(items.select("item_id", "text"), window), "decon-near-windows")
+    found = near_matches(docs, windows, **options)
+    return document_items(found, windows).withColumnRenamed("item_ids", "near_items")
+
+
 def covered_words(matches: DataFrame) -> DataFrame:
     """Words inside any occurrence: (doc_id, doc_key, n_hit), overlaps counted once."""
     end = F.col("start") + F.col("length")

@@ -108,15 +108,43 @@ def test_clean_documents_stay_with_all_columns(spark):
     assert rows(docs, "doc_id") - rows(kept, "doc_id") == Counter([(17,), (18,)])
 
 
-def test_proximity(spark):
-    text = "x y rare1 common rare2 z"
-    docs = brute.docs(spark, [(1, text), (2, "rare2 " + "common " * 30 + "rare1"), (3, "common common")])
-    windows = decontaminate.item_windows(
-        spark.createDataFrame([(1, "rare1 common rare2")], "item_id long, text string"))
-    probe = decontaminate.probes(docs, windows, 2)
-    postings = decontaminate.build_postings(docs, probe)
-    near = decontaminate.proximity_matches(postings, probe, slop=2)
-    assert rows(near, "doc_id") == Counter([(1,)])
+def brute_near(texts, bench, window=10, changed=1, slop=2):
+    wins = {}
+    for item, text in bench:
+        w = brute.words(text)
+        for s in range(max(1, len(w) - window + 1) if w else 0):
+            wins.setdefault(tuple(w[s:s + window]), set()).add(str(item))
+    out = {}
+    for doc, text in texts:
+        w = brute.words(text)
+        for win, ids in wins.items():
+            want = Counter(win)
+            if len(win) > 2 * changed and any(
+                sum((want & Counter(w[s:s + len(win) + slop])).values()) >= len(win) - changed for s in range(len(w))
+            ):
+                out.setdefault(doc, set()).update(ids)
+    return {d: sorted(i) for d, i in out.items()}
+
+
+def test_near_matches_equal_brute_force(spark):
+    rng = random.Random(4)
+    base = [brute.passage(700 + k, 14).split() for k in range(4)]
+    bench = [(k, " ".join(b)) for k, b in enumerate(base)] + [(9, "unheard " + " ".join(base[0][:9])), (10, "one two three"), (11, "a a a a b")]
+    texts = [(99, "one two"), (98, "x one two y"), (97, "b a a a"), (96, None), (95, " ".join(base[1]) + " " + " ".join(base[1]))]
+    for i in range(60):
+        words = list(base[i % 4])
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(words))
+            words = rng.choice([words[:k] + ["new"] + words[k + 1:], words[:k] + ["new"] + words[k:], words[:k] + words[k + 1:],
+                                words[:k] + words[k:k + 2][::-1] + words[k + 2:]])
+        texts.append((i, " ".join([f"n{rng.randrange(50)}" for _ in range(5)] + words + ["tail"] * 3)))
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    got = {r.doc_id: list(r.near_items) for r in decontaminate.near_contamination(brute.docs(spark, texts), table).collect()}
+    want = brute_near(texts, bench)
+    missed = {(d, i) for d, ids in want.items() for i in ids} - {(d, i) for d, ids in got.items() for i in ids}
+    assert all(set(ids) <= set(want.get(d, [])) for d, ids in got.items())  # nothing that is not there
+    assert not missed
+    assert decontaminate.near_contamination(brute.docs(spark).limit(0), table).count() == 0
 
 
 # --- mixing
