@@ -21,9 +21,11 @@ def outcome_of(target: str = "target") -> Column:
     )
 
 
-def ranked_totals(scored: DataFrame, keys: list[str]) -> DataFrame:
+def ranked_totals(scored: DataFrame, keys: list[str], distinct: str | None = None) -> DataFrame:
     """Per group: class counts, decisions and ranking wins of rows (``truth``, ``prob``).
 
+    With ``distinct`` also the set of values of that column, which must have few.
+
     Rows are first reduced to distinct scores. Ranking those in one window per
     group would send a whole model to one task, so they are range-partitioned by
     group and score into slices of like size, wherever the scores crowd, and
@@ -37,6 +39,7 @@ def ranked_totals(scored: DataFrame, keys: list[str]) -> DataFrame:
         .agg(
             F.sum(F.col("truth").cast("long")).alias("pos"),
             F.sum((1 - F.col("truth")).cast("long")).alias("neg"),
+            *([F.collect_set(distinct).alias("_set")] if distinct else []),
         )
         .withColumns(
             {
@@ -48,6 +51,7 @@ def ranked_totals(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
     sliced = level.repartitionByRange(*keys, "prob").withColumn("_slice", F.spark_partition_id())
     level = materialize(sliced, "score-slices")
+    sets = [F.array_distinct(F.flatten(F.collect_set("_set"))).alias("_set")] if distinct else []
     for partition, order in ((["_slice"], "prob"), ([], "_slice")):
         w = (
             Window.partitionBy(*keys, *partition)
@@ -58,7 +62,7 @@ def ranked_totals(scored: DataFrame, keys: list[str]) -> DataFrame:
         level = (
             level.withColumn("wins", F.col("wins") + F.col("pos") * below)
             .groupBy(*keys, *partition)
-            .agg(*[F.sum(c).alias(c) for c in counts + ["wins"]])
+            .agg(*[F.sum(c).alias(c) for c in counts + ["wins"]], *sets)
         )
     return level
 
@@ -72,12 +76,15 @@ def _auc() -> Column:
     return F.try_divide(F.col("wins"), F.col("pos").cast("double") * F.col("neg").cast("double"))
 
 
-def classification_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """All metrics per group from one pass over scored rows; undefined rates are 0."""
+def classification_metrics(scored: DataFrame, keys: list[str], years: str | None = None) -> DataFrame:
+    """All metrics per group from one pass over scored rows; undefined rates are 0.
+
+    With ``years`` also the number of distinct values of that column.
+    """
     pos, n = F.col("pos"), F.col("pos") + F.col("neg")
     tp, chosen = F.col("tp"), F.col("tp") + F.col("fp")
     hits = F.col("tp") + F.col("neg") - F.col("fp")
-    return ranked_totals(scored, keys).select(
+    return ranked_totals(scored, keys, years).select(
         *keys,
         n.alias("n"),
         _rate(pos, n).alias("positive_rate"),
@@ -87,6 +94,7 @@ def classification_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
         _rate(tp, pos).alias("recall"),
         _rate(2 * tp, chosen + pos).alias("f1"),
         _auc().alias("auc"),
+        *([F.size("_set").cast("long").alias("years")] if years else []),
     )
 
 
@@ -96,6 +104,4 @@ def metrics_by_year(scored: DataFrame) -> DataFrame:
 
 def metrics_pooled(scored: DataFrame) -> DataFrame:
     """Metrics over the predictions of all years, with the number of test years."""
-    keys = ["target", "model"]
-    years = scored.groupBy(*keys).agg(F.countDistinct("test_year").alias("years"))
-    return classification_metrics(scored, keys).join(years, keys)
+    return classification_metrics(scored, ["target", "model"], "test_year")

@@ -11,12 +11,13 @@ def read_slot_arrays(days: DataFrame, slots: str = "slots") -> DataFrame:
     """One row per filled slot of each day array.
 
     A missing array, a hole and the clear marker all mean an empty slot and
-    yield no row.
+    yield no row. A day has 48 slots: a longer array is an error, since its further slots stand for no time.
     """
     keep = [c for c in days.columns if c != slots]
     return (
         days.select(*keep, F.posexplode(F.from_json(slots, "array<string>")).alias("slot", "type"))
-        .where((F.col("type") != EMPTY_SLOT) & (F.col("slot") < SLOTS_PER_DAY))
+        .where(F.when(F.col("slot") < SLOTS_PER_DAY, F.col("type") != EMPTY_SLOT).otherwise(
+            F.raise_error(F.lit(f"a day has {SLOTS_PER_DAY} slots")).cast("boolean")))
     )
 
 

@@ -161,7 +161,7 @@ def test_csv_and_json_round_trip(spark, tmp_path):
 
 def test_slot_and_todo_arrays(spark):
     days = spark.createDataFrame(
-        [(1, '["bud","empty",null,"wood"]'), (2, None), (3, "[]"), (4, json.dumps(["bud"] * 50))],
+        [(1, '["bud","empty",null,"wood"]'), (2, None), (3, "[]"), (4, json.dumps(["bud"] * 48))],
         "user_id int, slots string")
     got = read_slot_arrays(days)
     assert sorted((r.slot, r.type) for r in got.where("user_id = 1").collect()) == [(0, "bud"), (3, "wood")]
@@ -172,3 +172,10 @@ def test_slot_and_todo_arrays(spark):
     rows = read_todo_arrays(todos).collect()
     assert [(r.position, r.text, r.created, r.last_done) for r in rows] == [
         (0, "a", dt.date(2024, 1, 30), None), (1, "b", dt.date(1970, 1, 1), dt.date(1970, 1, 2))]
+
+
+def test_a_day_of_too_many_slots_is_an_error(spark):
+    days = spark.createDataFrame([(1, json.dumps(["bud"] * 48)), (2, json.dumps(["bud"] * 49))], "user_id int, slots string")
+    assert read_slot_arrays(days.where("user_id = 1")).count() == 48
+    with pytest.raises(Exception, match="48 slots"):
+        read_slot_arrays(days).collect()

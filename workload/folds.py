@@ -278,5 +278,6 @@ def summary_facts(t: Tables) -> DataFrame:
 def summary(t: Tables) -> DataFrame:
     walk = walk_of(t)
     panel, scored = walk.panel, walk.predictions.withColumn("truth", mt.outcome_of())
-    gate = gate_report(t.membership(), tradable_bars(t.bars()), jobs_of(t))
+    members = materialize(t.membership(), "summary-members")
+    gate = gate_report(members, tradable_bars(t.bars()), jobs_of(t, members))
     return run_summary(gate, panel_summary(panel), mt.metrics_pooled(scored))

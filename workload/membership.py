@@ -28,8 +28,8 @@ AUDIT_SQL = """
   FULL OUTER JOIN active a ON a.code = e.code"""
 
 
-def audit_of(t: Tables) -> DataFrame:
-    return mb.membership_audit(t.company(), t.membership(), ASOF)
+def audit_of(t: Tables, members: DataFrame | None = None) -> DataFrame:
+    return mb.membership_audit(t.company(), t.membership() if members is None else members, ASOF)
 
 
 @query(

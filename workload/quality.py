@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pitspark.operators import quality as ql
+from pitspark.session import materialize
 from pitspark.sources import seeds
 from pitspark.sources.bars import tradable_bars
 
@@ -44,9 +45,9 @@ def ingest_outcome(t: Tables) -> DataFrame:
     return ql.ingest_outcome(ql.load_counters(t.bars()))
 
 
-def jobs_of(t: Tables) -> DataFrame:
+def jobs_of(t: Tables, members: DataFrame | None = None) -> DataFrame:
     """Ledger after the membership audit reported for J003."""
-    numbers = audit_of(t).agg(
+    numbers = audit_of(t, members).agg(
         F.when(F.count(F.when(F.col("status") == "MISSING_OFFICIAL", 1)) == 0, "LOADED")
         .otherwise("AUDIT_FAILED").alias("status"),
         F.sum("expected_current").alias("target_entities"),
@@ -74,7 +75,8 @@ GATE_SQL = """
     {"active": ACTIVE_SQL, "audit": AUDIT_SQL, "g": GATE_SQL},
 )
 def gate_report(t: Tables) -> DataFrame:
-    return ql.gate_report(t.membership(), tradable_bars(t.bars()), jobs_of(t))
+    members = materialize(t.membership(), "gate-members")  # built once, read by the audit and the gate
+    return ql.gate_report(members, tradable_bars(t.bars()), jobs_of(t, members))
 
 
 @query(
