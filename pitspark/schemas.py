@@ -19,66 +19,68 @@ EMPTY_SLOT = "empty"
 SLOTS_PER_DAY = 48
 
 
-_TYPES = {
-    "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
-    "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(),
-}
-
-
-def _struct(text: str) -> T.StructType:
-    """Flat schema from ``name type`` pairs; needs no running session."""
-    pairs = (column.split() for column in text.split(","))
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
-
+_F = T.StructField
+_INT, _LONG, _DOUBLE = T.IntegerType(), T.LongType(), T.DoubleType()
+_TEXT, _DATE, _TIME = T.StringType(), T.DateType(), T.TimestampType()
 
 # Tables and columns of the data model.
-COMPANY_MASTER = _struct(
-    "seq int, company_id string, code string, name string, exchange string, board string, "
-    "sw_l1 string, sw_l2 string, sw_l3 string, sw_code string, current_member int, "
-    "snapshot_date date, status_name string, source_url string, source_asof date"
-)
-INDUSTRY_SNAPSHOT = _struct(
-    "code string, sw_code string, sw_name string, snapshot_date date, is_member int, source_id string"
-)
-CODE_ALIAS = _struct(
-    "canonical_code string, historical_code string, exchange string, valid_from date, "
-    "valid_to date, source_url string, note string"
-)
-SOURCE_REGISTRY = _struct(
-    "source_id string, data_layer string, source_name string, url string, coverage string, "
-    "source_type string, reliability string, v1_status string, notes string"
-)
-INGESTION_JOB = _struct(
-    "job_id string, layer string, source_id string, status string, target_entities bigint, "
-    "loaded_entities bigint, loaded_rows bigint, min_date date, max_date date, "
-    "last_attempt_ts timestamp, note string"
-)
-META = _struct("key string, value string")
-MARKET_DAILY = _struct(
-    "trade_date date, code string, open_raw double, high_raw double, low_raw double, "
-    "close_raw double, prev_close_raw double, pct_chg_pct double, volume_shares double, "
-    "amount_cny double, turnover_pct double, adj_factor double, close_qfq double, is_trade int, "
-    "is_st int, limit_status string, source_id string, ingest_ts timestamp, open_qfq double, "
-    "high_qfq double, low_qfq double, amplitude_pct double, change_amt double"
-)
-FINANCIAL_QUARTERLY = _struct(
-    "code string, report_period date, report_type string, ann_date date, available_date date, "
-    "revision_id string, revenue_cny double, revenue_yoy_pct double, net_profit_parent_cny double, "
-    "net_profit_yoy_pct double, deduct_np_cny double, roe_weighted_pct double, "
-    "gross_margin_pct double, net_margin_pct double, cfo_cny double, total_assets_cny double, "
-    "total_liab_cny double, equity_parent_cny double, inventory_cny double, ar_cny double, "
-    "capex_cny double, source_id string, ingest_ts timestamp, update_date date, source_asof date"
-)
-MEMBERSHIP_HISTORY = _struct(
-    "code string, source_code string, sw_name string, sw_index_code string, "
-    "source_industry_code string, source_industry_name string, classification_version string, "
-    "in_date date, out_date date, source_update_time timestamp, source_id string, loaded_at timestamp"
-)
-CLASSIFICATION_RAW = _struct(
-    "source_code string, canonical_code string, start_date date, industry_code string, "
-    "industry_name string, update_time timestamp, source_id string, raw_json string, "
-    "loaded_at timestamp"
-)
+COMPANY_MASTER = T.StructType([
+    _F("seq", _INT), _F("company_id", _TEXT), _F("code", _TEXT), _F("name", _TEXT),
+    _F("exchange", _TEXT), _F("board", _TEXT), _F("sw_l1", _TEXT), _F("sw_l2", _TEXT),
+    _F("sw_l3", _TEXT), _F("sw_code", _TEXT), _F("current_member", _INT), _F("snapshot_date", _DATE),
+    _F("status_name", _TEXT), _F("source_url", _TEXT), _F("source_asof", _DATE),
+])
+INDUSTRY_SNAPSHOT = T.StructType([
+    _F("code", _TEXT), _F("sw_code", _TEXT), _F("sw_name", _TEXT), _F("snapshot_date", _DATE),
+    _F("is_member", _INT), _F("source_id", _TEXT),
+])
+CODE_ALIAS = T.StructType([
+    _F("canonical_code", _TEXT), _F("historical_code", _TEXT), _F("exchange", _TEXT),
+    _F("valid_from", _DATE), _F("valid_to", _DATE), _F("source_url", _TEXT), _F("note", _TEXT),
+])
+SOURCE_REGISTRY = T.StructType([
+    _F("source_id", _TEXT), _F("data_layer", _TEXT), _F("source_name", _TEXT), _F("url", _TEXT),
+    _F("coverage", _TEXT), _F("source_type", _TEXT), _F("reliability", _TEXT), _F("v1_status", _TEXT),
+    _F("notes", _TEXT),
+])
+INGESTION_JOB = T.StructType([
+    _F("job_id", _TEXT), _F("layer", _TEXT), _F("source_id", _TEXT), _F("status", _TEXT),
+    _F("target_entities", _LONG), _F("loaded_entities", _LONG), _F("loaded_rows", _LONG),
+    _F("min_date", _DATE), _F("max_date", _DATE), _F("last_attempt_ts", _TIME), _F("note", _TEXT),
+])
+META = T.StructType([
+    _F("key", _TEXT), _F("value", _TEXT),
+])
+MARKET_DAILY = T.StructType([
+    _F("trade_date", _DATE), _F("code", _TEXT), _F("open_raw", _DOUBLE), _F("high_raw", _DOUBLE),
+    _F("low_raw", _DOUBLE), _F("close_raw", _DOUBLE), _F("prev_close_raw", _DOUBLE),
+    _F("pct_chg_pct", _DOUBLE), _F("volume_shares", _DOUBLE), _F("amount_cny", _DOUBLE),
+    _F("turnover_pct", _DOUBLE), _F("adj_factor", _DOUBLE), _F("close_qfq", _DOUBLE),
+    _F("is_trade", _INT), _F("is_st", _INT), _F("limit_status", _TEXT), _F("source_id", _TEXT),
+    _F("ingest_ts", _TIME), _F("open_qfq", _DOUBLE), _F("high_qfq", _DOUBLE), _F("low_qfq", _DOUBLE),
+    _F("amplitude_pct", _DOUBLE), _F("change_amt", _DOUBLE),
+])
+FINANCIAL_QUARTERLY = T.StructType([
+    _F("code", _TEXT), _F("report_period", _DATE), _F("report_type", _TEXT), _F("ann_date", _DATE),
+    _F("available_date", _DATE), _F("revision_id", _TEXT), _F("revenue_cny", _DOUBLE),
+    _F("revenue_yoy_pct", _DOUBLE), _F("net_profit_parent_cny", _DOUBLE),
+    _F("net_profit_yoy_pct", _DOUBLE), _F("deduct_np_cny", _DOUBLE), _F("roe_weighted_pct", _DOUBLE),
+    _F("gross_margin_pct", _DOUBLE), _F("net_margin_pct", _DOUBLE), _F("cfo_cny", _DOUBLE),
+    _F("total_assets_cny", _DOUBLE), _F("total_liab_cny", _DOUBLE), _F("equity_parent_cny", _DOUBLE),
+    _F("inventory_cny", _DOUBLE), _F("ar_cny", _DOUBLE), _F("capex_cny", _DOUBLE),
+    _F("source_id", _TEXT), _F("ingest_ts", _TIME), _F("update_date", _DATE), _F("source_asof", _DATE),
+])
+MEMBERSHIP_HISTORY = T.StructType([
+    _F("code", _TEXT), _F("source_code", _TEXT), _F("sw_name", _TEXT), _F("sw_index_code", _TEXT),
+    _F("source_industry_code", _TEXT), _F("source_industry_name", _TEXT),
+    _F("classification_version", _TEXT), _F("in_date", _DATE), _F("out_date", _DATE),
+    _F("source_update_time", _TIME), _F("source_id", _TEXT), _F("loaded_at", _TIME),
+])
+CLASSIFICATION_RAW = T.StructType([
+    _F("source_code", _TEXT), _F("canonical_code", _TEXT), _F("start_date", _DATE),
+    _F("industry_code", _TEXT), _F("industry_name", _TEXT), _F("update_time", _TIME),
+    _F("source_id", _TEXT), _F("raw_json", _TEXT), _F("loaded_at", _TIME),
+])
 FUNDAMENTAL_PAGE = (
     "result struct<pages:int,data:array<struct<REPORTDATE:string,NOTICE_DATE:string,"
     "UPDATE_DATE:string,DATATYPE:string,QDATE:string,TOTAL_OPERATE_INCOME:string,YSTZ:string,"
