@@ -67,7 +67,7 @@ def test_a_fold_reads_only_the_years_it_needs(stored):
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython",
              "PythonMapInArrow", "MapInPandas", "CollectLimit", "GlobalLimit"]
 # Loops over fits and writes; covered by the parts they are made of.
-HEAVY = {n for n in QUERIES if n.startswith("walk_forward")} | {"backtest_summary"}
+HEAVY = {n for n in QUERIES if n.startswith(("walk_forward", "backtest_summary"))} | {"fit_certificates"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - HEAVY))
