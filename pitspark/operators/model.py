@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,6 +19,7 @@ from .folds import fold_eligibility, fold_table, labelled, purge
 from .metrics import metrics_by_year, outcome_of
 
 OUTCOMES = ["fwd_ret_60d", "max_drawdown_60d", "opportunity_label", "risk_label"]
+EPOCH = dt.date(1970, 1, 1)
 PREDICTION_COLUMNS = ["trade_date", "code", *OUTCOMES, "target", "model", "test_year", "prob", "pred"]
 
 
@@ -157,18 +159,133 @@ def fit_fold(panel: DataFrame, item: dict, name: str) -> Fit:
                first.weight_pos, first.weight_neg)
 
 
-def fit_folds(panel: DataFrame, targets: list[str] = TARGETS, parallel_fits: int = 2) -> tuple[list[dict], dict[tuple, dict[str, Fit]]]:
-    """(plan, fits by (target, test_year) and set): every runnable fold fitted, a few at a time in order."""
+def fit_folds(panel: DataFrame, targets: list[str] = TARGETS, max_steps: int = 100) -> tuple[list[dict], dict[tuple, dict[str, Fit]]]:
+    """(plan, fits by (target, test_year) and set): every runnable fold fitted, all of them together.
+
+    Newton's method on the loss ``fit`` minimises. Each step is one scan of the panel that sums the loss, gradient and
+    curvature of all open fits where the rows are read; the driver solves a system as small as a feature set. A step that
+    raises a loss is halved, and a fit is closed once what a further step could gain is below 1e-12 of its loss.
+    """
     plan = fold_plan(panel, targets)
-    runs = [(item, name) for item in plan for name in item["sets"]]
-    with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
-        fitted = list(pool.map(lambda run: fit_fold(panel, *run), runs))
+    columns = [*dict.fromkeys(c for s in FEATURE_SETS.values() for c in s)]
+    solvers = {
+        (item["fold"].target, item["fold"].test_year, name): Newton(np.zeros(len(FEATURE_SETS[name]) + 1))
+        for item in plan for name in item["sets"]
+    }
+    for _ in range(max_steps):
+        open_ = {key: s.weights for key, s in solvers.items() if not s.done}
+        if not open_:
+            break
+        for key, sums in fit_sums(panel, plan, open_, columns).items():
+            solvers[key].advance(*sums)
+    else:
+        raise RuntimeError(f"fits still open after {max_steps} steps: {sorted(k for k, s in solvers.items() if not s.done)}")
     fits: dict[tuple, dict[str, Fit]] = defaultdict(dict)
-    for (item, name), model in zip(runs, fitted):
-        fits[item["fold"].target, item["fold"].test_year][name] = model
+    for item in plan:
+        scaling = {s.feature: Scaling(s.median, s.mean, s.std) for s in item["stats"]}
+        for name in item["sets"]:
+            target, year = item["fold"].target, item["fold"].test_year
+            *weights, intercept = (float(v) for v in solvers[target, year, name].weights)
+            fits[target, year][name] = Fit(FEATURE_SETS[name], scaling, weights, intercept)
     return plan, fits
 
 
+class Newton:
+    """Damped Newton steps on a balanced logistic loss with a unit ridge on all weights but the last, the intercept."""
+
+    def __init__(self, weights: np.ndarray, tolerance: float = 1e-12):
+        self.weights, self.tolerance, self.done = weights, tolerance, False
+        self.base, self.loss, self.step = weights, np.inf, np.zeros_like(weights)
+
+    def advance(self, loss: float, gradient: np.ndarray, curvature: np.ndarray) -> None:
+        """Move on from ``weights``, of which the sums over the training rows are given."""
+        ridge = np.append(np.ones(len(self.weights) - 1), 0.0)
+        loss = loss + (ridge * self.weights**2).sum() / 2
+        if not loss <= self.loss + 1e-10 * abs(self.loss):
+            self.step = self.step / 2
+            self.weights = self.base + self.step
+            return
+        gradient = gradient + ridge * self.weights
+        step = -np.linalg.lstsq(curvature + np.diag(ridge), gradient, rcond=None)[0]
+        self.done = -gradient @ step / 2 <= self.tolerance * loss
+        self.base, self.loss, self.step = self.weights, loss, step
+        self.weights = self.weights + step
+
+
+def fit_sums(
+    panel: DataFrame, plan: list[dict], weights: dict[tuple, np.ndarray], columns: list[str],
+) -> dict[tuple, tuple[float, np.ndarray, np.ndarray]]:
+    """(loss, gradient, curvature) of each fit (target, test_year, set) at its weights, from one scan of the panel.
+
+    A batch of rows is reduced to these sums for every fold it trains; a task emits them once, and they are added
+    up by fit and place. Their number depends on folds, sets and features only.
+    """
+    tasks = []
+    for item in plan:
+        target, year = item["fold"].target, item["fold"].test_year
+        stats = {s.feature: s for s in item["stats"]}
+        sets = [(n, [columns.index(c) for c in FEATURE_SETS[n]], weights[target, year, n])
+                for n in item["sets"] if (target, year, n) in weights]
+        if sets:
+            first = item["stats"][0]
+            tasks.append((
+                target, year, (item["fold"].start - EPOCH).days, float(first.weight_pos), float(first.weight_neg),
+                *[np.array([[f(stats[c])] for c in columns], float) for f in (
+                    lambda s: s.median, lambda s: s.mean, lambda s: s.std if s.std > 0 else 1.0)], sets))
+    used = sorted({t[0] for t in tasks})
+
+    def sums(batches):
+        import pyarrow as pa
+
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            table = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+            x = np.stack([table[c] for c in columns]).astype(float, copy=False)
+            absent = np.isnan(x)
+            for target, year, start, pos, neg, median, mean, std, sets in tasks:
+                label = table[target]
+                rows = np.flatnonzero((table["_last"] < start) & ~np.isnan(label))
+                if not len(rows):
+                    continue
+                y = label[rows]
+                z = np.ones((len(columns) + 1, len(rows)))
+                z[:-1] = (np.where(absent, median, x)[:, rows] - mean) / std
+                sign, share = 1 - 2 * y, np.where(y == 1, pos, neg)
+                for name, places, w in sets:
+                    own = z[[*places, len(columns)]]
+                    margin = w @ own
+                    decay = np.exp(-np.abs(margin))
+                    p = np.where(margin >= 0, 1, decay) / (1 + decay)
+                    loss = share @ (np.maximum(sign * margin, 0) + np.log1p(decay))
+                    bend = (own * (share * p * (1 - p))) @ own.T
+                    parts = np.concatenate([[loss], own @ (share * (p - y)), bend.ravel()])
+                    key = target, year, name
+                    total[key] = total[key] + parts if key in total else parts
+        for (target, year, name), parts in total.items():
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([target] * n), pa.array([year] * n, pa.int32()), pa.array([name] * n),
+                 pa.array(range(n), pa.int32()), pa.array(parts)], names=["target", "test_year", "model", "place", "value"])
+
+    known = F.lit(False)
+    for t in used:
+        known = known | labelled(panel, t)
+    last = F.datediff(F.greatest("trade_date", "label_end_date"), F.lit(EPOCH)).alias("_last")
+    rows = panel.where(known & (year_of(panel) <= max(t[1] for t in tasks))).select(
+        last, *[F.col(c).cast("double") for c in columns], *[F.col(t).cast("double") for t in used])
+    added = rows.mapInArrow(sums, "target string, test_year int, model string, place int, value double").groupBy(
+        "target", "test_year", "model", "place").agg(F.sum("value").alias("value"))
+    found: dict[tuple, dict[int, float]] = defaultdict(dict)
+    for r in added.collect():
+        found[r.target, r.test_year, r.model][r.place] = r.value
+    result = {}
+    for key, parts in found.items():
+        k = len(weights[key])
+        values = np.array([parts[i] for i in range(len(parts))])
+        result[key] = float(values[0]), values[1:k + 1], values[k + 1:].reshape(k, k)
+    return result
+
+
 def fit_certificates(panel: DataFrame, plan: list[dict], fits: dict[tuple, dict[str, Fit]], tolerance: float = 1e-5) -> DataFrame:
     """(target, test_year, model, train_n, loss, gap, optimal): how far each fit is from its optimum, at most.
 
@@ -222,17 +339,16 @@ def fit_certificates(panel: DataFrame, plan: list[dict], fits: dict[tuple, dict[
 
 
 def walk_forward(
-    panel: DataFrame, targets: list[str] = TARGETS, parallel_fits: int = 2
+    panel: DataFrame, targets: list[str] = TARGETS,
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics per fold and feature set, predictions) over all runnable folds.
 
     ``panel`` should be a written table, best partitioned by a ``year`` column:
-    every fit reads it again, and only the years it needs. The driver only starts
-    the fits, ``parallel_fits`` at a time and in order of folds, since each holds its
-    training set in storage, and keeps coefficients. All folds are scored in one
-    scan, and the predictions are written before the metrics read them.
+    every step of the fits reads it again, all folds together. The driver keeps coefficients
+    and sums over training rows. All folds are scored in one scan, and the predictions
+    are written before the metrics read them.
     """
-    return evaluate(panel, *fit_folds(panel, targets, parallel_fits), targets)
+    return evaluate(panel, *fit_folds(panel, targets), targets)
 
 
 def evaluate(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitspark.operators import fold_stats as fs, folds as fd, metrics as mt
-from pitspark.operators.model import FEATURE_SETS, fit_certificates, fit_fold, fit_folds, fold_plan, walk_forward
+from pitspark.operators.model import FEATURE_SETS, Newton, fit_certificates, fit_fold, fit_folds, fold_plan, walk_forward
 from pitspark.schemas import FIN, TECH
 from pitspark.session import materialize
 
@@ -136,6 +136,38 @@ def test_fit_equals_newton(panel, pdf):
     np.testing.assert_allclose([*got.coefficients, got.intercept], want, atol=2e-5)
 
 
+def test_fits_of_all_folds_are_exact_and_share_their_scans(spark, panel, pdf):
+    plan, fits = fit_folds(panel)
+    assert {(t, y): set(sets) for (t, y), sets in fits.items()} == {
+        (i["fold"].target, i["fold"].test_year): set(i["sets"]) for i in plan}
+    for item in plan:
+        fold = item["fold"]
+        train = train_of(pdf, fold.target, fold.start)
+        y = train[fold.target].to_numpy(float)
+        w = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
+        for name, f in fits[fold.target, fold.test_year].items():
+            x = train[FEATURE_SETS[name]].astype(float)
+            x = x.fillna(x.median())
+            x = (x - x.mean()) / x.std(ddof=0)
+            np.testing.assert_allclose([*f.coefficients, f.intercept], newton(x.to_numpy(), y, w), atol=1e-9)
+
+
+def test_newton_halves_a_step_that_raises_the_loss():
+    rng = np.random.default_rng(2)
+    x = np.c_[rng.normal(size=(40, 2)) * [1, 30], np.ones(40)]
+    y = (x[:, 1] > 1).astype(float)
+    solver = Newton(np.array([9.0, -4.0, 25.0]))
+    for _ in range(200):
+        if solver.done:
+            break
+        z = x @ solver.weights
+        p = 0.5 * (1 + np.tanh(z / 2))
+        solver.advance(np.logaddexp(0, np.where(y == 1, -z, z)).sum(), x.T @ (p - y), (x.T * (p * (1 - p))) @ x)
+    z = x @ solver.weights
+    gradient = x.T @ (0.5 * (1 + np.tanh(z / 2)) - y) + np.append(solver.weights[:2], 0)
+    assert solver.done and np.abs(gradient).max() < 1e-6
+
+
 def brute_auc(y, p):
     pos, neg = p[y == 1], p[y == 0]
     if not len(pos) or not len(neg):
