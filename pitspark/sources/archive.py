@@ -1,7 +1,13 @@
-"""Listing of an archive of CSV files: which files are there, how large, and whether they can be read."""
+"""Listing of an archive of CSV files: which files are there, how large, and whether they can be read.
+
+An archive is a folder of files, or packed: a table (file, place, value) with a row per line. A folder costs an open for
+each file and read, and its listing passes through the driver, so hundreds of thousands of small files are better packed.
+"""
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .fundamentals import ARCHIVE_FIELDS
@@ -49,3 +55,44 @@ def archive_records(spark: SparkSession, path: str, pattern: str = LISTING_PATTE
     raw = read_csv_by_header(spark, path)
     fields = [(F.col(c) if c in raw.columns else F.lit(None)).cast("string").alias(c) for c in ARCHIVE_FIELDS]
     return raw.select(listing_of(F.col("arrival.file_path"), pattern).alias("listing"), *fields, "arrival")
+
+
+def write_packed(lines: DataFrame, path: str) -> str:
+    """Lines (file, place, value) as a packed archive, those of a file beside each other; a row is one line, so no file is held whole."""
+    lines.select("file", "place", "value").repartition("file").sortWithinPartitions("file", "place").write.parquet(path)
+    return path
+
+
+def packed_files(packed: DataFrame, pattern: str = LISTING_PATTERN) -> DataFrame:
+    """As ``archive_files``, of a packed archive, with each file's ``header`` line and its place.
+
+    Lines are reduced to a row per file where they are read. ``n_bytes`` counts a line end for every line.
+    """
+    read = packed.groupBy("file").agg(
+        F.min_by(F.struct("value", "place"), "place").alias("h"), F.max(_separators(F.col("value"))).alias("most"),
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.sum(F.octet_length("value") + 1).cast("long").alias("n_bytes"))
+    parsed = F.coalesce(F.col("valid") & (F.col("most") <= _separators(F.col("h.value"))), F.lit(False))
+    return read.select(
+        "file", listing_of(F.col("file"), pattern).alias("listing"), "n_bytes", parsed.alias("parsed"),
+        F.col("h.value").alias("header"), F.col("h.place").alias("header_place"))
+
+
+def packed_records(packed: DataFrame, files: DataFrame) -> DataFrame:
+    """As ``archive_records``, of a packed archive and its ``packed_files`` (best written once).
+
+    Each line is read under its own file's header; of the headers only the different ones come to the driver.
+    Fields do not span lines.
+    """
+    headers = [r.header for r in files.select("header").distinct().orderBy("header").collect()]
+    record = F.lit(None)
+    for header in headers:
+        names = next(csv.reader([header]), [])
+        cells = F.from_csv("value", ", ".join(f"_{i} string" for i in range(max(1, len(names)))))
+        fields = F.struct(*[
+            (cells[f"_{names.index(c)}"] if c in names else F.lit(None)).cast("string").alias(c) for c in ARCHIVE_FIELDS])
+        record = F.when(F.col("header") == header, fields).otherwise(record)
+    rows = packed.join(files.select("file", "listing", "header", "header_place"), "file").where(
+        (F.col("place") > F.col("header_place")) & (F.trim("value") != ""))
+    empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in ARCHIVE_FIELDS])
+    return rows.withColumn("_r", F.coalesce(record, empty) if headers else empty).select(
+        "listing", "_r.*", F.struct("file", "place").alias("arrival"))

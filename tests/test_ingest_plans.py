@@ -226,3 +226,25 @@ def test_inserts_need_an_order_for_repeated_keys(spark):
         assert {r.k: r.v for r in insert(target, batch, ["k"], "at").collect()} == {1: "x", 2: want}
         with pytest.raises(Exception, match="repeats a key"):
             insert(target, batch.drop("at"), ["k"]).collect()
+
+
+def test_packed_archive_reads_as_its_folder(spark, tmp_path):
+    fields = "SECURITY_CODE,REPORT_DATE,NOTICE_DATE"
+    files = {
+        "000001.csv": [fields, "000001,2020-03-31,", '000001,"2020-06-30",2020-08-01', "000001"],
+        "000002.csv": ["NOTICE_DATE,OTHER,SECURITY_CODE", "2020-08-01,x,000002", "", '2020-08-02,"a,b",000002'],
+        "000003.csv": [fields, "1,2,3,4"], "000004.csv": [fields], "notes.csv": ["text", "more"],
+    }
+    for name, lines in files.items():
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in lines))
+    rows = [(n, i, x) for n, lines in files.items() for i, x in enumerate(lines)]
+    path = archive.write_packed(spark.createDataFrame(rows, "file string, place long, value string"), str(tmp_path / "packed"))
+    packed = spark.read.parquet(path)
+    index = archive.packed_files(packed)
+    folder = str(tmp_path / "*.csv")
+    keep = ["listing", "n_bytes", "parsed"]
+    assert sorted(index.select(*keep).collect(), key=str) == sorted(archive.archive_files(spark, folder).select(*keep).collect(), key=str)
+    good = "listing in ('000001', '000002', '000004')"
+    got, want = (sorted((tuple(r) for r in d.where(good).drop("arrival").collect()), key=str)
+                 for d in (archive.packed_records(packed, index), archive.archive_records(spark, folder)))
+    assert got == want and len(got) == 5
