@@ -57,7 +57,8 @@ def to_number(text: Column) -> Column:
     """
     text = text.cast("string")
     parsed = nan_to_null(text.try_cast("double"))
-    return F.when(~text.rlike(r"[dDfF]\s*$"), parsed)
+    last = F.right(F.rtrim(text, F.lit(" \t\n\x0b\f\r")), F.lit(1))
+    return F.when(~last.isin("d", "D", "f", "F"), parsed)
 
 
 def first_number(*candidates: Column) -> Column:

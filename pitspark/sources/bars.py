@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import date_prefix, nan_to_null, pad_code, to_number
+from ..session import materialize
 from .landing import landing_order, require_rows
 
 # Field order of one k-line text line.
@@ -108,26 +109,31 @@ def parse_kline_lines(lines: DataFrame, line: str = "line", keep_short: bool = F
     """
     parts = F.split(F.col(line), ",")
     keep = [c for c in lines.columns if c != line]
-    field = [F.get(F.col("_p"), i) for i in range(len(KLINE_FIELDS) + 1)]
-    day = date_prefix(field[0])
-    bad = day.isNull()
-    for text in field[1:]:
-        bad = bad | (to_number(text).isNull() & ~F.lower(F.trim(text)).isin("nan", "+nan", "-nan"))
     cut = lines.select(*keep, parts.alias("_p"))
-    values = [to_number(x).alias(n) for n, x in zip(KLINE_FIELDS, field[1:])]
     if not keep_short:
-        return cut.where(F.size("_p") >= 11).select(*keep, day.alias("date"), *values, bad.alias("malformed"))
+        cut = cut.where(F.size("_p") >= 11)
+    # One function over the fields, not an expression for each: ten of them make a method too long to be compiled.
+    texts = F.slice("_p", 2, len(KLINE_FIELDS))
+    read = cut.select(
+        *keep, "_p", date_prefix(F.get(F.col("_p"), F.lit(0))).alias("date"), F.transform(texts, to_number).alias("_v"))
+    odd = F.zip_with("_v", texts, lambda value, text: value.isNull() & ~F.lower(F.trim(text)).isin("nan", "+nan", "-nan"))
+    bad = F.col("date").isNull() | F.exists(odd, lambda b: b)
+    values = [F.get(F.col("_v"), F.lit(i)).alias(n) for i, n in enumerate(KLINE_FIELDS)]
+    if not keep_short:
+        return read.select(*keep, "date", *values, bad.alias("malformed"))
     short = F.coalesce(F.size("_p"), F.lit(0)) < 11
-    return cut.select(*keep, day.alias("date"), *values, short.alias("short"), (~short & bad).alias("malformed"))
+    return read.select(*keep, "date", *values, short.alias("short"), (~short & bad).alias("malformed"))
 
 
 def quarantine_payloads(parsed: DataFrame, payload: list[str]) -> DataFrame:
     """Drop every row of a payload that holds a malformed line.
 
     One bad number fails the whole fetch of its payload, not just its line. The
-    bad payload keys are found by a filter and are few, so the anti join is
-    normally a broadcast and the bars are not shuffled.
+    rows are written first: both sides read them, and a filter on ``malformed`` would
+    otherwise parse every field of a line again. The bad payload keys are few, so the
+    anti join is normally a broadcast and the bars are not shuffled.
     """
+    parsed = materialize(parsed, "parsed-lines")
     bad = parsed.where("malformed").select(*payload).distinct()
     return parsed.join(bad, payload, "left_anti").drop("malformed")
 

@@ -179,3 +179,17 @@ def test_a_day_of_too_many_slots_is_an_error(spark):
     assert read_slot_arrays(days.where("user_id = 1")).count() == 48
     with pytest.raises(Exception, match="48 slots"):
         read_slot_arrays(days).collect()
+
+
+def test_a_quarantine_parses_its_lines_once(spark):
+    day = F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int")).cast("string")
+    numbers = F.concat_ws(",", *[F.lit("1.5")] * 9)
+    lines = spark.range(40).select(
+        (F.col("id") % 4).cast("string").alias("code"),
+        F.concat_ws(",", day, numbers, F.when(F.col("id") == 6, "-").otherwise("nan")).alias("line"))
+    clean = bs.quarantine_payloads(bs.parse_kline_lines(lines), ["code"])
+    text = clean._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in text and "try_to_date" not in text and "Range" not in text
+    rows = clean.collect()
+    assert len(rows) == 30 and {r.code for r in rows} == {"0", "1", "3"}
+    assert all(r.turnover is None and r.open == 1.5 and r.date.year == 2020 for r in rows)

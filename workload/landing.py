@@ -21,7 +21,7 @@ def kline_lines(t: Tables) -> DataFrame:
     o, c, h, lo = (F.col(f"{n}_qfq") for n in ("open", "close", "high", "low"))
     fields = [o, c, h, lo, F.col("volume_shares"), F.col("amount_cny"), h - lo, c / o - 1, c - o]
     text = F.concat_ws(
-        ",", day.cast("string"), *[x.cast("string") for x in fields],
+        ",", day.cast("string"), F.transform(F.array(*fields), lambda x: x.cast("string")),
         F.coalesce(rest, F.lit("-")),
     )
     short = F.concat_ws(",", day.cast("string"), o.cast("string"), c.cast("string"))
