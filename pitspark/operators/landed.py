@@ -87,15 +87,16 @@ def rejected_lines(routed: DataFrame) -> DataFrame:
     return routed.where("reason is not null").select("code", "date", "arrival", "reason")
 
 
-def line_accounts(routed: DataFrame, landed: int) -> DataFrame:
+def line_accounts(routed: DataFrame, landed: int, accepted: DataFrame | None = None) -> DataFrame:
     """(outcome, reason, lines): landed and shared lines on one side, accepted, superseded and rejected on the other.
 
-    ``landed`` is the number counted where the lines were read. Raises unless both sides agree.
+    ``landed`` is the number counted where the lines were read, ``accepted`` the bars if they are written already.
+    Raises unless both sides agree.
     """
     rows = routed.groupBy("reason").agg(
         F.count("*").alias("lines"), F.sum(F.col("shared").cast("long")).alias("shared"),
     ).collect()
-    bars = accepted_bars(routed).agg(F.count("*"), F.coalesce(F.sum("landed"), F.lit(0))).first()
+    bars = (accepted_bars(routed) if accepted is None else accepted).agg(F.count("*"), F.coalesce(F.sum("landed"), F.lit(0))).first()
     rejected = sorted((r.reason, r.lines) for r in rows if r.reason is not None)
     table = [("landed", None, landed), ("shared", None, sum(r.shared for r in rows)),
              ("accepted", None, bars[0]), ("superseded", None, bars[1] - bars[0]),

@@ -60,13 +60,18 @@ def run_lines(lines: DataFrame, alias: DataFrame, universe: DataFrame) -> LineRu
     parsed = materialize(
         ld.parsed_lines(lines).observe(seen, F.count(F.lit(1)).alias("landed")), "landed-lines")
     routed = ld.routed_lines(parsed, alias, universe)
+    accepted = materialize(ld.accepted_bars(routed), "accepted-bars")
     return LineRun(
-        ld.accepted_bars(routed).drop("landed"), ld.rejected_lines(routed), ld.line_accounts(routed, seen.get["landed"]))
+        accepted.drop("landed"), ld.rejected_lines(routed), ld.line_accounts(routed, seen.get["landed"], accepted))
 
 
 def _series(lines: DataFrame, alias: DataFrame, universe: DataFrame) -> DataFrame:
-    """Bars of one price basis, without the account of their lines; nothing is run here."""
-    return ld.accepted_bars(ld.routed_lines(ld.parsed_lines(lines), alias, universe)).drop("landed")
+    """Bars of one price basis, without the account of their lines.
+
+    Parsed lines are written, for their fields are read twice, and so are the bars.
+    """
+    parsed = materialize(ld.parsed_lines(lines), "landed-lines")
+    return materialize(ld.accepted_bars(ld.routed_lines(parsed, alias, universe)).drop("landed"), "accepted-bars")
 
 
 def primary_bars(
@@ -78,7 +83,8 @@ def primary_bars(
     A day landed twice counts once, with the line that arrived last (``arrival``; where the lines have none, the
     greatest line).
     """
-    raw, adjusted = (_series(lines, alias, universe) for lines in (raw_lines, adjusted_lines))
+    raw = _series(raw_lines, alias, universe)
+    adjusted = raw if adjusted_lines is raw_lines else _series(adjusted_lines, alias, universe)
     return bars_of_lines(raw, adjusted, source_id, ingest_ts)
 
 

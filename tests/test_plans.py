@@ -218,3 +218,16 @@ def test_source_entry_replaces_its_row(spark):
     once = ingest.source_entry(empty, "S014", "market_daily", "archive", "u", "2020 on", "PARQUET", "MEDIUM", "FALLBACK", "n")
     twice = ingest.source_entry(once, "S014", "market_daily", "archive", "u", "2021 on", "PARQUET", "MEDIUM", "FALLBACK", "n")
     assert [(r.source_id, r[4]) for r in twice.collect()] == [("S014", "2021 on")]
+
+
+def test_the_same_lines_of_both_bases_are_read_once(spark, monkeypatch):
+    day = F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int")).cast("string")
+    lines = spark.range(9).select(
+        F.lit("000001").alias("code"), F.concat_ws(",", day, F.repeat(F.lit("1.5,"), F.lit(9)), F.lit("2")).alias("line"))
+    lines = lines.withColumn("line", F.replace("line", F.lit(",,"), F.lit(",")))
+    universe = spark.createDataFrame([("000001",)], "code string")
+    none = spark.createDataFrame([], "canonical_code string, historical_code string, valid_from date, valid_to date, alias_rank int")
+    bars = ingest.primary_bars(lines, lines, none, universe)
+    assert "Range" not in bars._jdf.queryExecution().optimizedPlan().toString()
+    rows = bars.collect()
+    assert len(rows) == 9 and all(r.close_raw == r.close_qfq == 1.5 for r in rows)
