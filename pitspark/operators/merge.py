@@ -58,11 +58,22 @@ def fold(column: str, policy: str, order: Column) -> Column:
 def collapse_batch(
     batch: DataFrame, keys: list[str], policy: dict[str, str], order: str | list[str]
 ) -> DataFrame:
-    """The net effect of a batch per key; copies of a key shrink on the map side."""
+    """The net effect of a batch per key; copies of a key shrink on the map side.
+
+    Columns that are overwritten, and those only inserted, travel together: an order that holds a path is then kept
+    twice in a row, and once for each coalesced column, instead of once for every column.
+    """
     names = [order] if isinstance(order, str) else order
     by = F.col(names[0]) if len(names) == 1 else F.struct(*names)
     rest = [c for c in batch.columns if c not in keys and c not in names]
-    return batch.groupBy(*keys).agg(*[fold(c, policy.get(c, INSERT_ONLY), by) for c in rest])
+    rules = {c: policy.get(c, INSERT_ONLY) for c in rest}
+    joint = {rule: [c for c in rest if rules[c] == rule] for rule in (OVERWRITE, INSERT_ONLY)}
+    whole = {OVERWRITE: F.max_by, INSERT_ONLY: F.min_by}
+    folded = batch.groupBy(*keys).agg(
+        *[whole[rule](F.struct(*columns), by).alias(f"_{rule}") for rule, columns in joint.items() if columns],
+        *[fold(c, rules[c], by) for c in rest if rules[c] not in joint],
+    ) if rest else batch.select(*keys).distinct()
+    return folded.select(*keys, *[F.col(f"_{rules[c]}.{c}").alias(c) if rules[c] in joint else F.col(c) for c in rest])
 
 
 def unique_keys(batch: DataFrame, keys: list[str]) -> DataFrame:

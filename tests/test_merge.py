@@ -113,3 +113,14 @@ def test_a_repeated_key_without_order_is_an_error(spark):
     batch = spark.createDataFrame([(1, 2.0), (1, 3.0)], "k int, v double")
     with pytest.raises(Exception, match="repeats a key"):
         mg.merge_upsert(target, batch, ["k"], {"v": mg.OVERWRITE}).collect()
+
+
+def test_a_batch_carries_its_order_few_times(spark):
+    columns = ", ".join(f"id as c{i}" for i in range(12))
+    batch = spark.sql(f"select id % 3 as k, id as at, {columns} from range(9)").withColumn("c0", F.when(F.col("at") < 5, F.col("at")))
+    policy = {"c0": mg.COALESCE} | {f"c{i}": mg.OVERWRITE for i in range(1, 6)}
+    merged = mg.collapse_batch(batch, ["k"], policy, "at")
+    text = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("max_by(") == 2 and text.count("min_by(") == 1
+    got = {r.k: (r.c0, r.c1, r.c5, r.c6, r.c11) for r in merged.collect()}
+    assert got == {0: (3, 6, 6, 0, 0), 1: (4, 7, 7, 1, 1), 2: (2, 8, 8, 2, 2)}
