@@ -8,8 +8,11 @@ Model of a block. Order 2 and order 1 each predict one id, the one that followed
 last two ids, or the last id, before, with a confidence of 0 to 3. In each of the 32
 states (both confidences, and whether the predictions agree) adaptive frequencies weigh
 the three outcomes: as order 2 says, as order 1 says, or neither. In the last case order
-0, adaptive frequencies over the block's alphabet, predicts the id; it takes over new counts
-every ``REFRESH`` ids. All numbers are integers, so that coder and decoder agree everywhere.
+0, the frequencies of such ids in the block, which the alphabet carries, gives the id. It depends on
+no other id, so these ids have a stream of their own, which is read first.
+
+Both streams are range coded (rANS) with frequencies that add up to ``SCALE``, so that decoding divides
+nothing. All numbers are integers, so that coder and decoder agree everywhere.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK = 4096
-GROUP = 64
 HASH = 4096
 STATES = 32
-REFRESH = 64
-_ORDER0_STEP, _STATE_STEP, _STATE_LIMIT = 2, 24, 4000
-_SHIFT, _WORD, _TOP = np.int64(32), np.int64(16), np.int64(1) << np.int64(32)
-_LOW = np.int64((1 << 32) - 1)
+_BITS = 12
+SCALE = 1 << _BITS  # as large as a block, so that counts of a block's ids are scaled up, none to zero
+_LIMIT = 166
+_START = 1 | (1 << 8) | (2 << 16)
+_LOW = 1 << 16  # states of the coder are at least this, and below 2^32
+# SCALE / total in 24 bits, by the total of a state's weights
+_SHARE = np.array([0] + [(SCALE << 12) // t for t in range(1, 256)], np.uint32)
 
 
 @dataclass(frozen=True)
@@ -47,78 +52,55 @@ def ids_crc32(ids: np.ndarray) -> int:
 class _Model:
     """The adaptive state of every block of a batch; sizes of alphabets in ``sizes``.
 
-    A prediction is an integer, four times the id plus the confidence, so that confidence 0 means none. The
-    three weights of a state share one integer, 16 bits each.
+    A prediction is an integer, four times the id plus the confidence, so that confidence 0 means none. Those of
+    order 1 are row 0, those of order 2 row 1. The three weights of a state share one integer, 8 bits each.
     """
 
     def __init__(self, sizes: np.ndarray):
-        lanes = len(sizes)
-        self.groups = max(1, -(-int(sizes.max(initial=1)) // GROUP))
-        self.width = self.groups * GROUP
+        lanes, width = len(sizes), max(1, int(sizes.max(initial=1)))
         lane = np.arange(lanes, dtype=np.int64)
-        self.base1, self.base2, self.base_s = lane * self.width, lane * HASH, lane * STATES
-        self.follows1 = np.zeros(lanes * self.width, np.int16)
-        self.follows2 = np.zeros(lanes * HASH, np.int16)
-        first = _STATE_STEP | (_STATE_STEP << 16) | (2 * _STATE_STEP << 32)
-        self.state = np.full(lanes * STATES, first, np.int64)
-        self.count = (np.arange(self.width) < sizes[:, None]).astype(np.uint16)
-        self.flat_count = self.count.ravel()
-        self.upto = np.empty_like(self.count)
-        self.flat_upto, self.rows = self.upto.reshape(-1), self.upto.reshape(-1, GROUP)
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Order 0 takes over the counts gathered since the last time."""
-        np.cumsum(self.count, axis=1, dtype=np.uint16, out=self.upto)
-        self.frequency = self.flat_count.copy()
-        self.group_ends = np.ascontiguousarray(self.upto[:, GROUP - 1::GROUP])
-        self.total = self.upto[:, -1].astype(np.int64)
-
-    def outcome_span(self, outcome16: np.ndarray):
-        """(start, frequency) of outcomes, given 16 times their numbers."""
-        return (self.sums >> outcome16) & 0xFFFF, (self.weights >> outcome16) & 0xFFFF
-
-    def predict(self, n: int, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-        """Looks up both predictions for the first ``n`` blocks; the sum of the outcomes' weights."""
-        self.at1 = self.base1[:n] + p1
-        self.at2 = self.base2[:n] + ((p2 * 1597 + p1 * 31) & (HASH - 1))
-        self.v1, self.v2 = self.follows1[self.at1], self.follows2[self.at2]
-        self.c1, self.c2 = self.v1 >> 2, self.v2 >> 2
-        self.f1, self.f2 = self.v1 & 3, self.v2 & 3
-        self.at_s = self.base_s[:n] + (self.f2 * 4 + self.f1 + (self.c1 == self.c2) * np.int16(16))
-        self.weights = self.state[self.at_s]
-        # running sums of the three weights in 16 bits each: 0, a, a + b, all
-        self.sums = self.weights * np.int64(0x0001000100010000)
-        return self.sums >> 48
-
-    def learn(self, x: np.ndarray, outcome16: np.ndarray, total: np.ndarray) -> None:
+        self.base = np.stack([lane * width, lanes * width + lane * HASH])
+        self.base_s = lane * STATES
+        self.follows = np.zeros(lanes * (width + HASH), np.int16)
+        self.state = np.full(lanes * STATES, _START, np.uint32)
+        self.context = np.zeros((2, lanes), np.int16)
+
+    def predict(self, n: int) -> None:
+        """Both predictions for the first ``n`` blocks, and where the spans of the first two outcomes end."""
+        self.at = self.base[:, :n] + self.context[:, :n]
+        self.v = self.follows.take(self.at)
+        self.c, self.f = self.v >> 2, self.v & 3
+        agree = self.c[0] == self.c[1]
+        self.at_s = self.base_s[:n] + (self.f[0] + (self.f[1] << 2) + (agree * np.int16(16)))
+        self.weights = self.state.take(self.at_s)
+        first = self.weights & 255
+        second = first + ((self.weights >> 8) & 255)
+        self.total = second + (self.weights >> 16)
+        share = _SHARE.take(self.total)
+        self.end2, self.end1 = (first * share) >> 12, (second * share) >> 12
+
+    def span(self, not2: np.ndarray, neither: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and frequencies of the outcomes."""
+        start = np.where(neither, self.end1, self.end2 * not2)
+        end = np.where(not2, self.end1, self.end2)
+        end[neither] = SCALE
+        return start, end - start
+
+    def learn(self, x: np.ndarray, not2: np.ndarray, neither: np.ndarray) -> None:
         """Updates both predictions and the weights with the ids ``x`` that came."""
-        weights = self.weights + (np.int64(_STATE_STEP) << outcome16)
-        full = np.flatnonzero(total > _STATE_LIMIT)
-        if len(full):
-            weights[full] = ((weights[full] >> 1) & 0x7FFF7FFF7FFF) + 0x100010001
+        n = len(x)
+        outcome8 = (not2.view(np.uint8) + neither.view(np.uint8)) << 3
+        weights = self.weights + (np.uint32(1) << outcome8)
+        full = self.total >= _LIMIT
+        if full.any():
+            weights = np.where(full, ((weights >> 1) & 0x7F7F7F) + 0x010101, weights)
         self.state[self.at_s] = weights
-        fresh = (x.astype(np.int16) << 2) + np.int16(1)
-        for table, at, v, f in ((self.follows1, self.at1, self.v1, self.f1), (self.follows2, self.at2, self.v2, self.f2)):
-            right = (v ^ fresh) < 4
-            right &= v >= (fresh & -4)
-            kept = np.where(right, v + (f < 3), v - 1)
-            table[at] = np.where((f == 0) | (~right & (f == 1)), fresh, kept)
-
-    def order0_span(self, lane: np.ndarray, x: np.ndarray):
-        """(start, frequency, total) of ids under order 0."""
-        at = lane * self.width + x
-        freq = self.frequency[at].astype(np.int64)
-        return self.flat_upto[at] - freq, freq, self.total[lane]
-
-    def order0_find(self, lane: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The id whose span holds ``value``."""
-        value = value.astype(np.uint16)[:, None]
-        group = (self.group_ends[lane] > value).argmax(1)
-        return group * GROUP + (self.rows[lane * self.groups + group] > value).argmax(1)
-
-    def order0_learn(self, lane: np.ndarray, x: np.ndarray) -> None:
-        self.flat_count[lane * self.width + x] += np.uint16(_ORDER0_STEP)
+        missed = np.where(self.f > 1, self.v - 1, (x << 2) + 1)
+        # one dimension and the table's own type: numpy has no fast path for other assignments
+        self.follows[self.at.ravel()] = np.where(self.c == x, np.minimum(self.v + 1, self.v | 3), missed).ravel()
+        # products modulo 2^16, a multiple of HASH
+        self.context[1, :n] = (self.context[0, :n] * np.int16(1597) + x * np.int16(31)) & np.int16(HASH - 1)
+        self.context[0, :n] = x
 
 
 def _steps(lengths: np.ndarray) -> np.ndarray:
@@ -126,124 +108,182 @@ def _steps(lengths: np.ndarray) -> np.ndarray:
     return np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), side="left")
 
 
+def _write_spans(spans: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """Code words of spans (see ``_joined``), a column for each block; ``lengths`` must not increase."""
+    steps, lanes = spans.shape
+    state = np.full(lanes, _LOW, np.uint32)
+    words = np.empty(lanes * (steps + 1), "<u2")
+    ends = np.arange(1, lanes + 1, dtype=np.int64) * (steps + 1)
+    at = ends - 1
+    for t, n in reversed(list(enumerate(_steps(lengths)))):
+        x, span = state[:n], spans[t, :n]
+        f = span >> _BITS
+        words[at[:n]] = x.astype("<u2")  # low bits, kept where the state is too large
+        large = (x >> (32 - _BITS)) >= f
+        x = np.where(large, x >> 16, x)
+        at[:n] -= large
+        whole = x // f
+        state[:n] = (whole << _BITS) + (x - whole * f) + (span & (SCALE - 1))
+    heads = state.astype("<u4")
+    return [heads[k:k + 1].tobytes() + words[at[k] + 1:ends[k]].tobytes() for k in range(lanes)]
+
+
+class _Reader:
+    """Streams of code words read in step."""
+
+    def __init__(self, streams: list[np.ndarray]):
+        sizes = np.array([len(s) for s in streams], np.int64)
+        self.words = np.concatenate([*streams, np.zeros(2, "<u2")])
+        first = np.cumsum(sizes) - sizes
+        self.state = self.words.take(first).astype(np.uint32) | (self.words.take(first + 1).astype(np.uint32) << 16)
+        self.at = first + 2
+
+    def advance(self, n: int, slot: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        x = (self.state[:n] >> _BITS) * freq + (slot - start)
+        small = x < _LOW
+        at = self.at[:n]
+        self.state[:n] = np.where(small, (x << 16) | self.words.take(at, mode="clip"), x)
+        at += small
+
+
+def _joined(start: np.ndarray, freq: np.ndarray) -> np.ndarray:
+    """Spans, the start in the low bits and the frequency above."""
+    return (start | (freq << _BITS)).astype(np.uint32)
+
+
+def _scaled(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans and frequencies of ids, of ``SCALE`` together; a row of counts for each block."""
+    upto = counts.cumsum(1)
+    ends = upto * SCALE // np.maximum(upto[:, -1:], 1)
+    freq = np.diff(ends, axis=1, prepend=0)
+    return _joined(ends - freq, freq), freq
+
+
+def _pack_alphabet(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Distinct ids, as gaps, and their counts under order 0, low bytes and high bytes apart."""
+    both = np.concatenate([np.diff(ids, prepend=0), counts])
+    deflate = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return deflate.compress((both & 255).astype(np.uint8).tobytes() + (both >> 8).astype(np.uint8).tobytes()) + deflate.flush()
+
+
+def _unpack_alphabet(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low, high = np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.int64).reshape(2, -1)
+    gaps, counts = (low | (high << 8)).reshape(2, -1)
+    return gaps.cumsum(), counts
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[Coded]:
     """Codes blocks of at most ``BLOCK`` ids below 65536 each."""
+    if not blocks:
+        return []
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    alphabets, ranks = [], []
+    lengths = np.array([len(blocks[i]) for i in order], np.int64)
+    lanes, longest = len(blocks), int(lengths.max())
+    if longest > BLOCK:
+        raise ValueError("block too long")
+    alphabets = []
+    columns = np.zeros((lanes, longest), np.int16)
     place = np.zeros(1 << 16, np.int16)
-    for i in order:
-        seen = np.zeros(1 << 16, bool)
-        seen[blocks[i]] = True
-        alphabet = np.flatnonzero(seen)
+    for k, i in enumerate(order):
+        rising = np.sort(blocks[i].astype(np.uint16), kind="stable")
+        alphabet = rising[np.diff(rising, prepend=-1) != 0].astype(np.int64)
         place[alphabet] = np.arange(len(alphabet), dtype=np.int16)
         alphabets.append(alphabet)
-        ranks.append(place[blocks[i]])
-    lengths = np.array([len(r) for r in ranks], np.int64)
-    lanes, longest = len(blocks), int(lengths.max(initial=0))
-    data = np.zeros((longest, lanes), np.int16)
-    for k, r in enumerate(ranks):
-        data[:len(r), k] = r
-    model = _Model(np.array([len(a) for a in alphabets], np.int64))
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, np.int64(1) << np.int64(48))
-    words = np.zeros((lanes, 2 * longest + 3), np.int32)
-    used = np.zeros(lanes, np.int64)
-
-    def code(lane, start: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        unit = span[lane] // total
-        low[lane] += unit * start
-        unit *= freq
-        small = unit < _TOP
-        out = np.flatnonzero(small) if isinstance(lane, slice) else lane[small]
-        span[lane] = np.where(small, unit << _WORD, unit)
-        value = low[out]
-        words[out, used[out]] = value >> _SHIFT
-        low[out] = (value & _LOW) << _WORD
-        used[out] += 1
-
-    previous = np.zeros((2, lanes), np.int64)
+        columns[k, :lengths[k]] = place[blocks[i]]
+    sizes = np.array([len(a) for a in alphabets], np.int64)
+    data = np.ascontiguousarray(columns.T)
+    model = _Model(sizes)
+    spans = np.zeros((longest, lanes), np.uint32)
+    escaped = np.zeros((longest, lanes), bool)
     for t, n in enumerate(_steps(lengths)):
-        if t % REFRESH == 0:
-            model.refresh()
-        x = data[t, :n].astype(np.int64)
-        total = model.predict(n, previous[0, :n], previous[1, :n])
-        not2, not1 = x != model.c2, x != model.c1
-        neither = not2 & not1
-        outcome16 = (not2.astype(np.int64) + neither) << 4
-        code(slice(0, n), *model.outcome_span(outcome16), total)
-        model.learn(x, outcome16, total)
-        lane = np.flatnonzero(neither)
-        if len(lane):
-            y = x[lane]
-            code(lane, *model.order0_span(lane, y))
-            model.order0_learn(lane, y)
-        previous[1, :n], previous[0, :n] = previous[0, :n], x
-    for shift in (32, 16, 0):
-        words[np.arange(lanes), used] = (low >> np.int64(shift)) & np.int64(0x1FFFF if shift == 32 else 0xFFFF)
-        used += 1
-    while (words >> 16).any():  # carries go to the word before
-        carry = words >> 16
-        words &= 0xFFFF
-        words[:, :-1] += carry[:, 1:]
+        x = data[t, :n]
+        model.predict(n)
+        differs = model.c != x
+        not2 = differs[1]
+        neither = not2 & differs[0]
+        spans[t, :n] = _joined(*model.span(not2, neither))
+        escaped[t, :n] = neither
+        model.learn(x, not2, neither)
+    outcomes = _write_spans(spans, lengths)
+    # ids under order 0, block by block
+    by_block = np.ascontiguousarray(escaped.T)
+    n0 = by_block.sum(1)
+    width = max(1, int(sizes.max()))
+    entries = np.repeat(np.arange(lanes) * width, n0) + columns[by_block]
+    counts = np.bincount(entries, minlength=lanes * width).reshape(lanes, width)
+    spans = np.zeros((lanes, int(n0.max())), np.uint32)
+    spans[np.arange(spans.shape[1]) < n0[:, None]] = _scaled(counts)[0].ravel().take(entries)
+    falling = np.argsort(-n0, kind="stable")
+    plain: list[bytes] = [b""] * lanes
+    for k, own in zip(falling, _write_spans(np.ascontiguousarray(spans[falling].T), n0[falling])):
+        plain[k] = own
     result: list[Coded] = [None] * len(blocks)
     for k, i in enumerate(order):
-        gaps = np.diff(alphabets[k], prepend=0).astype("<u2")
-        result[i] = Coded(
-            len(blocks[i]), zlib.compress(gaps.tobytes(), 1), words[k, :used[k]].astype("<u2").tobytes(), ids_crc32(blocks[i]),
-        )
+        head = np.array([len(plain[k]) // 2], "<u2").tobytes()
+        packed = _pack_alphabet(alphabets[k], counts[k, :sizes[k]])
+        result[i] = Coded(len(blocks[i]), packed, head + plain[k] + outcomes[k], ids_crc32(blocks[i]))
     return result
 
 
+def _read_order0(streams: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """The ids under order 0, a row for each block."""
+    n0 = counts.sum(1)
+    falling = np.argsort(-n0, kind="stable")
+    falling = falling[n0[falling] > 0]
+    rows = np.zeros((len(streams), int(n0.max(initial=0)) + 1), np.int16)
+    if not len(falling):
+        return rows
+    spans, freq = _scaled(counts[falling])
+    lanes, width = spans.shape
+    table = np.repeat(np.tile(np.arange(width, dtype=np.int16), lanes), freq.ravel())
+    spans = spans.ravel()
+    lane = np.arange(lanes, dtype=np.int64)
+    at_table, at_span = lane * SCALE, lane * width
+    reader = _Reader([streams[k] for k in falling])
+    found = np.zeros((rows.shape[1], lanes), np.int16)
+    for t, n in enumerate(_steps(n0[falling])):
+        slot = reader.state[:n] & (SCALE - 1)
+        x = table.take(at_table[:n] + slot)
+        span = spans.take(at_span[:n] + x)
+        reader.advance(n, slot, span & (SCALE - 1), span >> _BITS)
+        found[t, :n] = x
+    rows[falling] = found.T
+    return rows
+
+
 def decode_blocks(coded: list[Coded]) -> list[np.ndarray]:
     """The ids of every block; raises where a checksum does not hold."""
+    if not coded:
+        return []
     order = sorted(range(len(coded)), key=lambda i: -coded[i].n_ids)
-    alphabets = [np.frombuffer(zlib.decompress(coded[i].alphabet), "<u2").cumsum(dtype=np.int64) for i in order]
     lengths = np.array([coded[i].n_ids for i in order], np.int64)
-    lanes, longest = len(coded), int(lengths.max(initial=0))
-    streams = [np.frombuffer(coded[i].payload, "<u2") for i in order]
-    words = np.zeros((lanes, max((len(s) for s in streams), default=0) + 3), np.uint16)
-    for k, s in enumerate(streams):
-        words[k, :len(s)] = s
-    model = _Model(np.array([len(a) for a in alphabets], np.int64))
-    head = words[:, :3].astype(np.int64)
-    value, span = (head[:, 0] << 32) | (head[:, 1] << 16) | head[:, 2], np.full(lanes, np.int64(1) << np.int64(48))
-    used = np.full(lanes, 3, np.int64)
+    lanes, longest = len(coded), int(lengths.max())
+    alphabets, listed = zip(*(_unpack_alphabet(coded[i].alphabet) for i in order))
+    sizes = np.array([len(a) for a in alphabets], np.int64)
+    counts = np.zeros((lanes, max(1, int(sizes.max()))), np.int64)
+    for k, c in enumerate(listed):
+        counts[k, :len(c)] = c
+    if (counts.sum(1) > lengths).any():
+        raise ValueError("token block with more ids under order 0 than it has")
+    words = [np.frombuffer(coded[i].payload, "<u2") for i in order]
+    order0 = _read_order0([w[1:1 + w[0]] for w in words], counts)
+    flat0, at0 = order0.ravel(), np.arange(lanes, dtype=np.int64) * order0.shape[1]
+    reader = _Reader([w[1 + w[0]:] for w in words])
+    model = _Model(sizes)
     data = np.zeros((longest, lanes), np.int16)
-
-    def consume(lane, unit: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        value[lane] -= unit * start
-        unit = unit * freq
-        small = unit < _TOP
-        more = np.flatnonzero(small) if isinstance(lane, slice) else lane[small]
-        span[lane] = np.where(small, unit << _WORD, unit)
-        value[more] = (value[more] << _WORD) | words[more, used[more]]
-        used[more] += 1
-
-    previous = np.zeros((2, lanes), np.int64)
     for t, n in enumerate(_steps(lengths)):
-        if t % REFRESH == 0:
-            model.refresh()
-        total = model.predict(n, previous[0, :n], previous[1, :n])
-        unit = span[:n] // total
-        at = value[:n] // unit
-        not2 = at >= ((model.sums >> 16) & 0xFFFF)
-        neither = at >= ((model.sums >> 32) & 0xFFFF)
-        outcome16 = (not2.astype(np.int64) + neither) << 4
-        consume(slice(0, n), unit, *model.outcome_span(outcome16))
-        x = np.where(not2, model.c1, model.c2).astype(np.int64)
-        lane = np.flatnonzero(neither)
-        if len(lane):
-            unit0 = span[lane] // model.total[lane]
-            y = model.order0_find(lane, np.minimum(value[lane] // unit0, model.total[lane] - 1))
-            start0, freq0, _ = model.order0_span(lane, y)
-            consume(lane, unit0, start0, freq0)
-            model.order0_learn(lane, y)
-            x[lane] = y
-        model.learn(x, outcome16, total)
+        model.predict(n)
+        slot = reader.state[:n] & (SCALE - 1)
+        not2, neither = slot >= model.end2, slot >= model.end1
+        reader.advance(n, slot, *model.span(not2, neither))
+        x = np.where(neither, flat0.take(at0[:n], mode="clip"), np.where(not2, model.c[0], model.c[1]))
+        at0[:n] += neither
+        model.learn(x, not2, neither)
         data[t, :n] = x
-        previous[1, :n], previous[0, :n] = previous[0, :n], x
+    columns = np.ascontiguousarray(data.T)
     result: list[np.ndarray] = [None] * lanes
     for k, i in enumerate(order):
-        ids = alphabets[k][data[:lengths[k], k]] if lengths[k] else np.empty(0, np.int64)
+        ids = alphabets[k].take(columns[k, :lengths[k]], mode="clip") if lengths[k] else np.empty(0, np.int64)
         if ids_crc32(ids) != coded[i].crc32:
             raise ValueError("token block does not match its checksum")
         result[i] = ids

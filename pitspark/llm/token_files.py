@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -26,7 +28,7 @@ BLOCKS_PER_STEP = 2048
 # Two steps of the one kind of tokenizer file whose texts may be split at white space.
 WHITE_SPACE_STEP = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 
 _PIECE = pa.struct([("document", pa.int64()), ("doc_id", pa.int64()), ("n_ids", pa.int64())])
 _BLOCK = pa.schema([
@@ -46,6 +48,18 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class _Learning(dict):
+    """Keeps what ``learn`` gives for a key that is asked for the first time."""
+
+    def __init__(self, learn: Callable[[str], bytes], items: Iterable = ()):
+        super().__init__(items)
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.learn(key)
+        return value
+
+
 class WordEncoder:
     """Ids of whole texts, through a bounded memory of the words and pieces seen.
 
@@ -53,10 +67,14 @@ class WordEncoder:
     leaves white space out, and byte letters, nothing is joined across white space: a text's ids are those of its
     parts between ASCII white space, in order. A printable part in Latin script is then split
     here and only its new pieces go to the tokenizer's model; every other part goes
-    through the whole tokenizer. With any other file whole texts do.
+    through the whole tokenizer. With any other file whole texts do. In a printable Latin text without two
+    neighbours that are neither letter, digit nor space, each of ``MARKS`` is a piece, so it is a part as well.
     """
 
     LATIN_END = "\u0250"
+    MARKS = {m: f" {m} " for m in ".,;:!?"}
+    RUN = re.compile("[^a-z0-9 \u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{2}").search
+    NOT_LATIN = re.compile("[\u0250-\U0010ffff]").search
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,7 +83,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Learning(self._ids, {"": b""})
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.split = self._pattern(json.loads(tokenizer_json))
@@ -88,40 +106,41 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            word = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u2").tobytes()
-            self.pieces[piece] = ids
+            ids = self.pieces[piece] = self._model_ids(piece)
         return ids
 
-    def _learn(self, words: set[str]) -> None:
-        known, rest = self.known, []
-        for w in words:
-            low = w.lower()
-            simple = self.split and w.isprintable() and len(low) == len(w) and max(w) < self.LATIN_END and "<|" not in w
-            if simple:
-                known[w] = b"".join(map(self._piece, self.split(low)))
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u2").tobytes()
+    def _model_ids(self, piece: str) -> bytes:
+        word = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        """The ids of a part that was not met before."""
+        low = word.lower()
+        if len(low) != len(word) or not word.isprintable() or "<|" in word or self.NOT_LATIN(word):
+            return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return self._model_ids(low) if low.isalpha() else b"".join(map(self._piece, self.split(low)))
+
+    def _parts(self, text: str) -> list[str]:
+        flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        low = flat.lower()
+        if len(low) != len(flat) or not flat.isprintable() or self.RUN(low) or (not flat.isascii() and self.NOT_LATIN(flat)):
+            return flat.split(" ")
+        for mark, spaced in self.MARKS.items():
+            low = low.replace(mark, spaced)
+        return low.split(" ")
 
     def _forget(self) -> None:
         """Keeps the words met first, which are mostly the common ones."""
-        self.known = dict(islice(self.known.items(), CACHED_WORDS // 4))
+        self.known = _Learning(self._ids, islice(self.known.items(), CACHED_WORDS // 4))
         self.pieces = dict(islice(self.pieces.items(), CACHED_WORDS // 4))
 
     def __call__(self, text: str | None) -> bytes:
         """16-bit little-endian ids."""
         if self.split is None:
             return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u2").tobytes()
-        parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        fresh = set(parts).difference(self.known)
-        if fresh:
-            if max(len(self.known), len(self.pieces)) > CACHED_WORDS:
-                self._forget()
-                fresh = set(parts).difference(self.known)
-            self._learn(fresh)
-        return b"".join(map(self.known.__getitem__, parts))
+        if max(len(self.known), len(self.pieces)) > CACHED_WORDS:
+            self._forget()
+        return b"".join(map(self.known.__getitem__, self._parts(text or "")))
 
 
 _encoders: dict[int, WordEncoder] = {}

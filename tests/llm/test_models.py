@@ -12,7 +12,9 @@ from pitspark.llm import ann, components, crf, ngram_join, quality, token_files,
 from pitspark.llm.boosting import fit_trees
 from pitspark.llm.queries import END_ID, QUERIES, tokenizer_path
 from pitspark.llm.shingles import choose_bands
-from pitspark.llm.token_codec import BLOCK, Coded, decode_blocks, encode_blocks, ids_crc32, join_crc32
+from pitspark.llm.token_codec import (
+    BLOCK, Coded, _read_order0, _unpack_alphabet, decode_blocks, encode_blocks, ids_crc32, join_crc32,
+)
 
 SF = "/root/testdata/sf0.01"
 
@@ -209,6 +211,27 @@ def test_damaged_block_is_found():
         decode_blocks([Coded(c.n_ids, c.alphabet, bytes(payload), c.crc32)])
 
 
+def test_ids_under_order_0_have_their_own_stream():
+    """Their counts are in the alphabet and their number of words in front, so that they are read without the model."""
+    ids = np.random.default_rng(1).integers(0, 300, BLOCK)
+    c = encode_blocks([ids, ids[:0]])[0]
+    alphabet, counts = _unpack_alphabet(c.alphabet)
+    assert np.array_equal(alphabet, np.unique(ids)) and len(counts) == len(alphabet)
+    words = np.frombuffer(c.payload, "<u2")
+    read = _read_order0([words[1:1 + words[0]]], counts[None, :])[0, :counts.sum()]
+    assert np.array_equal(np.bincount(read, minlength=len(counts)), counts)
+    left = iter(ids)
+    assert all(any(x == y for y in left) for x in alphabet[read])  # in the order of the ids
+
+
+def test_words_are_asked_for_once_whatever_marks_follow():
+    encoder = token_files.WordEncoder(open(tokenizer_path(), encoding="utf-8").read())
+    texts = ["One thing, two things. One; THING: two", "thing! é, È? two", "a,b.c 1.5, x²; 3,4", "so... \"two\", one's; «a», x.", "ſ, İ. ǆ! <|a, ."]
+    for text in texts:
+        assert list(np.frombuffer(encoder(text), "<u2")) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"one", "thing", "two"} <= set(encoder.known) and not {"One", "thing,", "thing!", "È?"} & set(encoder.known)
+
+
 def test_joined_checksums():
     ids = np.random.default_rng(0).integers(0, 50_000, 999)
     for cut in (0, 1, 500, 999):
