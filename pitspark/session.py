@@ -7,6 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# What a task reads at most, from files and from shuffles. A map-side aggregate of nearly distinct keys and the sort
+# of a window hold their whole input, ten times as large as on disk; smaller pieces bound a task's memory whatever the tables' size.
+TASK_SIZES = {
+    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+}
+
 
 def build_session(
     app_name: str = "pitspark",
@@ -28,6 +35,8 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for key, value in TASK_SIZES.items():
+        builder = builder.config(key, value)
     if master is not None:
         builder = builder.master(master)
     if shuffle_partitions is not None:
@@ -37,6 +46,12 @@ def build_session(
     return builder.getOrCreate()
 
 
+def bound_tasks(spark: SparkSession) -> None:
+    """Sets ``TASK_SIZES`` in a session that was built elsewhere."""
+    for key, value in TASK_SIZES.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 

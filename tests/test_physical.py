@@ -9,7 +9,7 @@ from pitspark.operators.features import with_rolling
 from pitspark.operators.merge import FALLBACK_BAR_POLICY, BAR_KEYS, merge_touched
 from pitspark.operators.model import year_of
 from pitspark.plans.panel import build_panel
-from pitspark.session import materialize
+from pitspark.session import TASK_SIZES, materialize
 from pitspark.sources.bars import tradable_bars
 from workload import QUERIES
 from workload.fixtures import Tables
@@ -74,3 +74,12 @@ HEAVY = {n for n in QUERIES if n.startswith(("walk_forward", "backtest_summary")
 def test_no_query_crosses_rows_or_runs_python(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert not [op for op in FORBIDDEN if op in text]
+
+
+def test_tasks_are_bounded_in_any_session(spark):
+    """Also in a session that was built elsewhere, whose tasks read 128 MB of a file and 64 MB of a shuffle."""
+    before = {key: spark.conf.get(key) for key in TASK_SIZES}
+    for key in TASK_SIZES:
+        spark.conf.set(key, "128m")
+    Tables(spark, SF)
+    assert {key: spark.conf.get(key) for key in TASK_SIZES} == TASK_SIZES == before

@@ -13,6 +13,7 @@ from pitspark.functions.scalars import (
 )
 from pitspark.operators.intervals import build_membership
 from pitspark.operators.merge import FACT_KEYS, OVERWRITE, collapse_batch
+from pitspark.session import bound_tasks
 
 CUT_OVER = "1998-06-30"
 
@@ -22,6 +23,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        bound_tasks(spark)
         self.spark = spark
         self.dir = sf_dir
 
