@@ -13,6 +13,7 @@ from pitspark.session import TASK_SIZES, materialize
 from pitspark.sources.bars import tradable_bars
 from workload import QUERIES
 from workload.fixtures import Tables
+from workload.folds import TRAINING_COLUMNS, written_training_columns
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +84,10 @@ def test_tasks_are_bounded_in_any_session(spark):
         spark.conf.set(key, "128m")
     Tables(spark, SF)
     assert {key: spark.conf.get(key) for key in TASK_SIZES} == TASK_SIZES == before
+
+
+def test_statistics_write_what_they_read(spark):
+    """Not the whole panel in a folder for each year, with a file of each task in all of them."""
+    table = written_training_columns(Tables(spark, SF))
+    assert table.columns == TRAINING_COLUMNS
+    assert not any("year=" in path for path in table.inputFiles())

@@ -10,7 +10,7 @@ from pitspark.operators import fold_stats as fs, folds as fd, metrics as mt
 from pitspark.operators.model import Fit, evaluate, fit_certificates, fit_folds
 from pitspark.operators.quality import gate_report, panel_summary, run_summary
 from pitspark.session import materialize
-from pitspark.schemas import FIN, TECH
+from pitspark.schemas import FIN, TARGETS, TECH
 from pitspark.sources.bars import tradable_bars
 
 from .fixtures import Tables
@@ -28,6 +28,15 @@ def written_panel(t: Tables) -> DataFrame:
     return materialize(panel, "panel", ["year"])
 
 
+# What folds and their statistics read.
+TRAINING_COLUMNS = ["trade_date", "label_end_date", *FEATURES, *TARGETS]
+
+
+def written_training_columns(t: Tables) -> DataFrame:
+    """The panel's columns that training reads, as a table without folders by year: every job reads all years."""
+    return materialize(panel_of(t).select(*TRAINING_COLUMNS), "training")
+
+
 SQL_FOLDS = SQL_PANEL | {
     "tested": """
   SELECT y FROM (SELECT y, row_number() OVER (ORDER BY y) AS k
@@ -125,7 +134,7 @@ STATS_SQL = "\n  UNION ALL ".join(
     PANEL_VIEWS, SQL_FOLDS | {"s": STATS_SQL},
 )
 def statistics(t: Tables) -> DataFrame:
-    panel = written_panel(t)
+    panel = written_training_columns(t)
     table = materialize(fd.fold_table(panel), "folds")
     return rounded(fs.fold_statistics(panel, table))
 
