@@ -1,4 +1,4 @@
-"""Adaptive context-mixing range coder for token ids, in numpy.
+"""Context-mixing range coder for token ids, in numpy.
 
 Blocks are independent: each starts with a fresh model and carries its alphabet (the
 distinct ids it holds). All blocks of a batch are coded in step, one id of every block
@@ -6,10 +6,12 @@ at a time, so each step is a few dozen vector operations over the blocks.
 
 Model of a block. Order 2 and order 1 each predict one id, the one that followed the
 last two ids, or the last id, before, with a confidence of 0 to 3. In each of the 32
-states (both confidences, and whether the predictions agree) adaptive frequencies weigh
+states (both confidences, and whether the predictions agree) the frequencies in the block weigh
 the three outcomes: as order 2 says, as order 1 says, or neither. In the last case order
 0, the frequencies of such ids in the block, which the alphabet carries, gives the id. It depends on
-no other id, so these ids have a stream of their own, which is read first.
+no other id, so these ids have a stream of their own, which is read first. The weights of the states come
+between the streams. As the predictions follow from the ids alone, only they are made in step when blocks are
+coded; states, outcomes and their spans come from whole arrays.
 
 Both streams are range coded (rANS) with frequencies that add up to ``SCALE``, so that decoding divides
 nothing. All numbers are integers, so that coder and decoder agree everywhere.
@@ -25,13 +27,12 @@ import numpy as np
 BLOCK = 4096
 HASH = 4096
 STATES = 32
+SURE = np.int16(1 << 12)  # ids of an alphabet are below this
 _BITS = 12
 SCALE = 1 << _BITS  # as large as a block, so that counts of a block's ids are scaled up, none to zero
-_LIMIT = 166
-_START = 1 | (1 << 8) | (2 << 16)
 _LOW = 1 << 16  # states of the coder are at least this, and below 2^32
-# SCALE / total in 24 bits, by the total of a state's weights
-_SHARE = np.array([0] + [(SCALE << 12) // t for t in range(1, 256)], np.uint32)
+_CODES = 128  # a state's three outcomes are 4 state + 0, 1, 2; 4 state + 3 is none
+_STRIP = 64  # steps whose states are found together
 
 
 @dataclass(frozen=True)
@@ -49,58 +50,28 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-class _Model:
-    """The adaptive state of every block of a batch; sizes of alphabets in ``sizes``.
+class _Predictions:
+    """The predictions of every block of a batch; ``width`` is the size of the largest alphabet.
 
-    A prediction is an integer, four times the id plus the confidence, so that confidence 0 means none. Those of
-    order 1 are row 0, those of order 2 row 1. The three weights of a state share one integer, 8 bits each.
+    A prediction is an integer, the id plus ``SURE`` times the confidence, so that confidence 0 means none. Those of
+    order 1 are row 0, those of order 2 row 1.
     """
 
-    def __init__(self, sizes: np.ndarray):
-        lanes, width = len(sizes), max(1, int(sizes.max(initial=1)))
+    def __init__(self, lanes: int, width: int):
         lane = np.arange(lanes, dtype=np.int64)
         self.base = np.stack([lane * width, lanes * width + lane * HASH])
-        self.base_s = lane * STATES
         self.follows = np.zeros(lanes * (width + HASH), np.int16)
-        self.state = np.full(lanes * STATES, _START, np.uint32)
-        self.context = np.zeros((2, lanes), np.int16)
-
-    def predict(self, n: int) -> None:
-        """Both predictions for the first ``n`` blocks, and where the spans of the first two outcomes end."""
-        self.at = self.base[:, :n] + self.context[:, :n]
-        self.v = self.follows.take(self.at)
-        self.c, self.f = self.v >> 2, self.v & 3
-        agree = self.c[0] == self.c[1]
-        self.at_s = self.base_s[:n] + (self.f[0] + (self.f[1] << 2) + (agree * np.int16(16)))
-        self.weights = self.state.take(self.at_s)
-        first = self.weights & 255
-        second = first + ((self.weights >> 8) & 255)
-        self.total = second + (self.weights >> 16)
-        share = _SHARE.take(self.total)
-        self.end2, self.end1 = (first * share) >> 12, (second * share) >> 12
-
-    def span(self, not2: np.ndarray, neither: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and frequencies of the outcomes."""
-        start = np.where(neither, self.end1, self.end2 * not2)
-        end = np.where(not2, self.end1, self.end2)
-        end[neither] = SCALE
-        return start, end - start
-
-    def learn(self, x: np.ndarray, not2: np.ndarray, neither: np.ndarray) -> None:
-        """Updates both predictions and the weights with the ids ``x`` that came."""
-        n = len(x)
-        outcome8 = (not2.view(np.uint8) + neither.view(np.uint8)) << 3
-        weights = self.weights + (np.uint32(1) << outcome8)
-        full = self.total >= _LIMIT
-        if full.any():
-            weights = np.where(full, ((weights >> 1) & 0x7F7F7F) + 0x010101, weights)
-        self.state[self.at_s] = weights
-        missed = np.where(self.f > 1, self.v - 1, (x << 2) + 1)
+
+    def learn(self, at: np.ndarray, v: np.ndarray, says: np.ndarray, x: np.ndarray) -> None:
+        """Updates the predictions ``v`` of the ids ``says``, which are at ``at``, with the ids ``x`` that came."""
+        missed = np.where(v >= 2 * SURE, v - SURE, x + SURE)
         # one dimension and the table's own type: numpy has no fast path for other assignments
-        self.follows[self.at.ravel()] = np.where(self.c == x, np.minimum(self.v + 1, self.v | 3), missed).ravel()
-        # products modulo 2^16, a multiple of HASH
-        self.context[1, :n] = (self.context[0, :n] * np.int16(1597) + x * np.int16(31)) & np.int16(HASH - 1)
-        self.context[0, :n] = x
+        self.follows[at.ravel()] = np.where(says == x, np.minimum(v + SURE, v | 3 * SURE), missed).ravel()
+
+
+def _contexts(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places of the last two ids under order 2; products modulo 2^16, a multiple of HASH."""
+    return (before * np.int16(1597) + last * np.int16(31)) & np.int16(HASH - 1)
 
 
 def _steps(lengths: np.ndarray) -> np.ndarray:
@@ -122,8 +93,7 @@ def _write_spans(spans: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         large = (x >> (32 - _BITS)) >= f
         x = np.where(large, x >> 16, x)
         at[:n] -= large
-        whole = x // f
-        state[:n] = (whole << _BITS) + (x - whole * f) + (span & (SCALE - 1))
+        state[:n] = x + x // f * (SCALE - f) + (span & (SCALE - 1))
     heads = state.astype("<u4")
     return [heads[k:k + 1].tobytes() + words[at[k] + 1:ends[k]].tobytes() for k in range(lanes)]
 
@@ -172,6 +142,66 @@ def _unpack_alphabet(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return gaps.cumsum(), counts
 
 
+def _rounded(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes, rounded down to five binary digits, so that those of a block are at most ``SCALE`` together."""
+    power = np.maximum(np.frexp(counts)[1] - 5, 0)
+    return (power * 16 + (counts >> power)).astype(np.uint8)
+
+
+def _counts(rounded: np.ndarray) -> np.ndarray:
+    power = np.maximum((rounded.astype(np.int64) >> 4) - 1, 0)
+    return (rounded - power * 16) << power
+
+
+def _pack_weights(rounded: np.ndarray) -> bytes:
+    """A block's weights: which are not 0, and these, up to a whole word."""
+    some = rounded > 0
+    packed = np.packbits(some).tobytes() + rounded[some].tobytes()
+    return packed + bytes(len(packed) % 2)
+
+
+def _unpack_weights(words: np.ndarray) -> tuple[np.ndarray, int]:
+    """The weights, and how many words they take."""
+    raw = words.view(np.uint8)
+    some = np.unpackbits(raw[:_CODES // 8]).astype(bool)
+    upto = _CODES // 8 + int(some.sum())
+    rounded = np.zeros(_CODES, np.uint8)
+    rounded[some] = raw[_CODES // 8:upto]
+    return rounded, (upto + 1) // 2
+
+
+def _ends(counts: np.ndarray) -> np.ndarray:
+    """Where the spans of the three outcomes of each state end, of ``SCALE`` together."""
+    upto = counts.reshape(-1, STATES, 4)[:, :, :3].cumsum(2)
+    return upto * SCALE // np.maximum(upto[:, :, 2:], 1)
+
+
+def _codes(data: np.ndarray, steps: np.ndarray, width: int) -> np.ndarray:
+    """State and outcome of each id, a row for each step; code 3 beyond a block's end."""
+    longest, lanes = data.shape
+    codes = np.full((longest, lanes), 3, np.uint8)
+    model = _Predictions(lanes, width)
+    before = np.concatenate([np.zeros((2, lanes), np.int16), data])
+    for t0 in range(0, longest, _STRIP):
+        t1, n = min(t0 + _STRIP, longest), steps[t0]
+        last = before[t0 + 1:t1 + 1, :n]
+        at = np.stack([last, _contexts(before[t0:t1, :n], last)], axis=1) + model.base[:, :n]
+        held = np.zeros(at.shape, np.int16)
+        for t in range(t0, t1):
+            here = steps[t]
+            place = at[t - t0, :, :here]
+            v = held[t - t0, :, :here] = model.follows.take(place)
+            model.learn(place, v, v & (SURE - 1), data[t, :here])
+        says, sure = held & (SURE - 1), (held >> 12).astype(np.uint8)
+        differs = says != data[t0:t1, None, :n]
+        state = sure[:, 0] + (sure[:, 1] << 2) + ((says[:, 0] == says[:, 1]).view(np.uint8) << 4)
+        neither = differs.all(1)
+        found = (state << 2) + differs[:, 1] + neither
+        found[np.arange(n) >= steps[t0:t1, None]] = 3
+        codes[t0:t1, :n] = found
+    return codes
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[Coded]:
     """Codes blocks of at most ``BLOCK`` ids below 65536 each."""
     if not blocks:
@@ -182,46 +212,58 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[Coded]:
     if longest > BLOCK:
         raise ValueError("block too long")
     alphabets = []
-    columns = np.zeros((lanes, longest), np.int16)
-    place = np.zeros(1 << 16, np.int16)
+    columns = np.zeros((lanes, longest + _STRIP), np.int16)  # rows apart by no power of 2, which caches take badly
+    place, seen = np.zeros(1 << 16, np.int16), np.zeros(1 << 16, bool)
     for k, i in enumerate(order):
-        rising = np.sort(blocks[i].astype(np.uint16), kind="stable")
-        alphabet = rising[np.diff(rising, prepend=-1) != 0].astype(np.int64)
+        seen[blocks[i]] = True
+        alphabet = np.flatnonzero(seen)
+        seen[alphabet] = False
         place[alphabet] = np.arange(len(alphabet), dtype=np.int16)
         alphabets.append(alphabet)
-        columns[k, :lengths[k]] = place[blocks[i]]
+        columns[k, :lengths[k]] = place.take(blocks[i])
     sizes = np.array([len(a) for a in alphabets], np.int64)
-    data = np.ascontiguousarray(columns.T)
-    model = _Model(sizes)
-    spans = np.zeros((longest, lanes), np.uint32)
-    escaped = np.zeros((longest, lanes), bool)
-    for t, n in enumerate(_steps(lengths)):
-        x = data[t, :n]
-        model.predict(n)
-        differs = model.c != x
-        not2 = differs[1]
-        neither = not2 & differs[0]
-        spans[t, :n] = _joined(*model.span(not2, neither))
-        escaped[t, :n] = neither
-        model.learn(x, not2, neither)
+    data = np.ascontiguousarray(columns[:, :longest].T)
+    codes = _codes(data, _steps(lengths), max(1, int(sizes.max())))
+    lane = np.arange(lanes, dtype=np.int64) * _CODES
+    weights = np.zeros(lanes * _CODES, np.int64)
+    for t in range(0, longest, _STRIP):
+        weights += np.bincount((codes[t:t + _STRIP] + lane).ravel(), minlength=lanes * _CODES)
+    weights = weights.reshape(lanes, _CODES)
+    weights[:, 3::4] = 0
+    rounded = _rounded(weights)
+    ends = _ends(_counts(rounded))
+    table = np.zeros((lanes, STATES, 4), np.uint32)
+    freq = np.diff(ends, axis=2, prepend=0)
+    table[:, :, :3] = _joined(ends - freq, freq)
+    table = table.ravel()
+    spans = np.empty((longest, lanes), np.uint32)
+    for t in range(0, longest, _STRIP):
+        spans[t:t + _STRIP] = table.take(codes[t:t + _STRIP] + lane)
     outcomes = _write_spans(spans, lengths)
-    # ids under order 0, block by block
-    by_block = np.ascontiguousarray(escaped.T)
-    n0 = by_block.sum(1)
+    # ids under order 0, strip by strip of the blocks, most such ids first
+    n0 = weights[:, 2::4].sum(1)
     width = max(1, int(sizes.max()))
-    entries = np.repeat(np.arange(lanes) * width, n0) + columns[by_block]
-    counts = np.bincount(entries, minlength=lanes * width).reshape(lanes, width)
-    spans = np.zeros((lanes, int(n0.max())), np.uint32)
-    spans[np.arange(spans.shape[1]) < n0[:, None]] = _scaled(counts)[0].ravel().take(entries)
+    counts = np.zeros((lanes, width), np.int64)
+    spans = np.zeros((int(n0.max()), lanes), np.uint32)
     falling = np.argsort(-n0, kind="stable")
+    for k in range(0, lanes, _STRIP):
+        own = falling[k:k + _STRIP]
+        ids = columns[own, :longest][np.ascontiguousarray((codes[:, own] & 3 == 2).T)]
+        entries = np.repeat(np.arange(len(own)) * width, n0[own]) + ids
+        counts[own] = np.bincount(entries, minlength=len(own) * width).reshape(-1, width)
+        rows = np.zeros((len(own), len(spans)), np.uint32)
+        rows[np.arange(len(spans)) < n0[own, None]] = _scaled(counts[own])[0].ravel().take(entries)
+        spans[:, k:k + _STRIP] = rows.T
     plain: list[bytes] = [b""] * lanes
-    for k, own in zip(falling, _write_spans(np.ascontiguousarray(spans[falling].T), n0[falling])):
+    for k, own in zip(falling, _write_spans(spans, n0[falling])):
         plain[k] = own
     result: list[Coded] = [None] * len(blocks)
     for k, i in enumerate(order):
         head = np.array([len(plain[k]) // 2], "<u2").tobytes()
         packed = _pack_alphabet(alphabets[k], counts[k, :sizes[k]])
-        result[i] = Coded(len(blocks[i]), packed, head + plain[k] + outcomes[k], ids_crc32(blocks[i]))
+        result[i] = Coded(
+            len(blocks[i]), packed, head + plain[k] + _pack_weights(rounded[k]) + outcomes[k], ids_crc32(blocks[i]),
+        )
     return result
 
 
@@ -268,19 +310,39 @@ def decode_blocks(coded: list[Coded]) -> list[np.ndarray]:
     words = [np.frombuffer(coded[i].payload, "<u2") for i in order]
     order0 = _read_order0([w[1:1 + w[0]] for w in words], counts)
     flat0, at0 = order0.ravel(), np.arange(lanes, dtype=np.int64) * order0.shape[1]
-    reader = _Reader([w[1 + w[0]:] for w in words])
-    model = _Model(sizes)
+    rest = [w[1 + int(w[0]):] for w in words]
+    rounded, taken = zip(*map(_unpack_weights, rest))
+    end = _ends(_counts(np.array(rounded))).astype(np.uint32)
+    ends = (end[:, :, 0] | (end[:, :, 1] << 16)).ravel()
+    reader = _Reader([w[k:] for w, k in zip(rest, taken)])
+    model = _Predictions(lanes, max(1, int(sizes.max())))
+    base_s = np.arange(lanes, dtype=np.int64) * STATES
     data = np.zeros((longest, lanes), np.int16)
+    place, last = model.base.copy(), np.zeros(lanes, np.int16)
     for t, n in enumerate(_steps(lengths)):
-        model.predict(n)
+        at = place[:, :n]
+        v = model.follows.take(at)
+        says, sure = v & (SURE - 1), v >> 12
+        agree = (says[0] == says[1]).view(np.int8) << np.int8(4)
+        end2 = ends.take(base_s[:n] + (sure[0] + (sure[1] << 2) + agree))
+        end1 = end2 >> 16
+        end2 &= 0xFFFF
         slot = reader.state[:n] & (SCALE - 1)
-        not2, neither = slot >= model.end2, slot >= model.end1
-        reader.advance(n, slot, *model.span(not2, neither))
-        x = np.where(neither, flat0.take(at0[:n], mode="clip"), np.where(not2, model.c[0], model.c[1]))
+        not2, neither = slot >= end2, slot >= end1
+        start = np.where(not2, end2, 0)
+        np.copyto(start, end1, where=neither)
+        stop = np.where(not2, end1, end2)
+        np.copyto(stop, SCALE, where=neither)
+        reader.advance(n, slot, start, stop - start)
+        x = np.where(not2, says[0], says[1])
+        np.copyto(x, flat0.take(at0[:n], mode="clip"), where=neither)
         at0[:n] += neither
-        model.learn(x, not2, neither)
+        model.learn(at, v, says, x)
         data[t, :n] = x
-    columns = np.ascontiguousarray(data.T)
+        np.add(model.base[0, :n], x, out=place[0, :n])
+        np.add(model.base[1, :n], _contexts(last[:n], x), out=place[1, :n])
+        last = x
+    columns = data.T
     result: list[np.ndarray] = [None] * lanes
     for k, i in enumerate(order):
         ids = alphabets[k].take(columns[k, :lengths[k]], mode="clip") if lengths[k] else np.empty(0, np.int64)

@@ -14,6 +14,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ BLOCKS_PER_STEP = 2048
 WHITE_SPACE_STEP = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHED_WORDS = 800_000
+_TOKEN_ID = attrgetter("id")
 
 _PIECE = pa.struct([("document", pa.int64()), ("doc_id", pa.int64()), ("n_ids", pa.int64())])
 _BLOCK = pa.schema([
@@ -68,12 +70,16 @@ class WordEncoder:
     parts between ASCII white space, in order. A printable part in Latin script is then split
     here and only its new pieces go to the tokenizer's model; every other part goes
     through the whole tokenizer. With any other file whole texts do. In a printable Latin text without two
-    neighbours that are neither letter, digit nor space, each of ``MARKS`` is a piece, so it is a part as well.
+    neighbours that are neither letter, digit nor space, each of ``MARKS`` is a piece, so it is a part as well. With
+    such neighbours, but no apostrophe, every run of them is a piece, and a part. Such parts, in lower case, are
+    ``known``; ``odd`` are parts of other texts, as they stand there.
     """
 
     LATIN_END = "\u0250"
     MARKS = {m: f" {m} " for m in ".,;:!?"}
     RUN = re.compile("[^a-z0-9 \u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{2}").search
+    # all printable Latin characters but letters, numbers, the space and the apostrophe
+    RUNS = re.compile("[!-&(-/:-@\\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7]+").sub
     NOT_LATIN = re.compile("[\u0250-\U0010ffff]").search
 
     def __init__(self, tokenizer_json: str):
@@ -83,7 +89,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        self.known = _Learning(self._ids, {"": b""})
+        self.known = _Learning(self._plain_ids)
+        self.odd = _Learning(self._ids)
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.split = self._pattern(json.loads(tokenizer_json))
@@ -111,36 +118,47 @@ class WordEncoder:
 
     def _model_ids(self, piece: str) -> bytes:
         word = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        return array("H", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        return array("H", map(_TOKEN_ID, self.tokenizer.model.tokenize(word))).tobytes()
+
+    def _plain_ids(self, low: str) -> bytes:
+        """The ids of a printable Latin part in lower case."""
+        return self._model_ids(low) if low.isalpha() else b"".join(map(self._piece, self.split(low)))
 
     def _ids(self, word: str) -> bytes:
         """The ids of a part that was not met before."""
         low = word.lower()
         if len(low) != len(word) or not word.isprintable() or "<|" in word or self.NOT_LATIN(word):
             return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        return self._model_ids(low) if low.isalpha() else b"".join(map(self._piece, self.split(low)))
+        return self._plain_ids(low)
 
-    def _parts(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> tuple[list[str], _Learning]:
+        """The parts of a text, and the memory to look them up in."""
         flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
         low = flat.lower()
-        if len(low) != len(flat) or not flat.isprintable() or self.RUN(low) or (not flat.isascii() and self.NOT_LATIN(flat)):
-            return flat.split(" ")
+        if len(low) != len(flat) or not flat.isprintable() or (not flat.isascii() and self.NOT_LATIN(flat)):
+            return flat.split(" "), self.odd
+        if self.RUN(low):
+            if "'" in low or "<|" in low:
+                return flat.split(" "), self.odd
+            return self.RUNS(r" \g<0> ", low).split(" "), self.known
         for mark, spaced in self.MARKS.items():
             low = low.replace(mark, spaced)
-        return low.split(" ")
+        return low.split(" "), self.known
 
     def _forget(self) -> None:
         """Keeps the words met first, which are mostly the common ones."""
-        self.known = _Learning(self._ids, islice(self.known.items(), CACHED_WORDS // 4))
+        self.known = _Learning(self._plain_ids, islice(self.known.items(), CACHED_WORDS // 4))
+        self.odd = _Learning(self._ids, islice(self.odd.items(), CACHED_WORDS // 4))
         self.pieces = dict(islice(self.pieces.items(), CACHED_WORDS // 4))
 
     def __call__(self, text: str | None) -> bytes:
         """16-bit little-endian ids."""
         if self.split is None:
             return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u2").tobytes()
-        if max(len(self.known), len(self.pieces)) > CACHED_WORDS:
+        if len(self.known) + len(self.odd) + len(self.pieces) > CACHED_WORDS:
             self._forget()
-        return b"".join(map(self.known.__getitem__, self._parts(text or "")))
+        parts, memory = self._parts(text or "")
+        return b"".join(map(memory.__getitem__, parts))
 
 
 _encoders: dict[int, WordEncoder] = {}

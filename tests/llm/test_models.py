@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pitspark.llm import ann, components, crf, ngram_join, quality, token_files, toxicity
+from pitspark.llm import ann, components, crf, ngram_join, quality, token_codec, token_files, toxicity
 from pitspark.llm.boosting import fit_trees
 from pitspark.llm.queries import END_ID, QUERIES, tokenizer_path
 from pitspark.llm.shingles import choose_bands
@@ -224,6 +224,30 @@ def test_ids_under_order_0_have_their_own_stream():
     assert all(any(x == y for y in left) for x in alphabet[read])  # in the order of the ids
 
 
+def test_weights_of_a_block_come_between_its_streams():
+    """A byte for each outcome that occurs, so that no weights are learnt in step."""
+    ids = np.random.default_rng(2).zipf(1.3, BLOCK).clip(0, 999)
+    c = encode_blocks([ids])[0]
+    words = np.frombuffer(c.payload, "<u2")
+    rounded, taken = token_codec._unpack_weights(words[1 + words[0]:])
+    weights = token_codec._counts(rounded).reshape(token_codec.STATES, 4)
+    n0 = _unpack_alphabet(c.alphabet)[1].sum()
+    assert 0.9 * n0 <= weights[:, 2].sum() <= n0 and 0.9 * BLOCK <= weights.sum() <= BLOCK
+    assert not weights[:, 3].any() and taken <= 8 + 48
+    every = np.arange(BLOCK + 1)
+    least = token_codec._counts(token_codec._rounded(every))
+    assert (least <= every).all() and (least[1:] * 1.07 >= every[1:]).all() and np.array_equal(least[:32], every[:32])
+
+
+def test_runs_of_marks_leave_words_as_they_are():
+    encoder = token_files.WordEncoder(open(tokenizer_path(), encoding="utf-8").read())
+    texts = ["Word*** word### WORD.%%% (word)...", "«Été»!! été&&& x²** ª** ²³--½", "a\u00d7\u00f7b ((1.5))"]
+    odd = ["word''s it***'s ''re", "word<|a|> **", "word** \u03b1", "I\u0307** \u0130**"]
+    for text in texts + odd:
+        assert list(np.frombuffer(encoder(text), "<u2")) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"word", "été", "***", "###", ".%%%"} <= set(encoder.known) and not any("*" in w for w in encoder.known if w.strip("*"))
+
+
 def test_words_are_asked_for_once_whatever_marks_follow():
     encoder = token_files.WordEncoder(open(tokenizer_path(), encoding="utf-8").read())
     texts = ["One thing, two things. One; THING: two", "thing! é, È? two", "a,b.c 1.5, x²; 3,4", "so... \"two\", one's; «a», x.", "ſ, İ. ǆ! <|a, ."]
