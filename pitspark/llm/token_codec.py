@@ -27,12 +27,18 @@ import numpy as np
 BLOCK = 4096
 HASH = 4096
 STATES = 32
-SURE = np.int16(1 << 12)  # ids of an alphabet are below this
 _BITS = 12
 SCALE = 1 << _BITS  # as large as a block, so that counts of a block's ids are scaled up, none to zero
 _LOW = 1 << 16  # states of the coder are at least this, and below 2^32
 _CODES = 128  # a state's three outcomes are 4 state + 0, 1, 2; 4 state + 3 is none
 _STRIP = 64  # steps whose states are found together
+# arrays without dimensions: numpy takes them in half the time of plain integers
+SURE, _SURER, _SUREST = (np.array(k << 12, np.int16) for k in (1, 2, 3))  # ids of an alphabet are below the first
+_IDS, _ID_BITS, _TWO, _HASHED, _MIX2, _MIX1 = (np.array(k, np.int16) for k in ((1 << 12) - 1, 12, 2, HASH - 1, 1597, 31))
+_AGREE_BITS = np.array(4, np.int8)
+_SPAN_BITS, _STARTS, _SCALE, _WORD, _WORD_BITS, _HEAD_BITS, _LEAST = (
+    np.array(k, np.uint32) for k in (_BITS, SCALE - 1, SCALE, 0xFFFF, 16, 32 - _BITS, _LOW)
+)
 
 
 @dataclass(frozen=True)
@@ -64,14 +70,14 @@ class _Predictions:
 
     def learn(self, at: np.ndarray, v: np.ndarray, says: np.ndarray, x: np.ndarray) -> None:
         """Updates the predictions ``v`` of the ids ``says``, which are at ``at``, with the ids ``x`` that came."""
-        missed = np.where(v >= 2 * SURE, v - SURE, x + SURE)
+        missed = np.where(v >= _SURER, v - SURE, x + SURE)
         # one dimension and the table's own type: numpy has no fast path for other assignments
-        self.follows[at.ravel()] = np.where(says == x, np.minimum(v + SURE, v | 3 * SURE), missed).ravel()
+        self.follows[at.ravel()] = np.where(says == x, np.minimum(v + SURE, v | _SUREST), missed).ravel()
 
 
 def _contexts(before: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Places of the last two ids under order 2; products modulo 2^16, a multiple of HASH."""
-    return (before * np.int16(1597) + last * np.int16(31)) & np.int16(HASH - 1)
+    return (before * _MIX2 + last * _MIX1) & _HASHED
 
 
 def _steps(lengths: np.ndarray) -> np.ndarray:
@@ -87,13 +93,13 @@ def _write_spans(spans: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     ends = np.arange(1, lanes + 1, dtype=np.int64) * (steps + 1)
     at = ends - 1
     for t, n in reversed(list(enumerate(_steps(lengths)))):
-        x, span = state[:n], spans[t, :n]
-        f = span >> _BITS
-        words[at[:n]] = x.astype("<u2")  # low bits, kept where the state is too large
-        large = (x >> (32 - _BITS)) >= f
-        x = np.where(large, x >> 16, x)
-        at[:n] -= large
-        state[:n] = x + x // f * (SCALE - f) + (span & (SCALE - 1))
+        x, span, here = state[:n], spans[t, :n], at[:n]
+        f = span >> _SPAN_BITS
+        words[here] = x.astype("<u2")  # low bits, kept where the state is too large
+        large = (x >> _HEAD_BITS) >= f
+        x = np.where(large, x >> _WORD_BITS, x)
+        here -= large
+        state[:n] = x + x // f * (_SCALE - f) + (span & _STARTS)
     heads = state.astype("<u4")
     return [heads[k:k + 1].tobytes() + words[at[k] + 1:ends[k]].tobytes() for k in range(lanes)]
 
@@ -108,12 +114,16 @@ class _Reader:
         self.state = self.words.take(first).astype(np.uint32) | (self.words.take(first + 1).astype(np.uint32) << 16)
         self.at = first + 2
 
-    def advance(self, n: int, slot: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        x = (self.state[:n] >> _BITS) * freq + (slot - start)
-        small = x < _LOW
-        at = self.at[:n]
-        self.state[:n] = np.where(small, (x << 16) | self.words.take(at, mode="clip"), x)
-        at += small
+    def keep(self, n: int) -> None:
+        """Goes on with the first ``n`` streams."""
+        self.state, self.at = self.state[:n], self.at[:n]
+
+    def advance(self, slot: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        x = (self.state >> _SPAN_BITS) * freq + (slot - start)
+        small = x < _LEAST
+        more = (x << _WORD_BITS) | self.words.take(self.at, mode="clip").astype(np.uint32)
+        self.state = np.where(small, more, x)
+        self.at += small
 
 
 def _joined(start: np.ndarray, freq: np.ndarray) -> np.ndarray:
@@ -123,9 +133,9 @@ def _joined(start: np.ndarray, freq: np.ndarray) -> np.ndarray:
 
 def _scaled(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans and frequencies of ids, of ``SCALE`` together; a row of counts for each block."""
-    upto = counts.cumsum(1)
-    ends = upto * SCALE // np.maximum(upto[:, -1:], 1)
-    freq = np.diff(ends, axis=1, prepend=0)
+    upto = counts.cumsum(1, dtype=np.int32)
+    ends = upto * np.int32(SCALE) // np.maximum(upto[:, -1:], 1)
+    freq = np.diff(ends, axis=1, prepend=np.int32(0))
     return _joined(ends - freq, freq), freq
 
 
@@ -170,10 +180,14 @@ def _unpack_weights(words: np.ndarray) -> tuple[np.ndarray, int]:
     return rounded, (upto + 1) // 2
 
 
-def _ends(counts: np.ndarray) -> np.ndarray:
-    """Where the spans of the three outcomes of each state end, of ``SCALE`` together."""
-    upto = counts.reshape(-1, STATES, 4)[:, :, :3].cumsum(2)
-    return upto * SCALE // np.maximum(upto[:, :, 2:], 1)
+def _outcome_spans(rounded: np.ndarray) -> np.ndarray:
+    """Spans of the three outcomes of each state; after them, where the first two end, in 16 bits each."""
+    counts = _counts(rounded).reshape(-1, STATES, 4)[:, :, :3]
+    upto = counts.cumsum(2)
+    ends = upto * SCALE // np.maximum(upto[:, :, 2:], 1)
+    freq = np.diff(ends, axis=2, prepend=0)
+    both = ends[:, :, 0] | (ends[:, :, 1] << 16)
+    return np.concatenate([_joined(ends - freq, freq), both[:, :, None].astype(np.uint32)], axis=2).ravel()
 
 
 def _codes(data: np.ndarray, steps: np.ndarray, width: int) -> np.ndarray:
@@ -190,9 +204,10 @@ def _codes(data: np.ndarray, steps: np.ndarray, width: int) -> np.ndarray:
         for t in range(t0, t1):
             here = steps[t]
             place = at[t - t0, :, :here]
-            v = held[t - t0, :, :here] = model.follows.take(place)
-            model.learn(place, v, v & (SURE - 1), data[t, :here])
-        says, sure = held & (SURE - 1), (held >> 12).astype(np.uint8)
+            v = model.follows.take(place, mode="clip")
+            held[t - t0, :, :here] = v
+            model.learn(place, v, v & _IDS, data[t, :here])
+        says, sure = held & _IDS, (held >> _ID_BITS).astype(np.uint8)
         differs = says != data[t0:t1, None, :n]
         state = sure[:, 0] + (sure[:, 1] << 2) + ((says[:, 0] == says[:, 1]).view(np.uint8) << 4)
         neither = differs.all(1)
@@ -216,7 +231,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[Coded]:
     place, seen = np.zeros(1 << 16, np.int16), np.zeros(1 << 16, bool)
     for k, i in enumerate(order):
         seen[blocks[i]] = True
-        alphabet = np.flatnonzero(seen)
+        eights = np.flatnonzero(seen.view(np.uint64))  # eight at once, as most are not seen
+        alphabet = np.flatnonzero(seen.reshape(-1, 8)[eights])
+        alphabet = (eights.take(alphabet >> 3) << 3) + (alphabet & 7)
         seen[alphabet] = False
         place[alphabet] = np.arange(len(alphabet), dtype=np.int16)
         alphabets.append(alphabet)
@@ -231,11 +248,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[Coded]:
     weights = weights.reshape(lanes, _CODES)
     weights[:, 3::4] = 0
     rounded = _rounded(weights)
-    ends = _ends(_counts(rounded))
-    table = np.zeros((lanes, STATES, 4), np.uint32)
-    freq = np.diff(ends, axis=2, prepend=0)
-    table[:, :, :3] = _joined(ends - freq, freq)
-    table = table.ravel()
+    table = _outcome_spans(rounded)
     spans = np.empty((longest, lanes), np.uint32)
     for t in range(0, longest, _STRIP):
         spans[t:t + _STRIP] = table.take(codes[t:t + _STRIP] + lane)
@@ -243,7 +256,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[Coded]:
     # ids under order 0, strip by strip of the blocks, most such ids first
     n0 = weights[:, 2::4].sum(1)
     width = max(1, int(sizes.max()))
-    counts = np.zeros((lanes, width), np.int64)
+    counts = np.zeros((lanes, width), np.int32)
     spans = np.zeros((int(n0.max()), lanes), np.uint32)
     falling = np.argsort(-n0, kind="stable")
     for k in range(0, lanes, _STRIP):
@@ -284,10 +297,11 @@ def _read_order0(streams: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     reader = _Reader([streams[k] for k in falling])
     found = np.zeros((rows.shape[1], lanes), np.int16)
     for t, n in enumerate(_steps(n0[falling])):
-        slot = reader.state[:n] & (SCALE - 1)
-        x = table.take(at_table[:n] + slot)
-        span = spans.take(at_span[:n] + x)
-        reader.advance(n, slot, span & (SCALE - 1), span >> _BITS)
+        reader.keep(n)
+        slot = reader.state & _STARTS
+        x = table.take(at_table[:n] + slot, mode="clip")
+        span = spans.take(at_span[:n] + x, mode="clip")
+        reader.advance(slot, span & _STARTS, span >> _SPAN_BITS)
         found[t, :n] = x
     rows[falling] = found.T
     return rows
@@ -302,7 +316,7 @@ def decode_blocks(coded: list[Coded]) -> list[np.ndarray]:
     lanes, longest = len(coded), int(lengths.max())
     alphabets, listed = zip(*(_unpack_alphabet(coded[i].alphabet) for i in order))
     sizes = np.array([len(a) for a in alphabets], np.int64)
-    counts = np.zeros((lanes, max(1, int(sizes.max()))), np.int64)
+    counts = np.zeros((lanes, max(1, int(sizes.max()))), np.int32)
     for k, c in enumerate(listed):
         counts[k, :len(c)] = c
     if (counts.sum(1) > lengths).any():
@@ -312,35 +326,32 @@ def decode_blocks(coded: list[Coded]) -> list[np.ndarray]:
     flat0, at0 = order0.ravel(), np.arange(lanes, dtype=np.int64) * order0.shape[1]
     rest = [w[1 + int(w[0]):] for w in words]
     rounded, taken = zip(*map(_unpack_weights, rest))
-    end = _ends(_counts(np.array(rounded))).astype(np.uint32)
-    ends = (end[:, :, 0] | (end[:, :, 1] << 16)).ravel()
+    table = _outcome_spans(np.array(rounded))
+    ends = table[3:]
     reader = _Reader([w[k:] for w, k in zip(rest, taken)])
     model = _Predictions(lanes, max(1, int(sizes.max())))
-    base_s = np.arange(lanes, dtype=np.int64) * STATES
+    base, base_s = model.base, np.arange(lanes, dtype=np.int64) * _CODES
     data = np.zeros((longest, lanes), np.int16)
-    place, last = model.base.copy(), np.zeros(lanes, np.int16)
+    at, last = base.copy(), np.zeros(lanes, np.int16)
     for t, n in enumerate(_steps(lengths)):
-        at = place[:, :n]
-        v = model.follows.take(at)
-        says, sure = v & (SURE - 1), v >> 12
-        agree = (says[0] == says[1]).view(np.int8) << np.int8(4)
-        end2 = ends.take(base_s[:n] + (sure[0] + (sure[1] << 2) + agree))
-        end1 = end2 >> 16
-        end2 &= 0xFFFF
-        slot = reader.state[:n] & (SCALE - 1)
-        not2, neither = slot >= end2, slot >= end1
-        start = np.where(not2, end2, 0)
-        np.copyto(start, end1, where=neither)
-        stop = np.where(not2, end1, end2)
-        np.copyto(stop, SCALE, where=neither)
-        reader.advance(n, slot, start, stop - start)
-        x = np.where(not2, says[0], says[1])
-        np.copyto(x, flat0.take(at0[:n], mode="clip"), where=neither)
-        at0[:n] += neither
+        if n < len(last):
+            reader.keep(n)
+            at, at0, base, base_s, last = at[:, :n], at0[:n], base[:, :n], base_s[:n], last[:n]
+        v = model.follows.take(at, mode="clip")
+        says, sure = v & _IDS, v >> _ID_BITS
+        agree = (says[0] == says[1]).view(np.int8) << _AGREE_BITS
+        at_s = base_s + ((sure[0] + (sure[1] << _TWO) + agree) << _TWO)
+        both = ends.take(at_s, mode="clip")
+        slot = reader.state & _STARTS
+        not2, neither = slot >= (both & _WORD), slot >= (both >> _WORD_BITS)
+        span = table.take(at_s + (not2.view(np.int8) + neither.view(np.int8)), mode="clip")
+        reader.advance(slot, span & _STARTS, span >> _SPAN_BITS)
+        x = np.where(neither, flat0.take(at0, mode="clip"), np.where(not2, says[0], says[1]))
+        at0 += neither
         model.learn(at, v, says, x)
         data[t, :n] = x
-        np.add(model.base[0, :n], x, out=place[0, :n])
-        np.add(model.base[1, :n], _contexts(last[:n], x), out=place[1, :n])
+        np.add(base[0], x, out=at[0])
+        np.add(base[1], _contexts(last, x), out=at[1])
         last = x
     columns = data.T
     result: list[np.ndarray] = [None] * lanes

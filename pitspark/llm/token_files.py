@@ -26,6 +26,7 @@ from pitspark.session import scratch_path
 from .token_codec import BLOCK, Coded, decode_blocks, encode_blocks, ids_crc32, join_crc32
 
 BLOCKS_PER_STEP = 2048
+BLOCKS_PER_TASK = 3072  # read by a task, where there are enough: the cost of a step hardly grows with its blocks
 # Two steps of the one kind of tokenizer file whose texts may be split at white space.
 WHITE_SPACE_STEP = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -77,10 +78,15 @@ class WordEncoder:
 
     LATIN_END = "\u0250"
     MARKS = {m: f" {m} " for m in ".,;:!?"}
+    BYTE_MARKS = {m.encode(): spaced.encode() for m, spaced in MARKS.items()}
     RUN = re.compile("[^a-z0-9 \u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{2}").search
     # all printable Latin characters but letters, numbers, the space and the apostrophe
     RUNS = re.compile("[!-&(-/:-@\\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7]+").sub
     NOT_LATIN = re.compile("[\u0250-\U0010ffff]").search
+    # the same for texts below U+0100, as tables of their bytes
+    FLAT_LOW = bytes(32 if c in b"\t\n\r" else ord(chr(c).lower()) for c in range(256))
+    PRINTABLE = bytes(c for c in range(256) if chr(c).isprintable() or c in b"\t\n\r")
+    KINDS = bytes(46 if mark else 97 for mark in map(RUN, [2 * chr(c) for c in range(256)]))
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -133,6 +139,19 @@ class WordEncoder:
 
     def _parts(self, text: str) -> tuple[list[str], _Learning]:
         """The parts of a text, and the memory to look them up in."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._wide_parts(text)
+        flat_low = raw.translate(self.FLAT_LOW)
+        if raw.translate(None, self.PRINTABLE) or b".." in flat_low.translate(self.KINDS):
+            return self._wide_parts(text)
+        for mark, spaced in self.BYTE_MARKS.items():
+            flat_low = flat_low.replace(mark, spaced)
+        return flat_low.decode("latin-1").split(), self.known  # no white space but spaces is printable
+
+    def _wide_parts(self, text: str) -> tuple[list[str], _Learning]:
+        """The same for any text, also with neighbouring marks."""
         flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
         low = flat.lower()
         if len(low) != len(flat) or not flat.isprintable() or (not flat.isascii() and self.NOT_LATIN(flat)):
@@ -140,10 +159,10 @@ class WordEncoder:
         if self.RUN(low):
             if "'" in low or "<|" in low:
                 return flat.split(" "), self.odd
-            return self.RUNS(r" \g<0> ", low).split(" "), self.known
+            return self.RUNS(r" \g<0> ", low).split(), self.known
         for mark, spaced in self.MARKS.items():
             low = low.replace(mark, spaced)
-        return low.split(" "), self.known
+        return low.split(), self.known
 
     def _forget(self) -> None:
         """Keeps the words met first, which are mostly the common ones."""
@@ -268,7 +287,7 @@ def decode_pieces(blocks: DataFrame) -> DataFrame:
 
         for batch in batches:
             held += batch.to_pylist()
-            while len(held) >= BLOCKS_PER_STEP:
+            while len(held) >= 2 * BLOCKS_PER_STEP:  # the rest is decoded together, as a few blocks take as many steps
                 rest = held[BLOCKS_PER_STEP:]
                 del held[BLOCKS_PER_STEP:]
                 yield finish()
@@ -304,10 +323,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """
     ddl = "shard long, block long, first long, n_ids long"
     blocks = spark.read.schema(_BLOCK_DDL).parquet(path)
-    sizes = spark.read.schema(ddl).parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("size"))
+    counted = spark.read.schema(ddl).parquet(path)
+    tasks = max(spark.sparkContext.defaultParallelism, counted.count() // BLOCKS_PER_TASK)
+    sizes = counted.groupBy("shard").agg(F.sum("n_ids").alias("size"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    documents = decode_pieces(blocks).groupBy("shard", "document").agg(
+    documents = decode_pieces(blocks.coalesce(tasks)).groupBy("shard", "document").agg(
         F.first("doc_id", ignorenulls=True).alias("doc_id"), F.min("at").alias("at"), F.sum("n_ids").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("block", "n_ids", "crc32"))).alias("pieces"),
     )

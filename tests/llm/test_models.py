@@ -256,6 +256,14 @@ def test_words_are_asked_for_once_whatever_marks_follow():
     assert {"one", "thing", "two"} <= set(encoder.known) and not {"One", "thing,", "thing!", "È?"} & set(encoder.known)
 
 
+def test_latin_texts_have_no_empty_parts():
+    encoder = token_files.WordEncoder(open(tokenizer_path(), encoding="utf-8").read())
+    texts = ["One. Two,  three\n\nfour!", "\u0152uvre, \u0153uvre.", "\u00c9t\u00e9: \u00e9t\u00e9\t\u00d7 \u00df", "a\u00a0b. c", "a\u00adb. c", "a\x85b\x1cc. d", "", " . "]
+    for text in texts:
+        assert list(np.frombuffer(encoder(text), "<u2")) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"one", ".", "\u0153uvre", "\u00e9t\u00e9"} <= set(encoder.known) and "" not in encoder.known
+
+
 def test_joined_checksums():
     ids = np.random.default_rng(0).integers(0, 50_000, 999)
     for cut in (0, 1, 500, 999):
