@@ -4,6 +4,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,3 +410,66 @@ def test_any_tokenizer_gives_its_own_ids(spark, name):
     if encoder.split is None:
         got = token_files.token_round_trip(brute.docs(spark, texts), path, END_ID)
         assert sum(r.n_tokens for r in got.collect()) == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts)
+
+
+# --- size of the search's broadcasts, and its scoring of a chunk
+
+def broadcasts_of_search(spark, monkeypatch, df, threshold):
+    """Broadcasts that Spark plans for the tables of a search and its result."""
+    plans, real, conf = [], ann.materialize, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+
+    def kept(table, name, *more):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return real(table, name, *more)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ann, "materialize", kept)
+        spark.conf.set(conf, threshold)
+        try:
+            out = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=5)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        finally:
+            spark.conf.set(conf, before)
+    return sum(p.count("BroadcastExchange") for p in plans)
+
+
+def test_search_broadcasts_no_table_for_its_size_on_disk(spark, monkeypatch):
+    x = np.random.default_rng(2).standard_normal((400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    wanted = broadcasts_of_search(spark, monkeypatch, df, "-1")
+    assert broadcasts_of_search(spark, monkeypatch, df, "10m") == wanted
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "clustered", "huge"])
+def test_chunk_gives_nearest_of_runs(kind):
+    rng = np.random.default_rng(3)
+    m, keep = 3000, 6
+    x = rng.standard_normal((m, 12))
+    if kind == "ties":
+        x = np.round(x)
+    if kind == "clustered":
+        x = np.repeat(rng.standard_normal((30, 12)), 100, axis=0) + 1e-3 * x
+    if kind == "huge":
+        x *= 1e100
+    x[0] = 1
+    keys = ann.hash_strings(x, np.linalg.norm(x, axis=1).max(), 3, 7, False)
+    depth = rng.integers(0, 9, 200).astype(np.int32)
+    depth[:3] = 0, 64, 63
+
+    def table(n, **more):
+        lists = pa.ListArray.from_arrays(np.arange(0, 3 * n + 1, 3, dtype=np.int32), pa.array(keys[:n].ravel()))
+        return pa.table({"node": np.arange(n), "packed": pa.array([r.tobytes() for r in x[:n]], pa.binary()), "keys": lists, **more})
+
+    least = rng.permutation(m)
+    got = ann._score_chunk(keep)(table(200, depth=depth), table(m, least=least)).to_pylist()
+    assert [r["node"] for r in got] == list(range(200))
+    for r in got:
+        i = r["node"]
+        d = int(depth[i])
+        near = (keys.view(np.uint64) >> np.uint64(min(64 - d, 63))) == (keys[i].view(np.uint64) >> np.uint64(min(64 - d, 63)))
+        rows_in = np.flatnonzero(near.any(axis=1)) if d else np.arange(m)
+        scores = (x[rows_in] * x[i]).sum(axis=1)
+        best = np.lexsort((rows_in, least[rows_in], -scores))[:keep]
+        assert [(n["found"], n["least"], -n["below"]) for n in r["near"]] == [
+            (rows_in[b], least[rows_in[b]], scores[b]) for b in best]
